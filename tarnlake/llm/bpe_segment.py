@@ -16,6 +16,7 @@ import json
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -118,8 +119,10 @@ class SegmentBpe:
             for one, two in ((at, then), (prior, at)):
                 a, b = sym[live, one], sym[live, two]
                 hit, rank = self.lookup(a, b)
-                hit &= (a >= 0) & (b >= 0) & (one != two)
-                tree[live, w + one] = np.where(hit, rank * w + one, _FAR)
+                hit &= (a >= 0) & (b >= 0)
+                # At the left end there is no earlier pair: its leaf stays.
+                own = one != two
+                tree[live[own], w + one[own]] = np.where(hit, rank * w + one, _FAR)[own]
             for leaf in (gone, at, prior):
                 node = w + leaf
                 while node[0] > 1:
@@ -193,28 +196,34 @@ class SegmentBpe:
 class Cached:
     """Encodes many texts; each distinct chunk and piece once while it is held. What is held is bounded."""
 
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, bpe: SegmentBpe):
         self.bpe, self.ids, self.text, self.pieces = bpe, {}, {}, {}
+        self.number = [str(i) for i in range(max(bpe.bytes_of) + 1)]
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.ids) > self.LIMIT:
             self.ids, self.text, self.pieces = {}, {}, {}
-        bpe, cut = self.bpe, {}
+        bpe, cut, alone = self.bpe, {}, []
         for c in chunks - self.ids.keys():
             if c in bpe.special:
                 self.ids[c], self.text[c] = str(bpe.special[c]), bpe.decode([bpe.special[c]])
+            elif (c[1:].isalpha() and c[0] == " " or c.isalpha()) and max(c) <= _SETTLED:
+                alone.append(c)  # a word is one piece
             else:
                 cut[c] = bpe.split(c)
         new = list({p for ps in cut.values() for p in ps} - self.pieces.keys())
-        for p, ids in zip(new, bpe.encode_pieces(new)):
-            self.pieces[p] = (",".join(map(str, ids.tolist())), b"".join(bpe.bytes_of[i] for i in ids.tolist()))
+        number, raw = self.number.__getitem__, bpe.bytes_of.__getitem__
+        made = [(",".join(map(number, x)), b"".join(map(raw, x))) for x in (ids.tolist() for ids in bpe.encode_pieces([c.encode() for c in alone] + new))]
+        for c, (ids, back) in zip(alone, made):
+            back = back.decode("utf-8", "replace")
+            self.ids[c], self.text[c] = ids, c if back == c else back
+        self.pieces.update(zip(new, made[len(alone) :]))
         for c, ps in cut.items():
             own = [self.pieces[p] for p in ps]
-            self.ids[c] = ",".join(x[0] for x in own)
-            back = b"".join(x[1] for x in own).decode("utf-8", "replace")
-            self.text[c] = c if back == c else back
+            back = b"".join([x[1] for x in own]).decode("utf-8", "replace")
+            self.ids[c], self.text[c] = ",".join([x[0] for x in own]), c if back == c else back
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """(decimal ids joined by commas, decoded text) of each."""
@@ -271,8 +280,6 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         bpe = cached(path).bpe
         return pd.Series([None if i is None else bpe.decode(i) for i in ids])
 
-    import pandas as pd
-
     return df.withColumn("decoded", F.pandas_udf(texts, "string")(ids_col))
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import lsh_forest
+from tarnlake.llm import bpe_segment, decontaminate, lsh_forest, secret_scan, token_store
 
 
 def queries():
     return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
         "op4_near_dedup": lsh_forest.op4_near_dedup,
+        "op7_bpe_round_trip": bpe_segment.op7_bpe_round_trip,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_token_files": token_store.op9_token_files,
     }
 
 
 def oracle_sql():
     return {
         "op4_near_dedup": lsh_forest.OP4_SQL,
+        "op8_decontaminate": decontaminate.OP8_SQL,
     }
