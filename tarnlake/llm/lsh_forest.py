@@ -4,11 +4,12 @@ A document's set holds the hashes of its distinct word shingles. Equal sets form
 one document of each class goes on. Each of ``TREES`` orders of the signature places the documents in
 a forest whose regions are documents with a common prefix: three values deep, and deeper (six, then
 twelve) only where a region holds more than ``REGION`` documents. Inside a region the signatures
-propose partners, in two rounds. The first links each document with the partner of best agreement
-to hubs (documents that agree best with the region's consensus). The second proposes every remaining
-pair of different components whose agreement could still mean the threshold. All proposals are confirmed
-on full sets, so a false proposal never links. Within one component no further pairs are made, so a
-group of thousands of copies costs a few pairs each, not their square.
+propose partners, in two rounds. First each document gets the partner it agrees with best among
+hubs, the documents that agree best with their region's consensus, and the pair is confirmed on full
+sets. Most copies are in one component after that. Then only regions that still hold several components
+get the full sets, and every pair of different components whose agreement could still mean the
+threshold is decided on them; pairs within one component need no look, so a group of thousands
+of copies costs a few links each, not their square.
 
 Split regions stay joined: the least document of each part also meets those of the other parts.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ _MULTIPLIERS = _rng.integers(1, 2**63, SIZE, dtype=np.uint64) * T.U(2) + T.U(1)
 _ORDERS = [np.concatenate([own := np.arange(t * 6, t * 6 + 6), _rng.permutation(np.setdiff1d(np.arange(SIZE), own))]) for t in range(TREES)]
 
 
+def _identity(own: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set's hashes; with its size they stand for the set."""
+    return own.sum(dtype=np.uint64).astype(np.int64), T.mix(own ^ T.U(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)
+
+
 def _sketch(width: int):
     def run(batches):
         for b in batches:
@@ -43,8 +50,7 @@ def _sketch(width: int):
                 for i in range(w.rows):
                     own = np.unique(s[starts[i] : starts[i + 1]])
                     size[i] = len(own)
-                    h1[i] = own.sum(dtype=np.uint64).astype(np.int64)
-                    h2[i] = T.mix(own ^ T.U(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)
+                    h1[i], h2[i] = _identity(own)
                 some = np.flatnonzero(np.diff(starts))
                 sig = np.zeros((w.rows, SIZE), np.uint32)
                 if len(some):
@@ -88,19 +94,21 @@ def _possible(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def _propose(percent: int, second: bool):
+def _signatures(b) -> np.ndarray:
+    return np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, SIZE)
+
+
+def _groups(b):
+    r = b["region"].to_numpy()
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1, [len(r)]])
+    return [(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo > 1]
+
+
+def _propose(percent: int):
+    """(x, y, e): documents with the hubs that they agree with."""
     low = percent / 100 - MARGIN
 
-    def of(ids, n, sig, comp):
-        """Pairs (row, row, agreement) in one region."""
-        if second:
-            for i in range(len(ids) - 1):
-                j = np.flatnonzero((comp[i + 1 :] != comp[i]) & _possible(n[i + 1 :], n[i], percent)) + i + 1
-                if len(j):
-                    e = _agreement(sig[j], sig[i])
-                    for k in np.flatnonzero(e >= low):
-                        yield i, j[k], e[k]
-            return
+    def of(ids, n, sig):
         if len(ids) > 2:
             common = np.array([np.bincount(c).argmax() for c in sig.T], np.uint8)
             rest = np.lexsort((ids, -(sig == common).sum(1)))
@@ -111,41 +119,73 @@ def _propose(percent: int, second: bool):
             e = _agreement(sig[rest], sig[hub])
             near = (e >= low) & _possible(n[rest], n[hub], percent)
             for j, x in zip(rest[near], e[near]):
-                yield j, hub, x
+                yield ids[j], ids[hub], x
             rest = rest[~near]
 
     def run(batches):
         for b in _regions(batches):
-            r, ids, n = (b[c].to_numpy() for c in ("region", "id", "n"))
-            comp = b["comp"].to_numpy() if second else None
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, SIZE)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1, [len(r)]])
-            out = [(ids[lo + i], ids[lo + j], e) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo > 1 for i, j, e in of(ids[lo:hi], n[lo:hi], sig[lo:hi], comp[lo:hi] if second else None)]
-            a, o, e = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64()), pa.array(e, pa.float64())], ["x", "y", "e"])
+            ids, n, sig = b["id"].to_numpy(), b["n"].to_numpy(), _signatures(b)
+            out = [p for lo, hi in _groups(b) for p in of(ids[lo:hi], n[lo:hi], sig[lo:hi])]
+            x, y, e = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(e, pa.float64())], ["x", "y", "e"])
+
+    return run
+
+
+def _decide(percent: int):
+    """(a, b): links on full sets that join components within a region."""
+    low = percent / 100 - MARGIN
+
+    def of(ids, n, sig, comp, flat, starts):
+        _, flat = np.unique(flat, return_inverse=True)
+        mark = np.zeros(int(flat.max()) + 1, bool)
+        comp = comp.copy()
+        for i in range(len(ids) - 1):
+            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & _possible(n[i + 1 :], n[i], percent)) + i + 1
+            j = j[_agreement(sig[j], sig[i]) >= low]
+            if not len(j):
+                continue
+            own = flat[starts[i] : starts[i + 1]]
+            mark[own] = True
+            take = np.concatenate([flat[starts[k] : starts[k + 1]] for k in j])
+            both = np.add.reduceat(mark[take].astype(np.int64), np.concatenate([[0], np.cumsum(n[j])[:-1]]))
+            mark[own] = False
+            for k in j[100 * both >= percent * (n[j] + n[i] - both)]:
+                if comp[k] != comp[i]:
+                    comp[comp == comp[k]] = comp[i]
+                    yield min(ids[i], ids[k]), max(ids[i], ids[k])
+
+    def run(batches):
+        for b in _regions(batches):
+            ids, n, sig, comp = b["id"].to_numpy(), b["n"].to_numpy(), _signatures(b), b["comp"].to_numpy()
+            flat, starts = b["s"].flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(b["s"]).to_numpy())])
+            out = [p for lo, hi in _groups(b) if (comp[lo:hi] != comp[lo]).any() for p in of(ids[lo:hi], n[lo:hi], sig[lo:hi], comp[lo:hi], flat[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])]
+            x, y = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return run
 
 
 def _shingles(width: int):
     def run(batches):
+        last = None
         for b in batches:
             for at, sets in T.shingle_sets(b["text"], width):
-                yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(sets)), T.lists([T.signed(s) for s in sets], pa.int64())], ["id", "s"])
+                key = [(i, *_identity(x)) for i, x in zip(b["id"].slice(at, len(sets)).to_pylist(), sets)]
+                # Rows come sorted by id: of repeated rows one goes on.
+                keep = [k for k in range(len(sets)) if key[k] != (key[k - 1] if k else last)]
+                last = key[-1]
+                yield pa.RecordBatch.from_arrays([pa.array([key[k][1] for k in keep], pa.int64()), pa.array([key[k][2] for k in keep], pa.int64()), T.lists([T.signed(sets[k]) for k in keep], pa.int64())], ["h1", "h2", "s"])
 
     return run
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a < b) whose full sets reach the threshold."""
     p = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-    p = materialize(p, "proposed")
-    need = p.select(F.col("a").alias("need")).unionByName(p.select(F.col("b").alias("need"))).distinct()
-    text = docs.join(need, docs.id == need.need, "left_semi").dropDuplicates(["id"])
-    sets = materialize(text.mapInArrow(_shingles(width), "id long, s array<long>"), "sets")
     one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = p.join(one, "a").join(two, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+    joined = p.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return materialize(joined.where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("a", "b"), "links")
 
 
@@ -180,33 +220,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``width``-word shingles; with fewer words the whole sequence is the one shingle; a null or empty
     text (or one of white space) has an empty set and links with nothing. Documents with
     ``100 * intersection >= percent * union`` are linked, and ``component_id`` is the smallest id
-    reachable. ``kept`` marks the row that stays for its group. Rows that repeat an id are
-    one node of the graph and share their fate; a row without an id is never linked, has a null
-    component_id and stays. An empty table gives no rows. Other columns are ignored.
+    reachable. ``kept`` marks the rows that stay: those whose id is their group's. Rows that repeat
+    an id stand for themselves, each with the component of its own text. A row without an id links
+    nothing, has a null component_id and stays. An empty table gives no rows; other columns are ignored.
     """
     docs = T.pick(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     sk = materialize(docs.mapInArrow(_sketch(width), "id long, n long, h1 long, h2 long, sig binary, k1 array<long>, k2 array<long>, k3 array<long>"), "sketches")
-    full = sk.where("n > 0 and id is not null")
-    classes = full.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("id", "sig", "k1", "k2", "k3"), "id").alias("r"))
-    classes = materialize(classes.select("h1", "h2", "n", "r.*"), "classes")
+    classes = sk.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min_by(F.struct(F.col("id").alias("doc"), "sig", "k1", "k2", "k3"), "id").alias("r"))
+    classes = materialize(classes.select(F.xxhash64("h1", "h2", "n").alias("id"), "n", "r.*"), "classes")
     regions = _place(classes)
     rows = materialize(regions.distinct().join(classes.select("id", "n", "sig"), "id"), "regions")
-    shape = "x long, y long, e double"
     by_region = lambda d: d.repartition("region").sortWithinPartitions("region", "id")
-    first = by_region(rows).mapInArrow(_propose(percent, False), shape)
+    first = by_region(rows).mapInArrow(_propose(percent), "x long, y long, e double")
     best = first.groupBy("x").agg(F.max_by("y", F.struct("e", F.negate("y"))).alias("y"))
-    links = _confirm(docs, best, width, percent)
+    need = classes.join(rows.select("id").distinct(), "id", "left_semi").select(F.col("doc").alias("need")).distinct().hint("merge")
+    text = docs.join(need, docs.id == need.need, "left_semi")
+    sets = materialize(text.mapInArrow(_shingles(width), "h1 long, h2 long, s array<long>").withColumn("n", F.size("s").cast("long")).select(F.xxhash64("h1", "h2", "n").alias("id"), "s"), "sets")
+    links = _confirm(sets, best, percent)
     comp = connected_components(links)
-    with_comp = rows.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("region", "id", "n", "sig", F.coalesce("component", "id").alias("comp"))
-    second = by_region(with_comp).mapInArrow(_propose(percent, True), shape)
-    more = _confirm(docs, second, width, percent)
+    placed = rows.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("region", "id", "n", "sig", F.coalesce("component", "id").alias("comp"))
+    open_ = placed.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
+    wide = placed.join(open_, "region").hint("merge").join(sets, "id").select("region", "id", "n", "sig", "comp", "s")
+    more = materialize(by_region(wide).mapInArrow(_decide(percent), "a long, b long").distinct(), "more")
     comp = connected_components(links.unionByName(more))
-    # A class's id stands for its documents; ids that repeat with other texts tie their classes together.
-    own = sk.select("id", F.col("n").alias("n_shingles"), "h1", "h2", "n")
-    own = own.join(classes.select("h1", "h2", "n", F.col("id").alias("rep")), ["h1", "h2", "n"], "left")
-    own = own.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    label = F.coalesce("component", "rep", "id")
-    return own.select(F.col("id").alias("doc_id"), "n_shingles", label.alias("component_id"), (F.col("id").isNull() | (F.col("id") == label)).alias("kept"))
+    named = classes.select("id", "doc").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = named.join(least, "component").select("id", "component_id")
+    own = sk.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.xxhash64("h1", "h2", "n")).alias("id"))
+    own = own.join(named, "id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return own.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
