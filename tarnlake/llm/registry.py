@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe_segment, decontaminate, lsh_forest, secret_scan, token_store
+from tarnlake.llm import bpe_segment, decontaminate, html_extract, lsh_forest, quality_rules, secret_scan, token_store
 
 
 def queries():
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op3_html_extract": html_extract.op3_html_extract,
         "op4_near_dedup": lsh_forest.op4_near_dedup,
         "op7_bpe_round_trip": bpe_segment.op7_bpe_round_trip,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_files": token_store.op9_token_files,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
@@ -19,4 +21,5 @@ def oracle_sql():
     return {
         "op4_near_dedup": lsh_forest.OP4_SQL,
         "op8_decontaminate": decontaminate.OP8_SQL,
+        "op10_quality_rules": quality_rules.OP10_SQL,
     }
