@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe_segment, decontaminate, html_extract, lsh_forest, quality_rules, secret_scan, token_store
+from tarnlake.llm import bpe_segment, decontaminate, html_extract, lsh_forest, quality_rules, secret_scan, token_store, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op3_html_extract": html_extract.op3_html_extract,
         "op4_near_dedup": lsh_forest.op4_near_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_bpe_round_trip": bpe_segment.op7_bpe_round_trip,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_files": token_store.op9_token_files,

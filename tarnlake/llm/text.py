@@ -60,7 +60,7 @@ def _power(kind: str, n: int) -> np.ndarray:
 class Words:
     """The words of one slice of a text column: ``starts``/``ends`` into ``data``, ``first`` word of each row."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, space: np.ndarray = SPACE):
         column = column.fill_null("")
         column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
         _, off, buf = column.buffers()
@@ -68,7 +68,7 @@ class Words:
         raw = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         self.rows, self.offsets, self.data = len(column), off - off[0], LOWER[raw]
         n = len(raw)
-        inside = ~SPACE[raw]
+        inside = ~space[raw]
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
         before = np.empty(n, bool)
@@ -80,16 +80,26 @@ class Words:
         self.ends = np.flatnonzero(inside & (after | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
+        self._held: np.ndarray | None = None
+
+    def _sums(self) -> np.ndarray:
+        """Prefix sums of the polynomial's terms."""
+        if self._held is None:
+            self._held = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_TABLE[self.data] * _power("up", max(1, len(self.data)))[: len(self.data)], out=self._held[1:])
+        return self._held
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        if not n:
-            return np.zeros(0, np.uint64)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[self.data] * _power("up", n), out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * _power("down", n)[self.starts]
+        total = self._sums()
+        h = (total[self.ends] - total[self.starts]) * _power("down", len(total))[self.starts]
         return mix(h ^ ((self.ends - self.starts).astype(np.uint64) * _MULT))
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the first ``size`` bytes, which words are longer than that)."""
+        total, long = self._sums(), self.ends - self.starts > size
+        s = self.starts[long]
+        return mix(((total[s + size] - total[s]) * _power("down", len(total))[s]) ^ U(size * int(_PLACES[-1]) % 2**64)), long
+
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
