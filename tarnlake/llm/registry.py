@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe_segment, decontaminate, html_extract, lsh_forest, quality_rules, secret_scan, token_store, toxicity
+from tarnlake.llm import bpe_segment, decontaminate, html_extract, lsh_forest, quality_resample, quality_rules, secret_scan, token_store, toxicity
 
 
 def queries():
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_quality_resample": quality_resample.op2_quality_resample,
         "op3_html_extract": html_extract.op3_html_extract,
         "op4_near_dedup": lsh_forest.op4_near_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
