@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe_segment, decontaminate, html_extract, lsh_forest, quality_resample, quality_rules, secret_scan, token_store, toxicity
+from tarnlake.llm import bpe_segment, decontaminate, html_extract, lm_mixing, lsh_forest, quality_resample, quality_rules, secret_scan, token_store, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_html_extract": html_extract.op3_html_extract,
         "op4_near_dedup": lsh_forest.op4_near_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_lm_mixing": lm_mixing.op6_lm_mixing,
         "op7_bpe_round_trip": bpe_segment.op7_bpe_round_trip,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_files": token_store.op9_token_files,
