@@ -1,20 +1,49 @@
-"""The corpus pipeline: each stage works on all that the one before kept."""
+"""The corpus pipeline: each stage works on all that the one before kept, and its decisions take effect.
+
+All stages but the last return the columns of ``documents``. Between stages the documents are written as
+Parquet and read again, so a lost executor costs no more than the stage at work.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnlake.llm import lsh_forest
+from tarnlake.llm import bpe_segment, decontaminate, lsh_forest, quality_resample, secret_scan
 from tarnlake.session import scratch_path
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling against good labelled text rejects go."""
+    return quality_resample.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (five-word shingles, similarity 0.8)."""
-    kept = lsh_forest.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8).
+
+    An id is one document: of rows that repeat it one stays. Rows without an id stay.
+    """
+    kept = lsh_forest.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every reported secret in a text is replaced by a marker, and n_chars follows; all documents stay."""
+    return secret_scan.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text encoded and decoded: doc_id, n_tokens, and the digests of the ids and of the text that they give back."""
+    return bpe_segment.round_trip(docs, bpe_segment.tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("encoding", encoding)]
+#: Hashed models and signatures have no SQL; tests/llm hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -74,30 +74,59 @@ class _Index:
         return out
 
 
+def _found(held: _Index, column: pa.Array, width: int, percent: int):
+    """(row, item, shared) of every item that a text contains."""
+    for at, part in T.slices(column):
+        w = T.Words(part)
+        s, starts = T.shingle(w.hashes(), w.counts, w.first, width)
+        near: dict[int, list[int]] = {}
+        for row, item in held.candidates(s, starts):
+            near.setdefault(row, []).append(item)
+        for row, items in near.items():
+            own = np.unique(s[starts[row] : starts[row + 1]])
+            for i in items:
+                shared = int(np.isin(held.sets[i], own).sum())
+                if 100 * shared >= percent * len(held.sets[i]):
+                    yield at + row, i, shared
+
+
 def _search(index, width: int, percent: int):
+    names = RESULT.replace(" long", "").replace(" double", "").split(", ")
+
     def run(batches):
         held = index.value
         for b in batches:
-            found = []
-            for at, part in T.slices(b["text"]):
-                w = T.Words(part)
-                s, starts = T.shingle(w.hashes(), w.counts, w.first, width)
-                ids = b["id"].slice(at, w.rows).to_pylist()
-                near: dict[int, list[int]] = {}
-                for row, item in held.candidates(s, starts):
-                    near.setdefault(row, []).append(item)
-                for row, items in near.items():
-                    own = np.unique(s[starts[row] : starts[row + 1]])
-                    for i in items:
-                        shared, n = int(np.isin(held.sets[i], own).sum()), len(held.sets[i])
-                        if 100 * shared >= percent * n:
-                            found.append((ids[row], held.ids[i], n, shared, shared / n))
+            ids = b["id"].to_pylist()
+            found = [(ids[row], held.ids[i], n := len(held.sets[i]), shared, shared / n) for row, i, shared in _found(held, b["text"], width, percent)]
             cols = zip(*found) if found else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.float64(),))], RESULT.replace(" long", "").replace(" double", "").split(", "))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.float64(),))], names)
 
     return run
 
 
+def _drop(index, width: int, percent: int):
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[row for row, _, _ in _found(index.value, b["text"], width, percent)]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def _indexes(spark, items: DataFrame, item_col: str, item_text: str, width: int):
+    """The items in blocks of bounded size, each broadcast."""
+    i = T.pick(items, id=item_col, text=item_text).withColumn("id", F.col("id").cast("long"))
+    sets = i.mapInArrow(_item_sets(width), "id long, s array<long>").where("size(s) > 0")
+    total = sets.agg(F.sum(F.size("s"))).first()[0] or 0
+    # Dealt by the hash of the item, which needs no order over all; twice as many blocks as the mean needs.
+    blocks = -(-2 * total // BLOCK) if total > BLOCK else 1
+    for k in range(blocks):
+        own = (sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("id", "s"), F.lit(blocks)) == k)).collect()
+        if own:
+            yield spark.sparkContext.broadcast(_Index([r.id for r in own], [np.array(r.s, np.int64).view(np.uint64) for r in own]))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document and test item it contains: doc_id, item_id, item_shingles, shared, containment.
 
@@ -109,20 +138,17 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     d = T.pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    i = T.pick(items, id=item_col, text=item_text).withColumn("id", F.col("id").cast("long"))
-    sets = i.mapInArrow(_item_sets(width), "id long, s array<long>").where("size(s) > 0")
-    # Blocks by hash of the item, so that dealing them needs no order over all items.
-    total = sets.agg(F.sum(F.size("s"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // BLOCK)) if total > BLOCK else 1
-    out = []
-    for k in range(blocks):
-        own = (sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("id", "s"), F.lit(blocks)) == k)).collect()
-        if own:
-            index = spark.sparkContext.broadcast(_Index([r.id for r in own], [np.array(r.s, np.int64).view(np.uint64) for r in own]))
-            out.append(d.mapInArrow(_search(index, width, percent), RESULT))
+    out = [d.mapInArrow(_search(index, width, percent), RESULT) for index in _indexes(spark, items, item_col, item_text, width)]
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], RESULT)
 
 
+def clean(docs: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``text`` contains no test item."""
+    for index in _indexes(docs.sparkSession, items, item_col, item_text, width):
+        docs = docs.mapInArrow(_drop(index, width, percent), docs.schema)
+    return docs
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contained_items(T.documents(spark, sf_dir, "doc_id", "text"), items)
