@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +20,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm import text as T
-from tarnlake.llm.bpe_segment import tokenizer_path
+from tarnlake.llm.bpe_segment import _byte_letters, tokenizer_path
 from tarnlake.session import scratch_path
 
 _CONTROL, _BLANK = re.compile(r"[\x1c-\x1f]"), re.compile(r"[ \t-\r]+")
+#: Letters that are one code point in every normal form, then marks other than the apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 
 
 class _Encoder:
-    """The library's ids for whole texts. Texts are cut at white space, where its splitting never joins, and each distinct part is encoded once while it is held."""
+    """The library's ids for whole texts.
 
-    LIMIT = 400_000
+    Texts are cut at white space, where its splitting never joins, and each distinct part is encoded once while
+    it is held. A part of Latin letters, or of these and then marks, is two pieces to the library's splitter and needs no
+    more than its model; every other part goes through all of its steps.
+    """
+
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -37,17 +45,36 @@ class _Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.model = self.lib.model
         self.ids: dict[str, bytes] = {}
+        self.marks: dict[str, list[int]] = {"": []}
+        letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
+        byte = {bytes([b]): c for b, c in _byte_letters().items()}
+        self.spelt = str.maketrans({c: "".join(byte[bytes([b])] for b in c.encode()) for c in letters})
+
+    def whole(self, text: str) -> list[int]:
+        return self.lib.encode(text, add_special_tokens=False).ids
+
+    def part(self, w: str) -> bytes:
+        m = _PLAIN.fullmatch(w)
+        if not m:
+            return array("i", self.whole(w)).tobytes()
+        word, marks = m.groups()
+        if marks not in self.marks:
+            if len(self.marks) > 50_000:
+                self.marks = {"": []}
+            self.marks[marks] = self.whole(marks)
+        return array("i", [t.id for t in self.model.tokenize(word.lower().translate(self.spelt))] + self.marks[marks]).tobytes()
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         # str.split also cuts at four control characters that the library keeps.
         cut = [t.split() if not _CONTROL.search(t) else [w for w in _BLANK.split(t) if w] for t in texts]
+        now = set().union(*cut)
         if len(self.ids) > self.LIMIT:
-            self.ids = {}
-        new = list(set().union(*cut) - self.ids.keys())
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[w] = np.array(e.ids, np.int32).tobytes()
-        last, ids = np.array([end], np.int32).tobytes(), self.ids.__getitem__
+            self.ids = {w: self.ids[w] for w in now if w in self.ids}
+        for w in now - self.ids.keys():
+            self.ids[w] = self.part(w)
+        last, ids = array("i", [end]).tobytes(), self.ids.__getitem__
         return [np.frombuffer(b"".join([*map(ids, c), last]), np.int32) for c in cut]
 
 
