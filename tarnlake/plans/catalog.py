@@ -10,7 +10,9 @@ FLAGSHIP = "k1_portfolio_at_risk"
 
 
 def _modules():
-    return []
+    from tarnlake.plans import governance, history, kpis
+
+    return [kpis, history, governance]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
