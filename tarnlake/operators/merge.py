@@ -74,13 +74,21 @@ def scd2_apply(state: DataFrame, changes: DataFrame, key: list[str], ts: str, co
     Unchanged records that are sent again open nothing; several changes of a key in one batch each become a
     version; a batch that was applied before changes nothing. Late rows, older than the open version, are left out.
     """
-    open_ = state.where("is_current")
-    closed = state.where("not is_current")
     columns = [c for c in state.columns if c not in ("effective_start", "effective_end", "is_current")]
-    start = open_.select(*key, F.col("effective_start").alias("_open"))
-    fresh = changes.join(start, key, "left").where(F.col("_open").isNull() | (F.col(ts) > F.col("_open"))).select(*columns)
-    again = scd2_history(open_.withColumn(ts, F.col("effective_start")).select(*columns).unionByName(fresh), key, ts, compare, tiebreak)
-    return closed.unionByName(again.select(*state.columns))
+    kind = dict(state.dtypes)[ts]
+    held = state.withColumn(ts, F.col("effective_start")).select(*columns, "effective_end", (~F.col("is_current")).alias("_closed"), F.lit(False).alias("_new"))
+    fresh = changes.select(*columns, F.lit(None).cast(dict(state.dtypes)["effective_end"]).alias("effective_end"), F.lit(False).alias("_closed"), F.lit(True).alias("_new"))
+    # One union, and one shuffle on the key that serves every window below.
+    rows = held.unionByName(fresh)
+    rows = rows.withColumn("_open", F.max(F.when(~F.col("_closed") & ~F.col("_new"), F.col(ts))).over(Window.partitionBy(*key)))
+    rows = rows.where(~F.col("_new") | F.col("_open").isNull() | (F.col(ts) > F.col("_open")))
+    w = Window.partitionBy(*key, "_closed").orderBy(F.col(ts), *[F.col(c) for c in tiebreak or []])
+    last = rows.withColumn("_next", F.lead(ts).over(w)).where(F.col("_closed") | F.col("_next").isNull() | (F.col("_next") != F.col(ts)))
+    now = F.struct(*compare)
+    kept = last.withColumn("_before", F.lag(now).over(w)).where(F.col("_closed") | F.col("_before").isNull() | ~F.col("_before").eqNullSafe(now))
+    end = F.when(F.col("_closed"), F.col("effective_end")).otherwise(F.coalesce(F.lead(ts).over(w), end_of_time().cast(kind)))
+    out = kept.withColumn("effective_end", end).withColumn("effective_start", F.col(ts))
+    return out.withColumn("is_current", ~F.col("_closed") & (F.col("effective_end") == end_of_time().cast(kind))).select(*state.columns)
 
 
 def scd2_two_pass(state: DataFrame, changes: DataFrame, key: list[str], ts: str, compare: list[str]) -> DataFrame:
