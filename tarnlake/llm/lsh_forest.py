@@ -11,7 +11,9 @@ get the full sets, and every pair of different components whose agreement could
 threshold is decided on them; pairs within one component need no look, so a group of thousands
 of copies costs a few links each, not their square.
 
-Split regions stay joined: the least document of each part also meets those of the other parts.
+Split regions lose nothing: the least document of each part also meets those of the other parts, and at
+the end the documents of a split region that are still outside its main component meet all its others, in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -189,8 +191,8 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return materialize(joined.where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("a", "b"), "links")
 
 
-def _place(reps: DataFrame) -> DataFrame:
-    """(region, id): the regions of the forest that hold two documents or more."""
+def _place(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, id): the regions of the forest that hold two documents or more; (k1, id): the regions that were split."""
     trees = reps.select("id", F.explode(F.arrays_zip("k1", "k2", "k3")).alias("k")).select("id", "k.*")
     n1 = trees.groupBy("k1").agg(F.count("*").alias("n1")).where("n1 > 1")
     t = materialize(trees.join(n1, "k1"), "forest")
@@ -210,7 +212,29 @@ def _place(reps: DataFrame) -> DataFrame:
     out = small
     for more in (hubs2, mid, hubs3, last, spread):
         out = out.unionByName(more)
-    return out
+    return out, deep.select("k1", "id")
+
+
+def _blocks(split: DataFrame, comp: DataFrame) -> DataFrame:
+    """(region, id): every pair of a split region that has a document outside its main component meets in some block.
+
+    Those outside are dealt into blocks of REGION, and so are the main component's; each outside block meets every other
+    and every main one. Where all are of one component there is nothing to meet.
+    """
+    c = comp.select(F.col("id").alias("cid"), "component")
+    d = split.join(c, F.col("id") == F.col("cid"), "left").select("k1", "id", F.coalesce("component", "id").alias("comp"))
+    each = d.groupBy("k1", "comp").agg(F.count("*").alias("n"))
+    main = each.groupBy("k1").agg(F.max_by("comp", F.struct("n", F.negate("comp"))).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")).where("all > inside")
+    size = lambda n: F.expr(f"cast(greatest(1, ceil({n} / {REGION})) as int)")
+    d = d.join(main.select("k1", "main", size("(all - inside)").alias("outs"), size("inside").alias("ins")), "k1")
+    outside = d.where("comp <> main").withColumn("own", F.expr("pmod(xxhash64(id, 1), cast(outs as bigint))"))
+    inside = d.where("comp = main").withColumn("own", F.expr("pmod(xxhash64(id, 1), cast(ins as bigint))"))
+    key = lambda kind, a, b: F.xxhash64("k1", F.lit(kind), a, b).alias("region")
+    q = F.col("q").cast("long")
+    among = outside.withColumn("q", F.explode(F.expr("sequence(0, outs - 1)"))).select(key(1, F.least("own", q), F.greatest("own", q)), "id")
+    out = outside.withColumn("q", F.explode(F.expr("sequence(0, ins - 1)"))).select(key(2, F.col("own"), q), "id")
+    met = inside.withColumn("q", F.explode(F.expr("sequence(0, outs - 1)"))).select(key(2, q, F.col("own")), "id")
+    return among.unionByName(out).unionByName(met).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -228,7 +252,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sk = materialize(docs.mapInArrow(_sketch(width), "id long, n long, h1 long, h2 long, sig binary, k1 array<long>, k2 array<long>, k3 array<long>"), "sketches")
     classes = sk.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min_by(F.struct(F.col("id").alias("doc"), "sig", "k1", "k2", "k3"), "id").alias("r"))
     classes = materialize(classes.select(F.xxhash64("h1", "h2", "n").alias("id"), "n", "r.*"), "classes")
-    regions = _place(classes)
+    regions, split = _place(classes)
     rows = materialize(regions.distinct().join(classes.select("id", "n", "sig"), "id"), "regions")
     by_region = lambda d: d.repartition("region").sortWithinPartitions("region", "id")
     first = by_region(rows).mapInArrow(_propose(percent), "x long, y long, e double")
@@ -238,11 +262,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = materialize(text.mapInArrow(_shingles(width), "h1 long, h2 long, s array<long>").withColumn("n", F.size("s").cast("long")).select(F.xxhash64("h1", "h2", "n").alias("id"), "s"), "sets")
     links = _confirm(sets, best, percent)
     comp = connected_components(links)
-    placed = rows.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("region", "id", "n", "sig", F.coalesce("component", "id").alias("comp"))
-    open_ = placed.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
-    wide = placed.join(open_, "region").hint("merge").join(sets, "id").select("region", "id", "n", "sig", "comp", "s")
-    more = materialize(by_region(wide).mapInArrow(_decide(percent), "a long, b long").distinct(), "more")
-    comp = connected_components(links.unionByName(more))
+
+    def decide(placed: DataFrame, comp: DataFrame) -> DataFrame:
+        c = comp.select(F.col("id").alias("cid"), "component")
+        with_comp = placed.join(c, F.col("id") == F.col("cid"), "left").select("region", "id", "n", "sig", F.coalesce("component", "id").alias("comp"))
+        open_ = with_comp.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
+        wide = with_comp.join(open_, "region").hint("merge").join(sets, "id").select("region", "id", "n", "sig", "comp", "s")
+        return materialize(by_region(wide).mapInArrow(_decide(percent), "a long, b long").distinct(), "more")
+
+    links = links.unionByName(decide(rows, comp))
+    comp = connected_components(links)
+    last = _blocks(split, comp).join(classes.select("id", "n", "sig"), "id")
+    links = links.unionByName(decide(last, comp))
+    comp = connected_components(links)
     named = classes.select("id", "doc").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "component").select("id", "component_id")
