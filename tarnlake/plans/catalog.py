@@ -10,9 +10,9 @@ FLAGSHIP = "k1_portfolio_at_risk"
 
 
 def _modules():
-    from tarnlake.plans import governance, history, kpis
+    from tarnlake.plans import basics, governance, history, kpis
 
-    return [kpis, history, governance]
+    return [kpis, history, governance, basics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
