@@ -29,6 +29,18 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 
 
+class _Parts(dict):
+    """Encoded parts, each made when it is first asked for."""
+
+    def __init__(self, make, held=()):
+        super().__init__(held)
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.make(part)
+        return ids
+
+
 class _Encoder:
     """The library's ids for whole texts.
 
@@ -37,7 +49,7 @@ class _Encoder:
     more than its model; every other part goes through all of its steps.
     """
 
-    LIMIT = 500_000
+    LIMIT = 900_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,7 +58,7 @@ class _Encoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.model = self.lib.model
-        self.ids: dict[str, bytes] = {}
+        self.ids = _Parts(self.part)
         self.marks: dict[str, list[int]] = {"": []}
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
         byte = {bytes([b]): c for b, c in _byte_letters().items()}
@@ -69,11 +81,9 @@ class _Encoder:
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         # str.split also cuts at four control characters that the library keeps.
         cut = [t.split() if not _CONTROL.search(t) else [w for w in _BLANK.split(t) if w] for t in texts]
-        now = set().union(*cut)
         if len(self.ids) > self.LIMIT:
-            self.ids = {w: self.ids[w] for w in now if w in self.ids}
-        for w in now - self.ids.keys():
-            self.ids[w] = self.part(w)
+            # What the next texts hold is kept.
+            self.ids = _Parts(self.part, ((w, self.ids[w]) for c in cut for w in c if w in self.ids))
         last, ids = array("i", [end]).tobytes(), self.ids.__getitem__
         return [np.frombuffer(b"".join([*map(ids, c), last]), np.int32) for c in cut]
 
