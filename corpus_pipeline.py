@@ -13,8 +13,14 @@ from tarnlake.llm import bpe_segment, decontaminate, lsh_forest, quality_resampl
 from tarnlake.session import scratch_path
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts cross to Python in batches of fewer rows: less memory on both sides for long documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling against good labelled text rejects go."""
+    _small_batches(spark)
     return quality_resample.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
@@ -23,22 +29,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     An id is one document: of rows that repeat it one stays. Rows without an id stay.
     """
+    _small_batches(spark)
     kept = lsh_forest.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
+    _small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported secret in a text is replaced by a marker, and n_chars follows; all documents stay."""
+    _small_batches(spark)
     return secret_scan.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text encoded and decoded: doc_id, n_tokens, and the digests of the ids and of the text that they give back."""
+    _small_batches(spark)
     return bpe_segment.round_trip(docs, bpe_segment.tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -70,7 +70,7 @@ class SegmentBpe:
         at = np.searchsorted(self.keys, key)
         return self.keys[at] == key, self.ranks[at]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece, whatever its length."""
         out: list = [None] * len(pieces)
         size = np.array([len(p) for p in pieces])
@@ -88,7 +88,7 @@ class SegmentBpe:
                     out[i] = ids
         return out
 
-    def _beside(self, pieces: list[bytes], w: int) -> list[np.ndarray]:
+    def _beside(self, pieces: list[bytes], w: int) -> list[list[int]]:
         n = len(pieces)
         size = np.array([len(p) for p in pieces])
         sym = np.full((n, w + 1), -1, np.int64)
@@ -131,9 +131,10 @@ class SegmentBpe:
             live = live[tree[live, 1] < _FAR]
         sym = sym[:, :w]
         keep = sym >= 0
-        return np.split(sym[keep], np.cumsum(keep.sum(1))[:-1])
+        flat, ends = sym[keep].tolist(), np.cumsum(keep.sum(1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _alone(self, piece: bytes) -> np.ndarray:
+    def _alone(self, piece: bytes) -> list[int]:
         n = len(piece)
         w = 1 << (n - 1).bit_length()
         sym = [int(x) for x in self.single[np.frombuffer(piece, np.uint8)]]
@@ -167,7 +168,7 @@ class SegmentBpe:
             put(i, leaf(i))
             if before[i] >= 0:
                 put(before[i], leaf(before[i]))
-        return np.array([s for s in sym if s >= 0], np.int64)
+        return [s for s in sym if s >= 0]
 
     def split(self, chunk: str) -> list[bytes]:
         if max(chunk, default="") > _SETTLED:
@@ -193,37 +194,54 @@ class SegmentBpe:
         return b"".join(self.bytes_of[int(i)] for i in ids).decode("utf-8", "replace")
 
 
+class _Same(dict):
+    """What a chunk decodes to, where that is not the chunk itself."""
+
+    def __missing__(self, chunk: str) -> str:
+        return chunk
+
+
 class Cached:
     """Encodes many texts; each distinct chunk and piece once while it is held. What is held is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, bpe: SegmentBpe):
-        self.bpe, self.ids, self.text, self.pieces = bpe, {}, {}, {}
+        self.bpe, self.ids, self.text, self.pieces = bpe, {}, _Same(), {}
         self.number = [str(i) for i in range(max(bpe.bytes_of) + 1)]
 
+    def forget(self) -> None:
+        """Give the memory back; a worker process outlives its tasks."""
+        self.ids, self.text, self.pieces = {}, _Same(), {}
+
     def learn(self, chunks: set[str]) -> None:
         if len(self.ids) > self.LIMIT:
-            self.ids, self.text, self.pieces = {}, {}, {}
+            # What these texts hold is kept, and with it what is frequent.
+            self.ids = {c: self.ids[c] for c in chunks if c in self.ids}
+            self.text = _Same((c, self.text[c]) for c in self.ids if c in self.text)
+            self.pieces = {}
         bpe, cut, alone = self.bpe, {}, []
         for c in chunks - self.ids.keys():
             if c in bpe.special:
-                self.ids[c], self.text[c] = str(bpe.special[c]), bpe.decode([bpe.special[c]])
+                self._hold(c, str(bpe.special[c]), bpe.decode([bpe.special[c]]))
             elif (c[1:].isalpha() and c[0] == " " or c.isalpha()) and max(c) <= _SETTLED:
                 alone.append(c)  # a word is one piece
             else:
                 cut[c] = bpe.split(c)
         new = list({p for ps in cut.values() for p in ps} - self.pieces.keys())
         number, raw = self.number.__getitem__, bpe.bytes_of.__getitem__
-        made = [(",".join(map(number, x)), b"".join(map(raw, x))) for x in (ids.tolist() for ids in bpe.encode_pieces([c.encode() for c in alone] + new))]
+        made = [(",".join(map(number, x)), b"".join(map(raw, x))) for x in bpe.encode_pieces([c.encode() for c in alone] + new)]
         for c, (ids, back) in zip(alone, made):
-            back = back.decode("utf-8", "replace")
-            self.ids[c], self.text[c] = ids, c if back == c else back
-        self.pieces.update(zip(new, made[len(alone) :]))
+            self._hold(c, ids, back.decode("utf-8", "replace"))
+        self.pieces.update((p, (ids, p if back == p else back)) for p, (ids, back) in zip(new, made[len(alone) :]))
         for c, ps in cut.items():
             own = [self.pieces[p] for p in ps]
-            back = b"".join([x[1] for x in own]).decode("utf-8", "replace")
-            self.ids[c], self.text[c] = ",".join([x[0] for x in own]), c if back == c else back
+            self._hold(c, ",".join([x[0] for x in own]), b"".join([x[1] for x in own]).decode("utf-8", "replace"))
+
+    def _hold(self, chunk: str, ids: str, back: str) -> None:
+        self.ids[chunk] = ids
+        if back != chunk:
+            self.text[chunk] = back
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """(decimal ids joined by commas, decoded text) of each."""
@@ -253,6 +271,7 @@ def _digest(path: str):
                 ids = [hashlib.sha256(i.encode()).hexdigest() for i, _ in done]
                 back = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for _, t in done]
                 yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(n)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.forget()
 
     return run
 
@@ -264,6 +283,7 @@ def _encode(path: str):
             for at, part in T.slices(b["text"], 1 << 20):
                 done = [np.array(i.split(","), np.int32) if i else np.zeros(0, np.int32) for i, _ in enc.encode([x or "" for x in part.to_pylist()])]
                 yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(done)), T.lists(done, pa.int32())], ["doc_id", "ids"])
+        enc.forget()
 
     return run
 

@@ -272,9 +272,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     links = links.unionByName(decide(rows, comp))
     comp = connected_components(links)
-    last = _blocks(split, comp).join(classes.select("id", "n", "sig"), "id")
-    links = links.unionByName(decide(last, comp))
-    comp = connected_components(links)
+    split = materialize(split, "split")
+    if not split.isEmpty():
+        last = _blocks(split, comp).join(classes.select("id", "n", "sig"), "id")
+        links = links.unionByName(decide(last, comp))
+        comp = connected_components(links)
     named = classes.select("id", "doc").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "component").select("id", "component_id")

@@ -104,7 +104,7 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, part of the column) with about ``most`` bytes each; a longer text is a part of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

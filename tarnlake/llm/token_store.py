@@ -23,7 +23,6 @@ from tarnlake.llm import text as T
 from tarnlake.llm.bpe_segment import _byte_letters, tokenizer_path
 from tarnlake.session import scratch_path
 
-_CONTROL, _BLANK = re.compile(r"[\x1c-\x1f]"), re.compile(r"[ \t-\r]+")
 #: Letters that are one code point in every normal form, then marks other than the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
@@ -44,7 +43,7 @@ class _Parts(dict):
 class _Encoder:
     """The library's ids for whole texts.
 
-    Texts are cut at white space, where its splitting never joins, and each distinct part is encoded once while
+    Texts are cut at ASCII white space, where its splitting never joins, and each distinct part is encoded once while
     it is held. A part of Latin letters, or of these and then marks, is two pieces to the library's splitter and needs no
     more than its model; every other part goes through all of its steps.
     """
@@ -78,14 +77,29 @@ class _Encoder:
             self.marks[marks] = self.whole(marks)
         return array("i", [t.id for t in self.model.tokenize(word.lower().translate(self.spelt))] + self.marks[marks]).tobytes()
 
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        # str.split also cuts at four control characters that the library keeps.
-        cut = [t.split() if not _CONTROL.search(t) else [w for w in _BLANK.split(t) if w] for t in texts]
+    def encode(self, texts: pa.Array, end: int) -> pa.ListArray:
+        """The ids of each text and the end, as one list column.
+
+        Parts are cut at ASCII white space and numbered by Arrow, so each distinct one of a slice is looked up once,
+        and the ids are laid out by their places.
+        """
+        parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = parts.values.dictionary_encode()
         if len(self.ids) > self.LIMIT:
             # What the next texts hold is kept.
-            self.ids = _Parts(self.part, ((w, self.ids[w]) for c in cut for w in c if w in self.ids))
-        last, ids = array("i", [end]).tobytes(), self.ids.__getitem__
-        return [np.frombuffer(b"".join([*map(ids, c), last]), np.int32) for c in cut]
+            self.ids = _Parts(self.part, ((w, self.ids[w]) for w in coded.dictionary.to_pylist() if w in self.ids))
+        found = [*map(self.ids.__getitem__, coded.dictionary.to_pylist()), array("i", [end]).tobytes()]
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        pool, start = np.frombuffer(b"".join(found), np.int32), np.cumsum(size, dtype=np.int32) - size
+        cuts = parts.offsets.to_numpy()
+        # The end is one more part of each text.
+        word = np.insert(coded.indices.to_numpy(), cuts[1:] - cuts[0], len(found) - 1)
+        n = size[word]
+        after = np.cumsum(n, dtype=np.int64)
+        at = np.repeat((start[word] - (after - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        ends = after[cuts[1:] - cuts[0] + np.arange(len(texts))]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(pool[at]))
 
 
 _held: dict[str, _Encoder] = {}
@@ -97,9 +111,9 @@ def _encode(path: str, end: int):
             _held[path] = _Encoder(path)
         for b in batches:
             part = b["part"]
-            for at, texts in T.slices(b["text"], 1 << 20):
-                ids = _held[path].encode([x or "" for x in texts.to_pylist()], end)
-                yield pa.RecordBatch.from_arrays([part.slice(at, len(ids)), b["id"].slice(at, len(ids)), pa.array([len(i) for i in ids], pa.int32()), T.lists(ids, pa.int32())], ["part", "doc_id", "n_tokens", "ids"])
+            for at, texts in T.slices(b["text"], 1 << 22):
+                ids = _held[path].encode(texts, end)
+                yield pa.RecordBatch.from_arrays([part.slice(at, len(ids)), b["id"].slice(at, len(ids)), pc.list_value_length(ids), ids], ["part", "doc_id", "n_tokens", "ids"])
 
     return run
 
