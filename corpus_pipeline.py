@@ -43,7 +43,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported secret in a text is replaced by a marker, and n_chars follows; all documents stay."""
     _small_batches(spark)
-    return secret_scan.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    named = docs.withColumn("_repo", F.concat_ws("/", "source", "lang"))
+    masked = secret_scan.mask(named, repo_col="_repo", max_owners=secret_scan.MAX_OWNERS, max_repos=secret_scan.MAX_REPOS)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each text gives base spans (three fixed patterns) and further candidates (long mixed tokens and key
 material that the patterns leave out). The hash of every candidate's value is then counted over the
-whole corpus by distinct repositories and owners. A value that several owners hold is a widely copied
+whole corpus by distinct repositories and owners, where all copies and near copies of a text count as one
+holder. A value with more than ``MAX_OWNERS`` owners and more than ``MAX_REPOS`` repositories is a widely copied
 example; one that stays with a single owner, or with few, and looks live (high entropy, no marks of a
 sample) is a credential. Base spans always stay, with their verdict as a count; other candidates are
 added as spans only where their ownership says credential.
@@ -20,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.llm import lsh_forest
 from tarnlake.llm import text as T
 from tarnlake.session import materialize
 
+#: A value is widely copied beyond both; the query and the pipeline use these.
+MAX_OWNERS, MAX_REPOS = 4, 8
 # The base kinds in their order, with the part of a match that is the value and its least length.
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 12),
@@ -31,11 +35,14 @@ BASE = (
 )
 #: Further candidates, in their order after the base kinds.
 MORE = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----")),
+    # The body is all up to the END line, headers included.
+    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?=[^-]{16}|[^-]*-(?!----))(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----")),
     ("signed", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("opaque", re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")),
 )
 KINDS = {k: i for i, k in enumerate([*(b[0] for b in BASE), *(m[0] for m in MORE)])}
+#: Lines of encoded bytes hold a sample's marks by chance.
+_ENCODED = re.compile(r"[A-Za-z0-9+/=]{40,}")
 _SAMPLE = re.compile(r"example|sample|dummy|changeme|placeholder|your|xxxx|1234567|abcdef|test", re.I)
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 OUT = "id long, mark string, owner string, repo string, base_sha256 string, n_assign long, n_access long, n_hex long, base string, found array<struct<kind:string,start:int,end:int,h:long,live:boolean>>"
@@ -46,7 +53,7 @@ def live_looking(value: str) -> bool:
     """Whether a value could be a real credential: varied characters, no marks of a sample."""
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return bits >= 3.0 and not _SAMPLE.search(value)
+    return bits >= 3.0 and not _SAMPLE.search(_ENCODED.sub("", value) if value.startswith("-----BEGIN") else value)
 
 
 def _opaque(value: str) -> bool:
@@ -65,14 +72,14 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def more_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Candidates of the further kinds that no base span touches."""
+    """Candidates of the further kinds that no base span touches; key material may hold some."""
     out = []
     for kind, pattern in MORE:
         if kind == "pem" and "PRIVATE KEY-----" not in text or kind == "signed" and "eyJ" not in text:
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
-            if (kind != "opaque" or _opaque(m[0])) and not any(s < b[2] and b[1] < e for b in (*base, *out)):
+            if (kind != "opaque" or _opaque(m[0])) and not any(s < b[2] and b[1] < e and not (kind == "pem" and s <= b[1] and b[2] <= e) for b in (*base, *out)):
                 out.append((kind, s, e, m[0]))
     return out
 
@@ -100,16 +107,17 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([b["id"], b["mark"], b["owner"], b["repo"], *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["id", "mark", "owner", "repo", "base_sha256", "n_assign", "n_access", "n_hex", "base", "found"])
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, max_repos: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied.
 
     ``spans`` lists kind:start:end (code points, end exclusive) by start, then kind. ``n_copied``
-    counts spans whose value more than ``max_owners`` owners hold; ``n_owned`` counts those held by
-    ``max_owners`` at most that look live. The repository is ``repo_col``, or the owner where the table has
-    none. Null and empty texts have no span; a null owner counts as one owner of its own; repeated
+    counts spans whose value more than ``max_owners`` owners and more than ``max_repos`` repositories (as many, if not
+    given) hold; ``n_owned`` counts the others that look live. Equal texts and near copies (five-word shingles, similarity
+    0.8) are one holder, under their least owner and repository. ``most_repos`` counts repositories with
+    all copies. The repository is ``repo_col``, or the owner where the table has none. Null and empty texts have no span; a null owner counts as one owner of its own; repeated
     rows repeat their results but count once as owners. An empty table gives no rows.
     """
-    found, verdict = _verdicts(df, id_col, text_col, owner_col, repo_col, max_owners)
+    found, verdict = _verdicts(df, id_col, text_col, owner_col, repo_col, max_owners, max_repos)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return found.join(verdict, "mark", "left").select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_owned"), zero("n_copied"), zero("most_repos"))
 
@@ -119,24 +127,47 @@ def _mark(text):
     return F.concat_ws(":", F.xxhash64(text), F.hash(text), F.length(text))
 
 
-def _verdicts(df, id_col, text_col, owner_col, repo_col, max_owners):
+def _held(each: DataFrame) -> DataFrame:
+    """Owners and repositories of each value. Counted in steps: each meets only a partial count of a value that many rows hold."""
+    held = each.groupBy("h", "owner", "repo").agg(F.count("*").alias("n"))
+    held = held.groupBy("h", "owner").agg(F.count("*").alias("repos"))
+    return held.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+
+
+def _holders(docs: DataFrame, each: DataFrame, beyond) -> DataFrame:
+    """h, owners, repos, all_repos: by near-copy classes of texts wherever plain counts go beyond the limits.
+
+    Classes can only lower a count, so values within the limits need none.
+    """
+    held = _held(each).withColumn("all_repos", F.col("repos"))
+    many = held.where(beyond).select("h")
+    once = materialize(each.join(many, "h", "left_semi").groupBy("h", "mark").agg(F.min(F.struct("owner", "repo")).alias("o")), "holders")
+    if once.isEmpty():
+        return held
+    marks = once.select("mark").distinct()
+    texts = docs.withColumn("mark", _mark(F.col("text"))).select("mark", "text").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
+    group = lsh_forest.near_duplicates(texts.select(F.xxhash64("mark").alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id")
+    one = once.join(group, F.xxhash64("mark") == F.col("own")).groupBy("h", "component_id").agg(F.min("o").alias("o")).select("h", "o.*")
+    less = _held(one).select(F.col("h").alias("value"), F.col("owners").alias("fewer"), F.col("repos").alias("least"))
+    return held.join(less, F.col("h") == F.col("value"), "left").select("h", F.coalesce("fewer", "owners").alias("owners"), F.coalesce("least", "repos").alias("repos"), "all_repos")
+
+
+def _verdicts(df, id_col, text_col, owner_col, repo_col, max_owners, max_repos):
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"), F.coalesce(df[owner_col].cast("string"), F.lit("")).alias("owner"), F.coalesce(df[repo_col or owner_col].cast("string"), F.lit("")).alias("repo"))
     found = materialize(docs.withColumn("mark", _mark(F.col("text"))).mapInArrow(_scan, OUT), "secrets")
     each = found.where("size(found) > 0").select("mark", "owner", "repo", F.explode("found").alias("f")).select("mark", "owner", "repo", "f.*")
-    # Counted in steps: each meets only a partial count of a value that many rows hold.
-    held = each.groupBy("h", "owner", "repo").agg(F.count("*").alias("n"))
-    held = held.groupBy("h", "owner").agg(F.count("*").alias("repos"))
-    held = held.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    copied = (F.col("owners") > max_owners) & (F.col("repos") > (max_owners if max_repos is None else max_repos))
+    held = _holders(docs, each, copied)
     known = each.dropDuplicates(["mark", "kind", "start"]).join(held, "h")
     base = F.col("kind").isin(*[b[0] for b in BASE])
-    owned = F.col("live") & (F.col("owners") <= max_owners)
+    owned = F.col("live") & ~copied
     order = F.create_map(*[x for k, i in KINDS.items() for x in (F.lit(k), F.lit(i))])
     span = F.struct("start", order[F.col("kind")].alias("o"), F.concat_ws(":", "kind", "start", "end").alias("s"))
     return found, known.groupBy("mark").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(base | owned, span))), lambda x: x["s"]), ",").alias("spans"),
         F.count_if(owned).alias("n_owned"),
-        F.count_if(F.col("owners") > max_owners).alias("n_copied"),
-        F.max("repos").alias("most_repos"),
+        F.count_if(copied).alias("n_copied"),
+        F.max("all_repos").alias("most_repos"),
     )
 
 
@@ -154,13 +185,13 @@ def _masked(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([one(t, x) for t, x in zip(text, spans)])
 
 
-def mask(df: DataFrame, text_col: str = "text", max_owners: int = 1, **columns: str) -> DataFrame:
+def mask(df: DataFrame, text_col: str = "text", max_owners: int = 1, max_repos: int | None = None, **columns: str) -> DataFrame:
     """The table with the characters of every reported span replaced by one marker; all rows and columns stay.
 
     Spans that overlap become one marker. Rows without a span, and null or empty texts, are unchanged.
     """
     cols = df.columns
-    _, verdict = _verdicts(df, columns.get("id_col", "doc_id"), text_col, columns.get("owner_col", "source"), columns.get("repo_col"), max_owners)
+    _, verdict = _verdicts(df, columns.get("id_col", "doc_id"), text_col, columns.get("owner_col", "source"), columns.get("repo_col"), max_owners, max_repos)
     spans = verdict.where("spans <> ''").select(F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
     joined = df.withColumn("_own", _mark(F.col(text_col))).join(spans, F.col("_own") == F.col("_mark"), "left")
     return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_masked, "string")(text_col, "_spans"))).select(*cols)
@@ -168,4 +199,4 @@ def mask(df: DataFrame, text_col: str = "text", max_owners: int = 1, **columns:
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = T.documents(spark, sf_dir, "doc_id", "text", "source", "lang").withColumn("repo", F.concat_ws("/", "source", "lang"))
-    return scan(docs, repo_col="repo")
+    return scan(docs, repo_col="repo", max_owners=MAX_OWNERS, max_repos=MAX_REPOS)
