@@ -227,6 +227,46 @@ def test_model_probabilities_add_up():
     assert abs(total - 1) < 1e-4
 
 
+def test_every_block_teaches_the_mixer():
+    """One long text against plain code that updates after each block."""
+    rng = np.random.default_rng(1)
+    n, k, step = 48 * 13 + 5, len(lm_mixing.ORDERS), lm_mixing.STEP
+    odds, gate = rng.integers(-30, 60, (n, k)).astype(np.int8), rng.integers(0, lm_mixing.GATES, n).astype(np.int8)
+    got = lm_mixing.Mixer([np.arange(n)], odds, gate, np.full(n, 1)).run()[0]
+    w, cells, total = lm_mixing.START.astype(float), (np.arange(lm_mixing._CELLS) + 0.5) / 4, 0.0
+    for lo in range(0, n, step):
+        s, g = odds[lo : lo + step].astype(float), gate[lo : lo + step]
+        z = np.clip((s * w[g]).sum(1) / lm_mixing.SCALE, -12, 12)
+        c = np.minimum(abs(z) * 4, lm_mixing._CELLS - 1).astype(int)
+        met = np.sign(z) * cells[c]
+        total -= np.log1p(np.exp(-0.75 * z - 0.25 * met)).sum()
+        for q in range(lm_mixing.GATES):
+            if (g == q).any():
+                seen = (g == q).sum()
+                w[q] += lm_mixing.RATE * np.sqrt(min(seen, 400)) / seen / lm_mixing.SCALE * (s / (1 + np.exp(z))[:, None])[g == q].sum(0)
+        old = cells.copy()
+        for q in np.unique(c):
+            side = np.sign(z[c == q])
+            cells[q] += lm_mixing.MAP_RATE * (side / (1 + np.exp(side * old[q]))).sum() / np.sqrt((c == q).sum())
+    assert abs(got - total) < 1e-3 * abs(total) / 100
+
+
+def test_starting_weights_are_fitted_in_the_run():
+    """The fit finds the orders that tell, and only training texts have a part in it."""
+    code = lm_mixing.Code(np.arange(1, 257))
+    words = [bytes([97 + i % 26, 98 + i % 7]) for i in range(400)]
+    slots, branch, _ = lm_mixing.expand(words, np.zeros(400, np.int64), code)
+    table, sure = np.zeros(lm_mixing.SLOTS, np.int8), np.full(lm_mixing.SLOTS, 4, np.int8)
+    table[slots[2]] = np.where(branch, 10, -10)
+    table[slots[0]] = np.random.default_rng(5).integers(-20, 20, len(branch))
+    start = lm_mixing.fit_start(words, np.zeros(400, np.int8), code, table, sure)
+    assert start[14, 2] > 2 * lm_mixing.START[14, 2] and start[14, 2] > 2 * start[14, 0]
+    assert (lm_mixing.fit_start([], np.zeros(0, np.int8), code, table, sure) == lm_mixing.START).all()
+    train = np.arange(5000) % 7 != 2
+    own = lm_mixing._for_fit(pa.array(range(5000)), train, lm_mixing.FIT_SHARE)
+    assert not own[~train].any() and 150 < own.sum() < 400
+
+
 def test_mixing_beats_the_base_on_held_out_text(spark):
     got = lm_mixing.op6_lm_mixing(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
