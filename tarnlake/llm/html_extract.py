@@ -6,7 +6,9 @@ characters by its tags. Ratios are smoothed by a Gaussian over neighbouring line
 threshold (a share of the deviation of the smoothed ratios) are content. Regions follow: the container that holds
 most of the content's characters is the article, unless the page names one (article, main), and all of its lines
 are its text, short ones included, save those in containers that are never content (menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments), by element, role or class words.
+footers, sidebars, notices, adverts, forms, reader comments), by element or role, or by class words. Class words
+are evidence only: a container so named stays if it holds most of the content's characters (``HOLDS``; nearly
+all of them where a class begins with the word, as in "sidebar" but not in "has-sidebar").
 """
 
 from __future__ import annotations
@@ -33,8 +35,13 @@ _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|promoted|nav\w*|menu\w*|header|footer|sidebar|side-bar|aside|widget|breadcrumbs?|cookies?|consent|gdpr|notice|notices|notification|popup|modal|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|reader-comments|related|share|sharing|social|toolbar|pagination|pager|skip|copyright|legal|masthead|topbar|bottombar)(?=$|[\s_-])",
     re.I,
 )
+#: The head of a piece of content, which carries its title.
+_OWN_HEAD = re.compile(r"(?:^|(?<=[\s_-]))(?:entry|post|article|story|content)[_-]header(?=$|[\s_-])", re.I)
+_HEAD = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
 _GAP = re.compile(r"\s+")
 RADIUS, SIGMA, SHARE = 2, 1.0, 0.5
+#: The share of the content from which a container stays in spite of class words: inside a name, at its beginning.
+HOLDS = (0.5, 0.9)
 
 
 class _Lines(HTMLParser):
@@ -45,6 +52,8 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.stack: list[tuple[str, int, bool]] = []
         self.main: list[int] = []
+        # Containers that class words speak against: whether a class begins with the word.
+        self.named: dict[int, bool] = {}
         self.held: list[str] = []
         self.tags = self.count = self.silent = self.never = 0
 
@@ -61,7 +70,16 @@ class _Lines(HTMLParser):
         self.silent -= tag in SILENT
         self.never -= drop
 
+    def named_by(self, value: str) -> bool | None:
+        """Whether a class or id begins with a never-content word; None where it holds none."""
+        value = (_HEAD if any(n in self.main for _, n, _ in self.stack) else _OWN_HEAD).sub("", value)
+        found = [m[0] for m in _WORDS.finditer(value)]
+        return any(x[0] not in "_-" for x in found) if found else None
+
     def handle_starttag(self, tag, attrs):
+        # The end of the head may be left out; the body or a block ends it.
+        if tag in BLOCKS and tag != "html" and self.silent == 1 and any(t == "head" for t, _, _ in self.stack):
+            self.close_to("head", ())
         if tag in BLOCKS or tag in SILENT:
             if tag in BLOCKS:
                 self.flush()
@@ -75,14 +93,18 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in BLOCKS or tag in SILENT:
-            drop = tag in NEVER
+            drop, named = tag in NEVER, None
             for k, v in attrs:
-                if v and not drop and (k in ("class", "id") and _WORDS.search(v) and tag not in ("body", "html", "article", "main") or k == "role" and v.strip().lower() in ROLES) or k == "hidden" or k == "aria-hidden" and v == "true":
+                if v and k == "role" and v.strip().lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
                     drop = True
+                elif v and k in ("class", "id") and tag not in ("body", "html", "article", "main") and (by := self.named_by(v)) is not None:
+                    named = by or bool(named)
             # A header inside the article carries its title.
             if tag == "header" and any(n in self.main for _, n, _ in self.stack):
                 drop = False
             self.count += 1
+            if named is not None and tag != "header":
+                self.named[self.count] = named
             self.stack.append((tag, self.count, drop))
             self.silent += tag in SILENT
             self.never += drop
@@ -125,6 +147,20 @@ def ratios(lines: list[tuple[str, int, tuple[int, ...], bool]]) -> np.ndarray:
     return np.convolve(np.pad(raw, RADIUS, mode="edge"), kernel / kernel.sum(), "valid")
 
 
+def _named(p: _Lines, lines: list, content: np.ndarray) -> np.ndarray:
+    """The lines in containers that class words speak against and that hold too little of the content."""
+    held = dict.fromkeys(p.named, 0)
+    total = 0
+    for line, c in zip(lines, content):
+        if c:
+            total += len(line[0])
+            for n in line[2]:
+                if n in held:
+                    held[n] += len(line[0])
+    out = {n for n, w in held.items() if w < HOLDS[p.named[n]] * total or not w}
+    return np.array([any(n in out for n in line[2]) for line in lines], bool)
+
+
 def main_text(html: str | None) -> tuple[str, int, int]:
     """(text, lines taken, lines of the page)."""
     p = _Lines()
@@ -137,6 +173,7 @@ def main_text(html: str | None) -> tuple[str, int, int]:
     smooth = ratios(lines)
     content = smooth >= min(SHARE * smooth.std() + smooth.min(), smooth.max())
     usable = np.array([not line[3] for line in lines])
+    usable &= ~_named(p, lines, content & usable if (content & usable).any() else usable)
     if not usable.any():
         return "", 0, len(lines)
     if not (content & usable).any():

@@ -172,6 +172,21 @@ def test_main_text_of_pages():
     assert got == ["Title\n\nPara one is a long text & more of it, long text long text.\n\nShort.\n\nPara two is long text with a link inside it.", "T\n\nOne two\n\nthree", "plain text", "", "", "cut short", ""]
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-ads", "single-nav", "widget"])
+def test_class_words_do_not_drop_the_content(name):
+    one, two = "Para one is a long text and more of it, long text long text.", "Para two is long text too, with a good many words in it."
+    post = f"<h1>Title</h1><p>{one}</p><p>{two}</p>"
+    side = "<div class=sidebar><p>Side text that is long enough</p></div>"
+    for inner in (f"<div class=post>{post}</div>", f"<article>{post}</article>", f"<article><div class='entry-header'><h1>Title</h1></div><p>{one}</p><p>{two}</p></article>", f"<div class=post><div class='entry-header'><h1>Title</h1></div><p>{one}</p><p>{two}</p></div>"):
+        for page in (f"<html><body><div class='{name}'>{inner}</div></body></html>", f"<body><div class='{name}'>{inner}</div>{side if name != 'widget' else ''}</body>", f"<body>{inner}{side}</body>"):
+            assert html_extract.main_text(page)[0] == f"Title\n\n{one}\n\n{two}", page
+
+
+def test_the_body_ends_an_open_head():
+    for page in ("<html><head><title>t</title><meta charset=x><body><p>The text</p></body></html>", "<head><style>p {}</style><p>The text</p>", "<head><noscript><p>no</p></noscript><body><p>The text</p>"):
+        assert html_extract.main_text(page)[0] == "The text"
+
+
 def test_pages_keep_rows(spark):
     df = spark.createDataFrame([(i, None, h, "c") for i, h in enumerate([*_pages(), _pages()[0]])], "page_id long, url string, html string, text string")
     rows = html_extract.extract(df).collect()
