@@ -2,7 +2,7 @@
 
 Writers hide words by look-alike signs (leetspeak), by spacing single letters and by repeating letters.
 Suspicious places of a text become lattices: every sign offers the letters it may stand for, a run of one letter
-offers itself once or twice, and separators between single letters vanish. The path that a character
+offers itself once or twice, and a separator between single letters vanishes or is a word break. The path that a character
 model of the corpus (trigrams over all documents, backed off to bigrams and letters) finds likeliest is the restored text.
 
 Words of the restored text, and their beginnings, then meet a lexicon learned from labelled documents:
@@ -41,9 +41,10 @@ _EDGE = "0-9@$€£"
 #: A run of letters and signs with a sign between or beside letters; marks that also end sentences count only inside.
 _LEET_PLACE = re.compile(rf"(?<![{_LETTER}0-9@$])(?=[{_LETTER}{_SIGNS}]*[{_LETTER}])[{_LETTER}{_EDGE}](?:[{_LETTER}{_SIGNS}]{{1,22}}[{_LETTER}{_EDGE}])(?![{_LETTER}0-9@$])", re.I)
 _PLAIN = re.compile(rf"[{_LETTER}]+|[^{_LETTER}]+", re.I)
-_SPACED = re.compile(rf"(?<![{_LETTER}0-9])[{_LETTER}{_SIGNS}](?:([ ._*~-])[{_LETTER}{_SIGNS}](?:\1[{_LETTER}{_SIGNS}]){{2,23}})(?![{_LETTER}0-9])", re.I)
+_SPACED = re.compile(rf"(?<![{_LETTER}0-9])[{_LETTER}{_SIGNS}](?:([ ._*~-])[{_LETTER}{_SIGNS}](?:\1[{_LETTER}{_SIGNS}]){{2,}})(?![{_LETTER}0-9])", re.I)
 _REPEAT = re.compile(rf"[{_LETTER}]*([{_LETTER}])\1\1[{_LETTER}]*", re.I)
-_HINT = re.compile(rf"[{_SIGNS}][{_LETTER}]|(?<![{_LETTER}])[{_LETTER}{_SIGNS}][ ._*~-][{_LETTER}{_SIGNS}][ ._*~-][{_LETTER}{_SIGNS}][ ._*~-]|([{_LETTER}])\1\1", re.I)
+#: What every match of the three patterns holds: a run of letters and signs has its last sign before a letter, or ends in signs.
+_HINT = re.compile(rf"[{_SIGNS}][{_LETTER}]|[{_LETTER}][{_SIGNS}]*[{_EDGE}]|(?<![{_LETTER}])[{_LETTER}{_SIGNS}][ ._*~-][{_LETTER}{_SIGNS}][ ._*~-][{_LETTER}{_SIGNS}][ ._*~-]|([{_LETTER}])\1\1", re.I)
 
 
 class CharModel:
@@ -60,22 +61,28 @@ class CharModel:
 
     @staticmethod
     def code(c: str) -> int:
-        return ord(c) - 96 if "a" <= c <= "z" else 27
+        return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
-    def decode(self, seen: str) -> str:
-        if seen not in self.held:
+    def decode(self, seen: str, spaced: bool = False) -> str:
+        if len(seen) > 64:
+            return self._decode(seen, spaced)
+        if (seen, spaced) not in self.held:
             if len(self.held) > 200_000:
                 self.held.clear()
-            self.held[seen] = self._decode(seen)
-        return self.held[seen]
-
-    def _decode(self, seen: str) -> str:
-        """The likeliest letters for one word as seen, its separators already gone."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for c, run in itertools.groupby(seen):
+            self.held[seen, spaced] = self._decode(seen, spaced)
+        return self.held[seen, spaced]
+
+    def _decode(self, seen: str, spaced: bool) -> str:
+        """The likeliest letters for one word as seen; ``spaced``: for single letters, a separator (left out here) between any two."""
+        # A path's letters are a chain back to its beginning.
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for at, (c, run) in enumerate(itertools.groupby(seen)):
             n = len(list(run))
             options = [(x * k, -0.7 * (n > 2)) for x in LEET.get(c, c) for k in ((1,) if n == 1 else (1, 2))]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            if spaced:
+                options += [(x * i + " " + x * j, -0.7 * (n > i + j)) for x in LEET.get(c, c) for i in (1, 2) for j in (1, 2) if i + j <= n]
+                options += [(" " + letters, cost) for letters, cost in options] if at else []
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, text) in paths.items():
                 for letters, cost in options:
                     s, p, q = score + cost, a, b
@@ -84,15 +91,20 @@ class CharModel:
                         s += self.log[p][q][k]
                         p, q = q, k
                     if (p, q) not in new or s > new[p, q][0]:
-                        new[p, q] = (s, text + letters)
+                        new[p, q] = (s, (text, letters))
             paths = new
-        return max(((s + self.log[a][b][0], t) for (a, b), (s, t) in paths.items()), default=(0, seen))[1]
+        chain = max(((s + self.log[a][b][0], t) for (a, b), (s, t) in paths.items()), key=lambda x: x[0])[1]
+        parts: list[str] = []
+        while chain:
+            chain, letters = chain
+            parts.append(letters)
+        return "".join(reversed(parts))
 
     def restore(self, text: str) -> str:
         """The text with every suspicious place decoded; a text without one is returned as it is."""
         if not _HINT.search(text):
             return text
-        text = _SPACED.sub(lambda m: self.decode(m[0].replace(m[1], "").lower()), text)
+        text = _SPACED.sub(lambda m: self.decode(m[0][::2].lower(), True), text)
         text = _LEET_PLACE.sub(lambda m: m[0] if _PLAIN.fullmatch(m[0]) else self.decode(m[0].lower()), text)
         return _REPEAT.sub(lambda m: self.decode(m[0].lower()), text)
 

@@ -212,6 +212,17 @@ def test_restoration_and_score_of_hidden_words(spark):
     assert len(none) == len(got) and all(0 <= x.score <= 1 for x in none)
 
 
+def test_spaced_phrases_get_their_word_breaks_back():
+    text = "you are an idiot and a dumb ass so go away you idiot because the whole day was lost with you "
+    c = toxicity._CLASS[np.frombuffer((text * 50).encode(), np.uint8)]
+    model = toxicity.CharModel(np.bincount(c[:-2] * 784 + c[1:-1] * 28 + c[2:], minlength=28**3))
+    assert model.restore("y o u i d i o t") == "you idiot"
+    phrase = "you are an idiot and a dumb ass so go away " * 40
+    assert model.restore(" ".join(phrase.replace(" ", ""))) == phrase.strip()
+    assert model.restore("y-o-u-1-d-1-o-t") == "you idiot"
+    assert model.restore("a$$") in ("as", "ass") and model.restore("so, los7") == "so, lost"
+
+
 def test_toxicity_learns_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
