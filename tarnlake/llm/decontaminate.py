@@ -3,7 +3,7 @@
 Test items are partitioned by the size of their shingle sets. For the items of one partition, whose
 sizes are at most ``s``, each document is cut into windows of 2 * s shingles that begin every s
 shingles, so any run of s shingles lies inside one window, and the window's size is known: an item
-contained in a passage has a Jaccard similarity of a third or more with that window, however long the
+contained in a passage has a Jaccard similarity of more than a quarter with that window, however long the
 document is. An item is a candidate for a document when any of ``HASHES`` minima agrees in any window.
 Candidates are then verified on the exact sets of the whole item and the whole document.
 
@@ -43,7 +43,7 @@ class _Index:
     def __init__(self, ids: list[int], sets: list[np.ndarray]):
         self.ids, self.sets, self.classes = ids, sets, []
         size = np.array([len(s) for s in sets])
-        top = 1 << np.ceil(np.log2(np.maximum(size, 8))).astype(int)
+        top = 1 << np.ceil(np.log2(size)).astype(int)
         for s in np.unique(top):
             own = np.flatnonzero(top == s)
             minima = np.array([[(sets[i] * m).min() for i in own] for m in _MULTIPLIERS])

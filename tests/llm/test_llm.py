@@ -100,6 +100,14 @@ def test_contained_items_match_all_pairs(spark, docs):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in corpus() if r[0] not in bad)
 
 
+def test_items_of_one_shingle_are_always_candidates():
+    r = np.random.default_rng(4)
+    text = r.integers(1, 2**63, 20000, dtype=np.uint64)
+    items = [text[i : i + 1 + i % 3] for i in range(0, 20000, 40)]
+    found = decontaminate._Index(list(range(500)), [np.unique(x) for x in items]).candidates(text, np.array([0, len(text)]))
+    assert found >= {(0, i) for i in range(500)}
+
+
 def test_items_in_blocks_give_the_same(spark, docs, monkeypatch):
     items = spark.createDataFrame([(i, r[1]) for i, r in enumerate(corpus()) if r[1]], "item_id long, text string")
     one = decontaminate.contained_items(docs, items)
