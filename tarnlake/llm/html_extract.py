@@ -1,19 +1,21 @@
 """Main text of web pages: text-to-tag ratio per line, Gaussian smoothing and threshold clustering.
 
 The standard library's streaming parser turns a page into lines: the text between two block boundaries,
-with the number of tags inside it and the chain of containers around it. A line's ratio is its
-characters by its tags. Ratios are smoothed by a Gaussian over neighbouring lines and lines at or above the
-threshold (a share of the deviation of the smoothed ratios) are content. Regions follow: the container that holds
-most of the content's characters is the article, unless the page names one (article, main), and all of its lines
-are its text, short ones included, save those in containers that are never content (menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments), by element or role, or by class words. Class words
-are evidence only: a container so named stays if it holds most of the content's characters (``HOLDS``; nearly
-all of them where a class begins with the word, as in "sidebar" but not in "has-sidebar").
+with the number of tags inside it and the container that holds it. A line's ratio is its
+characters by its tags. Ratios are smoothed by a Gaussian over neighbouring lines, and lines at or above the
+threshold (a share of the deviation of the smoothed ratios) cluster into regions. The regions choose the containers:
+the deepest one that holds nine tenths of their characters, or, where the page names its content (article, main),
+every named one that holds part of a region. All lines of a chosen container are its text, short ones included, save those in containers
+that are never content (menus, headers, footers, sidebars, notices, adverts, forms, reader comments): by element or role,
+or by class words. Class words, and a form, are evidence only: such a container stays if it holds most of the regions'
+characters (``HOLDS``; nearly all of them where a class begins with the word, as in "sidebar" but not in "has-sidebar"),
+and they never speak against a heading or a paragraph. A page costs time in proportion to its length, however deep it nests.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,10 +29,22 @@ from tarnlake.llm import text as T
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style noscript template iframe object svg math canvas audio video title select textarea button datalist".split())
-NEVER = frozenset("nav header footer aside form menu dialog search".split())
+NEVER = frozenset("nav header footer aside menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar note".split())
 #: Elements whose start closes an open paragraph.
 CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr option optgroup legend".split())
+#: Elements whose start closes an open one of these kinds, up to the element that holds them.
+OWN_KIND = {
+    "li": (("li",), frozenset(("ul", "ol", "menu", "dir"))),
+    **dict.fromkeys(("dd", "dt"), (("dd", "dt"), frozenset(("dl",)))),
+    **dict.fromkeys(("td", "th"), (("td", "th"), frozenset(("tr", "table")))),
+    "tr": (("tr",), frozenset(("table", "tbody", "thead", "tfoot"))),
+    "option": (("option",), frozenset(("select", "datalist", "optgroup"))),
+}
+_PAGE = ("article", "main", "body", "html")
+_P_WALLS = frozenset("article main section div td th li body blockquote aside nav header footer form button object".split())
+#: Class words say nothing about these.
+_UNNAMED = frozenset("body html article main p h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|promoted|nav\w*|menu\w*|header|footer|sidebar|side-bar|aside|widget|breadcrumbs?|cookies?|consent|gdpr|notice|notices|notification|popup|modal|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|reader-comments|related|share|sharing|social|toolbar|pagination|pager|skip|copyright|legal|masthead|topbar|bottombar)(?=$|[\s_-])",
     re.I,
@@ -45,71 +59,79 @@ HOLDS = (0.5, 0.9)
 
 
 class _Lines(HTMLParser):
-    """Feeds: each block boundary ends a line. ``lines`` has (text, tags, path of container numbers, dropped)."""
+    """Feeds: each block boundary ends a line. ``lines`` has (text, tags, number of the container).
+
+    Containers are numbered as they open, 0 is the page; ``parent`` gives the one around each, ``never`` those
+    that are never content and ``named`` those that only the content's weight can save.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.stack: list[tuple[str, int, bool]] = []
-        self.main: list[int] = []
-        # Containers that class words speak against: whether a class begins with the word.
-        self.named: dict[int, bool] = {}
+        self.lines: list[tuple[str, int, int]] = []
+        self.stack: list[tuple[str, int]] = []
+        self.parent, self.main, self.never = [0], [], set()
+        # Containers that class words, or a form, speak against: the share of the content from which they stay.
+        self.named: dict[int, float] = {}
         self.held: list[str] = []
-        self.tags = self.count = self.silent = self.never = 0
+        self.open: Counter = Counter()
+        self.tags = self.silent = 0
 
     def flush(self) -> None:
         if self.held:
             text = _GAP.sub(" ", "".join(self.held)).strip()
             if text:
-                self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), self.never > 0))
+                self.lines.append((text, self.tags, self.stack[-1][1] if self.stack else 0))
             self.held = []
         self.tags = 0
 
     def pop(self) -> None:
-        tag, _, drop = self.stack.pop()
+        tag, _ = self.stack.pop()
+        self.open[tag] -= 1
         self.silent -= tag in SILENT
-        self.never -= drop
 
-    def named_by(self, value: str) -> bool | None:
-        """Whether a class or id begins with a never-content word; None where it holds none."""
-        value = (_HEAD if any(n in self.main for _, n, _ in self.stack) else _OWN_HEAD).sub("", value)
+    def named_by(self, value: str) -> float | None:
+        """The share from which a container of this class or id stays; None where it has no never-content word."""
+        value = (_HEAD if self.open["article"] or self.open["main"] else _OWN_HEAD).sub("", value)
         found = [m[0] for m in _WORDS.finditer(value)]
-        return any(x[0] not in "_-" for x in found) if found else None
+        return HOLDS[any(x[0] not in "_-" for x in found)] if found else None
 
     def handle_starttag(self, tag, attrs):
         # The end of the head may be left out; the body or a block ends it.
-        if tag in BLOCKS and tag != "html" and self.silent == 1 and any(t == "head" for t, _, _ in self.stack):
+        if tag in BLOCKS and tag != "html" and self.silent == 1 and self.open["head"]:
             self.close_to("head", ())
-        if tag in BLOCKS or tag in SILENT:
-            if tag in BLOCKS:
-                self.flush()
-            if tag in CLOSES_P:
-                self.close_to("p", ("article", "main", "section", "div", "td", "th", "li", "body", "blockquote", "aside", "nav", "header", "footer", "form", "button", "object"))
-            elif tag in ("li", "option", "tr", "td", "th", "dd", "dt"):
-                pass
-        elif tag == "br":
+        if tag in BLOCKS:
+            self.flush()
+        if tag in CLOSES_P:
+            self.close_to("p", _P_WALLS)
+        if tag in OWN_KIND:
+            # An item ends the one before it, within the list or table that holds both.
+            kinds, walls = OWN_KIND[tag]
+            for kind in kinds:
+                self.close_to(kind, walls)
+        if tag == "br":
             self.held.append(" ")
         self.tags += 1
-        if tag in VOID:
+        if tag in VOID or not (tag in BLOCKS or tag in SILENT):
             return
-        if tag in BLOCKS or tag in SILENT:
-            drop, named = tag in NEVER, None
-            for k, v in attrs:
-                if v and k == "role" and v.strip().lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
-                    drop = True
-                elif v and k in ("class", "id") and tag not in ("body", "html", "article", "main") and (by := self.named_by(v)) is not None:
-                    named = by or bool(named)
-            # A header inside the article carries its title.
-            if tag == "header" and any(n in self.main for _, n, _ in self.stack):
-                drop = False
-            self.count += 1
-            if named is not None and tag != "header":
-                self.named[self.count] = named
-            self.stack.append((tag, self.count, drop))
-            self.silent += tag in SILENT
-            self.never += drop
-            if tag in ("article", "main") and not self.never and not self.silent:
-                self.main.append(self.count)
+        number = len(self.parent)
+        self.parent.append(self.stack[-1][1] if self.stack else 0)
+        shares = [0.5] if tag == "form" else []
+        # A header inside the article carries its title.
+        never = tag in NEVER and not (tag == "header" and (self.open["article"] or self.open["main"]))
+        for k, v in attrs:
+            if v and k == "role" and v.strip().lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
+                never = True
+            elif v and k in ("class", "id") and tag not in _UNNAMED and (by := self.named_by(v)) is not None:
+                shares.append(by)
+        if never:
+            self.never.add(number)
+        elif shares and tag != "header":
+            self.named[number] = max(shares)
+        self.stack.append((tag, number))
+        self.open[tag] += 1
+        self.silent += tag in SILENT
+        if tag in ("article", "main") and not self.silent:
+            self.main.append(number)
 
     def handle_startendtag(self, tag, attrs):
         if tag == "br":
@@ -120,6 +142,8 @@ class _Lines(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def close_to(self, tag, walls) -> None:
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 while len(self.stack) > k:
@@ -133,32 +157,42 @@ class _Lines(HTMLParser):
             self.flush()
         self.tags += 1
         if tag in BLOCKS or tag in SILENT:
-            self.close_to(tag, ("article", "main", "body", "html") if tag not in ("article", "main", "body", "html") else ())
+            self.close_to(tag, _PAGE if tag not in _PAGE else ())
 
     def handle_data(self, data):
         if not self.silent:
             self.held.append(data)
 
 
-def ratios(lines: list[tuple[str, int, tuple[int, ...], bool]]) -> np.ndarray:
+def ratios(lines: list[tuple[str, int, int]]) -> np.ndarray:
     """Smoothed text-to-tag ratio of each line."""
-    raw = np.array([len(t) / max(1, n) for t, n, _, _ in lines], float)
+    raw = np.array([len(t) / max(1, n) for t, n, _ in lines], float)
     kernel = np.exp(-(np.arange(-RADIUS, RADIUS + 1) ** 2) / (2 * SIGMA**2))
     return np.convolve(np.pad(raw, RADIUS, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def _named(p: _Lines, lines: list, content: np.ndarray) -> np.ndarray:
-    """The lines in containers that class words speak against and that hold too little of the content."""
-    held = dict.fromkeys(p.named, 0)
-    total = 0
-    for line, c in zip(lines, content):
-        if c:
-            total += len(line[0])
-            for n in line[2]:
-                if n in held:
-                    held[n] += len(line[0])
-    out = {n for n, w in held.items() if w < HOLDS[p.named[n]] * total or not w}
-    return np.array([any(n in out for n in line[2]) for line in lines], bool)
+def regions(smooth: np.ndarray) -> np.ndarray:
+    """The region of each line, -1 outside: runs of lines at or above the threshold, together where no more than RADIUS lines part them."""
+    above = np.flatnonzero(smooth >= min(SHARE * smooth.std() + smooth.min(), smooth.max()))
+    out = np.full(len(smooth), -1)
+    out[above] = np.cumsum(np.concatenate([[False], np.diff(above) > RADIUS + 1]))
+    return out
+
+
+def _weights(parent: list[int], of: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Characters in each container, those of the containers inside it included."""
+    out = np.bincount(of, weights=size, minlength=len(parent)).tolist()
+    for n in range(len(parent) - 1, 0, -1):
+        out[parent[n]] += out[n]
+    return np.array(out)
+
+
+def _below(parent: list[int], roots) -> np.ndarray:
+    """The containers that are one of ``roots`` or inside one."""
+    out = [n in roots for n in range(len(parent))]
+    for n in range(1, len(parent)):
+        out[n] = out[n] or out[parent[n]]
+    return np.array(out)
 
 
 def main_text(html: str | None) -> tuple[str, int, int]:
@@ -167,38 +201,33 @@ def main_text(html: str | None) -> tuple[str, int, int]:
     p.feed(html or "")
     p.close()
     p.flush()
-    lines = p.lines
-    if not lines:
+    if not p.lines:
         return "", 0, 0
-    smooth = ratios(lines)
-    content = smooth >= min(SHARE * smooth.std() + smooth.min(), smooth.max())
-    usable = np.array([not line[3] for line in lines])
-    usable &= ~_named(p, lines, content & usable if (content & usable).any() else usable)
-    if not usable.any():
-        return "", 0, len(lines)
-    if not (content & usable).any():
-        content = usable
-    weight: dict[int, int] = {}
-    for line, c, u in zip(lines, content, usable):
-        if c and u:
-            for n in line[2]:
-                weight[n] = weight.get(n, 0) + len(line[0])
-    named = [n for n in p.main if weight.get(n)]
+    of, size = np.array([n for _, _, n in p.lines]), np.array([len(t) for t, _, _ in p.lines], float)
+    content = regions(ratios(p.lines)) >= 0
+    usable = ~_below(p.parent, p.never)[of]
+    for chosen in (content & usable, usable):
+        if not chosen.any():
+            continue
+        weight = _weights(p.parent, of, size * chosen)
+        out = {n for n, share in p.named.items() if weight[n] < share * weight[0] or not weight[n]}
+        left = usable & ~_below(p.parent, out)[of]
+        if left.any():
+            break
+    else:
+        return "", 0, len(p.lines)
+    chosen = content & left if (content & left).any() else left
+    weight = _weights(p.parent, of, size * chosen)
+    named = {n for n in p.main if weight[n]}
     if named:
-        best = max(named, key=lambda n: (weight[n], -n))
-        # An article within main, or a further article beside the heaviest, by weight: nested ones are inside already.
-        taken = [line for line, u in zip(lines, usable) if u and best in line[2]]
+        # The page names its content: every article of it.
+        taken = left & _below(p.parent, named)[of]
     else:
-        total = sum(len(line[0]) for line, c, u in zip(lines, content, usable) if c and u)
-        # The deepest container with nine tenths of the content; containers are numbered as they open.
-        deep = [n for n, w in weight.items() if w >= 0.9 * total]
-        best = max(deep) if deep else None
-        leaf = {line[2][-1] for line in lines if line[2]}
-        while best is not None and best in leaf and sum(best in line[2] for line in lines) < 2 and len(deep) > 1:
-            deep.remove(best)
-            best = max(deep)
-        taken = [line for line, u in zip(lines, usable) if u and (best is None or best in line[2])]
-    return "\n\n".join(t for t, _, _, _ in taken), len(taken), len(lines)
+        # The deepest container with nine tenths of the regions' characters, of two lines at least.
+        lines = _weights(p.parent, of, np.ones(len(of)))
+        deep = np.flatnonzero((weight >= 0.9 * weight[0]) & (lines > 1))
+        taken = left & _below(p.parent, {int(deep[-1])} if len(deep) else {0})[of]
+    return "\n\n".join(p.lines[k][0] for k in np.flatnonzero(taken)), int(taken.sum()), len(p.lines)
 
 
 def _extract(batches):
