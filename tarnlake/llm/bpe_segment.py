@@ -61,7 +61,7 @@ class SegmentBpe:
         self.single = np.array([vocab[letters[b]] for b in range(256)], np.int64)
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
-        self.back = back
+        self.back, self.flat = back, None
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,12 +193,19 @@ class SegmentBpe:
     def decode(self, ids) -> str:
         return b"".join(self.bytes_of[int(i)] for i in ids).decode("utf-8", "replace")
 
-
-class _Same(dict):
-    """What a chunk decodes to, where that is not the chunk itself."""
-
-    def __missing__(self, chunk: str) -> str:
-        return chunk
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of many rows' ids, laid end to end: so many ids for each row."""
+        if self.flat is None:
+            size = np.zeros(max(self.bytes_of) + 1, np.int64)
+            for i, b in self.bytes_of.items():
+                size[i] = len(b)
+            raw = b"".join(self.bytes_of[i] for i in sorted(self.bytes_of))
+            self.flat, self.size, self.first = np.frombuffer(raw, np.uint8), size, np.cumsum(size) - size
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = self.flat[np.arange(ends[-1]) + np.repeat(self.first[ids] - ends[:-1], size)].tobytes()
+        cuts = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 class Cached:
@@ -207,48 +214,47 @@ class Cached:
     LIMIT = 150_000
 
     def __init__(self, bpe: SegmentBpe):
-        self.bpe, self.ids, self.text, self.pieces = bpe, {}, _Same(), {}
+        self.bpe, self.ids, self.pieces = bpe, {}, {}
         self.number = [str(i) for i in range(max(bpe.bytes_of) + 1)]
 
     def forget(self) -> None:
         """Give the memory back; a worker process outlives its tasks."""
-        self.ids, self.text, self.pieces = {}, _Same(), {}
+        self.ids, self.pieces = {}, {}
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.ids) > self.LIMIT:
             # What these texts hold is kept, and with it what is frequent.
             self.ids = {c: self.ids[c] for c in chunks if c in self.ids}
-            self.text = _Same((c, self.text[c]) for c in self.ids if c in self.text)
             self.pieces = {}
         bpe, cut, alone = self.bpe, {}, []
         for c in chunks - self.ids.keys():
             if c in bpe.special:
-                self._hold(c, str(bpe.special[c]), bpe.decode([bpe.special[c]]))
+                self.ids[c] = str(bpe.special[c])
             elif (c[1:].isalpha() and c[0] == " " or c.isalpha()) and max(c) <= _SETTLED:
                 alone.append(c)  # a word is one piece
             else:
                 cut[c] = bpe.split(c)
         new = list({p for ps in cut.values() for p in ps} - self.pieces.keys())
-        number, raw = self.number.__getitem__, bpe.bytes_of.__getitem__
-        made = [(",".join(map(number, x)), b"".join(map(raw, x))) for x in bpe.encode_pieces([c.encode() for c in alone] + new)]
-        for c, (ids, back) in zip(alone, made):
-            self._hold(c, ids, back.decode("utf-8", "replace"))
-        self.pieces.update((p, (ids, p if back == p else back)) for p, (ids, back) in zip(new, made[len(alone) :]))
+        number = self.number.__getitem__
+        made = [",".join(map(number, x)) for x in bpe.encode_pieces([c.encode() for c in alone] + new)]
+        self.ids.update(zip(alone, made))
+        self.pieces.update(zip(new, made[len(alone) :]))
         for c, ps in cut.items():
-            own = [self.pieces[p] for p in ps]
-            self._hold(c, ",".join([x[0] for x in own]), b"".join([x[1] for x in own]).decode("utf-8", "replace"))
+            self.ids[c] = ",".join([self.pieces[p] for p in ps])
 
-    def _hold(self, chunk: str, ids: str, back: str) -> None:
-        self.ids[chunk] = ids
-        if back != chunk:
-            self.text[chunk] = back
-
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(decimal ids joined by commas, decoded text) of each."""
+    def encode(self, texts: list[str]) -> list[str]:
+        """Decimal ids of each, joined by commas."""
         cut = [self.bpe.chunks(t) for t in texts]
         self.learn(set().union(*cut))
-        ids, back = self.ids.__getitem__, self.text.__getitem__
-        return [(",".join(map(ids, c)), "".join(map(back, c))) for c in cut]
+        ids = self.ids.__getitem__
+        return [",".join(map(ids, c)) for c in cut]
+
+    def round_trip(self, texts: list[str]) -> list[tuple[str, int, str]]:
+        """(ids joined by commas, how many, the text that these ids decode to) of each."""
+        ids = self.encode(texts)
+        counts = [i.count(",") + 1 if i else 0 for i in ids]
+        flat = np.fromstring(",".join(filter(None, ids)), np.int64, sep=",") if any(counts) else np.zeros(0, np.int64)
+        return list(zip(ids, counts, self.bpe.decode_all(flat, np.array(counts, np.int64))))
 
 
 _held: dict[str, Cached] = {}
@@ -266,10 +272,10 @@ def _digest(path: str):
         enc = cached(path)
         for b in batches:
             for at, part in T.slices(b["text"], 1 << 20):
-                done = enc.encode([x or "" for x in part.to_pylist()])
-                n = [i.count(",") + 1 if i else 0 for i, _ in done]
-                ids = [hashlib.sha256(i.encode()).hexdigest() for i, _ in done]
-                back = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for _, t in done]
+                done = enc.round_trip([x or "" for x in part.to_pylist()])
+                n = [k for _, k, _ in done]
+                ids = [hashlib.sha256(i.encode()).hexdigest() for i, _, _ in done]
+                back = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for _, _, t in done]
                 yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(n)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         enc.forget()
 
@@ -281,7 +287,7 @@ def _encode(path: str):
         enc = cached(path)
         for b in batches:
             for at, part in T.slices(b["text"], 1 << 20):
-                done = [np.array(i.split(","), np.int32) if i else np.zeros(0, np.int32) for i, _ in enc.encode([x or "" for x in part.to_pylist()])]
+                done = [np.array(i.split(","), np.int32) if i else np.zeros(0, np.int32) for i in enc.encode([x or "" for x in part.to_pylist()])]
                 yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(done)), T.lists(done, pa.int32())], ["doc_id", "ids"])
         enc.forget()
 
