@@ -2,11 +2,13 @@
 
 Each rule is a share in thousandths (symbols by word characters, capitals by word characters,
 repeated words by words, repeated lines by lines) and rejects a document above a cutoff. Cutoffs are
-chosen on labelled documents, none of which had a part in shaping a rule: for every stratum, rule and cutoff of a fixed grid,
-the number of good documents (quality 1) that it would reject is tested by the exact binomial tail
-against the allowed rate ``ALPHA``. A cutoff is valid if that tail is at most ``DELTA`` divided by the number of
-all tests (Bonferroni), and the lowest valid cutoff of each stratum and rule is used; a rule without one is off
-in that stratum. With probability 1 - DELTA no cutoff in use rejects more than ALPHA of a stratum's good documents.
+chosen on labelled documents, none of which had a part in shaping a rule. A stratum's setting is a cutoff of a fixed grid,
+or off, for each rule; for a setting, the number of good documents (quality 1) that any of its rules would reject is
+tested by the exact binomial tail against the allowed rate ``ALPHA``, and it is valid if that tail is at most ``DELTA``
+divided by the number of all settings of all strata (Bonferroni), whichever of them are looked at. The search begins at
+each rule's lowest cutoff that is valid with the others off, and raises all rules together, a grid step at a time, until
+the setting is valid; rules raised beyond the grid, or without a valid cutoff of their own, are off. With probability
+1 - DELTA the rules in use, taken together, reject no more than ALPHA of any stratum's good documents.
 """
 
 from __future__ import annotations
@@ -93,19 +95,33 @@ def _above(rule: str, cutoff: Column) -> Column:
     return F.col(what) * 1000 > cutoff * F.col(of)
 
 
+def _level(rule: str) -> Column:
+    """How many cutoffs of the grid a document is above."""
+    return reduce(lambda a, b: a + b, [_above(rule, F.lit(c)).cast("int") for c in GRID])
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum that has a cutoff: stratum, and a column for each rule (null where it is off).
+    """One row for each stratum that has a valid setting: stratum, and a column for each rule (null where it is off).
 
-    ``measured`` has doc_id, stratum and the measures. A document is good if its labels say quality 1 and none says 0.
+    ``measured`` has doc_id, stratum and the measures. A document is good if its labels say quality 1 and none says 0. An id
+    is one trial in its stratum, however many rows repeat it: rejected where any of them is.
     """
     good = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("q")).where("q = 1")
     held = measured.join(good, F.col("doc_id") == F.col("label_id"))
-    # One pass counts all tests; every stratum is a row.
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(_above(r, F.lit(c))).alias(f"{r}_{c}") for r in RULES for c in GRID])
-    tests = counts.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in GRID])).alias("x")).select("stratum", "n", "x.*")
-    m = len(RULES) * len(GRID) * (len(STRATA) + 1)
-    valid = tests.where(binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / m)
-    return valid.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    trials = held.groupBy("stratum", "doc_id").agg(*[F.max(_level(r)).alias(r) for r in RULES])
+    off, settings = len(GRID), (len(GRID) + 1) ** len(RULES) * (len(STRATA) + 1)
+    valid = lambda k: binomial_tail(k, F.col("n"), alpha) <= delta / settings
+    # Each rule alone; every stratum is a row.
+    alone = trials.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > i).alias(f"{r}_{i}") for r in RULES for i in range(off)])
+    lowest = {r: F.coalesce(F.least(*[F.when(valid(F.col(f"{r}_{i}")), F.lit(i)) for i in range(off)]), F.lit(off)) for r in RULES}
+    first = alone.select(F.col("stratum").alias("of"), *[c.alias(f"at_{r}") for r, c in lowest.items()])
+    # By how many steps a document is above the rules' first cutoffs: it goes where they are raised by fewer.
+    joined = trials.join(F.broadcast(first), F.col("stratum") == F.col("of"))
+    above = joined.withColumn("steps", F.greatest(*[F.col(r) - F.col(f"at_{r}") for r in RULES]))
+    raised = above.groupBy("stratum", *[f"at_{r}" for r in RULES]).agg(F.count("*").alias("n"), *[F.count_if(F.col("steps") > t).alias(f"k_{t}") for t in range(off)])
+    by = raised.withColumn("by", F.least(*[F.when(valid(F.col(f"k_{t}")), F.lit(t)) for t in range(off)])).where("by is not null")
+    grid = F.array(*[F.lit(c) for c in GRID])
+    return by.select("stratum", *[F.get(grid, F.col(f"at_{r}") + F.col("by")).alias(f"cut_{r}") for r in RULES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -114,7 +130,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Words are ``[^\\x20\\x09-\\x0D]+``. A null or empty text has no words, lines or characters and fails the base
     rule of 50 words. Strata are the languages named in STRATA, all others and null together. Rows
     without an id are judged but never labelled; repeated rows repeat; labels of absent documents, null labels and other columns
-    are ignored; an id with labels that differ counts as not good. Without labels every rule is off. Empty tables give no rows.
+    are ignored; an id with labels that differ counts as not good, and one that repeats is one trial. Without labels every rule is off. Empty tables give no rows.
     """
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), _stratum(docs[lang_col]).alias("stratum"))
     m = materialize(measures(d), "measures")
@@ -132,9 +148,13 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    tests = ",\n".join(f"('{r}', {c})" for r in RULES for c in GRID)
-    share = lambda cut: " ".join(f"when '{r}' then {a} * 1000 > {cut} * {b}" for r, (a, b) in RULES.items())
-    m = len(RULES) * len(GRID) * (len(STRATA) + 1)
+    rules, off = list(RULES), len(GRID)
+    settings = (off + 1) ** len(rules) * (len(STRATA) + 1)
+    level = lambda r: f"max(len(list_filter({list(GRID)}, lambda c: {RULES[r][0]} * 1000 > c * {RULES[r][1]}))) as {r}"
+    steps = f"(select unnest(generate_series(0, {off - 1})) as i)"
+    tail = f"case when k > n * {ALPHA} then 1.0 else list_sum(list_transform(generate_series(0, k), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) end"
+    counts = " union all ".join(f"select stratum, '{r}' as rule, i, count(*) as n, count(*) filter ({r} > i) as k from x, {steps} group by all" for r in rules)
+    above = lambda r: f"{RULES[r][0]} * 1000 > list_extract({list(GRID)}, at_{r} + t + 1) * {RULES[r][1]}"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t, case when lang in {STRATA} then lang else '{OTHER}' end as stratum,
   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
@@ -147,15 +167,16 @@ m as (select doc_id, stratum, len(w)::bigint as n_words, length(array_to_string(
   len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
   from d left join r using (doc_id)),
 good as (select doc_id from labels group by 1 having min(quality) = 1),
-tests(rule, cutoff) as (values {tests}),
-k as (select stratum, rule, cutoff, count(*) as n, count(*) filter (case rule {share("cutoff")} end) as k from m join good using (doc_id), tests group by all),
-p as (select stratum, rule, cutoff, case when k > n * {ALPHA} then 1.0 else list_sum(list_transform(generate_series(0, k), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) end as tail from k),
-cuts as (select stratum, rule, min(cutoff) as cutoff from p where tail <= {DELTA / m!r} group by all),
-bad as (select m.doc_id, array_to_string(list_transform(list_sort(list(struct_pack(o := list_position({list(RULES)}, rule), r := rule))), lambda x: x.r), ',') as by_
-  from m join cuts using (stratum) where case rule {share("cutoff")} end group by 1),
+x as (select stratum, doc_id, {", ".join(map(level, rules))} from m join good using (doc_id) group by 1, 2),
+k as ({counts}),
+a as (select stratum, rule, min(i) filter ({tail} <= {DELTA / settings!r}) as i from k group by 1, 2),
+first as (select stratum, {", ".join(f"coalesce(min(i) filter (rule = '{r}'), {off}) as at_{r}" for r in rules)} from a group by 1),
+u as (select stratum, i as t, count(*) as n, count(*) filter ({" or ".join(f"{r} > at_{r} + i" for r in rules)}) as k from x join first using (stratum), {steps} group by all),
+cuts as (select * from first join (select stratum, min(t) as t from u where {tail} <= {DELTA / settings!r} group by 1) using (stratum)),
+bad as (select doc_id, array_to_string(list_filter([{", ".join(f"case when {above(r)} then '{r}' end" for r in rules)}], lambda c: c is not null), ',') as by_ from m left join cuts using (stratum)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
-select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(by_, '') as rejected_by, not base_failed and by_ is null as kept
-from f left join bad using (doc_id)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, by_ as rejected_by, not base_failed and by_ = '' as kept
+from f join bad using (doc_id)
 """
 
 
