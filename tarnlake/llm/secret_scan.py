@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -37,7 +38,7 @@ BASE = (
 MORE = (
     # The body is all up to the END line, headers included.
     ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?=[^-]{16}|[^-]*-(?!----))(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----")),
-    ("signed", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("signed", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("opaque", re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")),
 )
 KINDS = {k: i for i, k in enumerate([*(b[0] for b in BASE), *(m[0] for m in MORE)])}
@@ -71,16 +72,37 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(out, key=lambda s: (s[1], KINDS[s[0]]))
 
 
+def _union(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that some spans cover, in order."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _touched(covered: tuple[list[int], list[int]], s: int, e: int, hold: bool) -> bool:
+    """Whether a covered stretch overlaps s..e; those within it do not count if it may ``hold`` them."""
+    starts, ends = covered
+    i = bisect_right(ends, s)
+    if not hold:
+        return i < len(starts) and starts[i] < e
+    j = bisect_left(starts, e) - 1
+    return i < len(starts) and starts[i] < s or j >= 0 and ends[j] > e
+
+
 def more_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Candidates of the further kinds that no base span touches; key material may hold some."""
+    """Candidates of the further kinds that no base span, nor one of an earlier kind, touches; key material may hold some."""
     out = []
     for kind, pattern in MORE:
         if kind == "pem" and "PRIVATE KEY-----" not in text or kind == "signed" and "eyJ" not in text:
             continue
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if (kind != "opaque" or _opaque(m[0])) and not any(s < b[2] and b[1] < e and not (kind == "pem" and s <= b[1] and b[2] <= e) for b in (*base, *out)):
-                out.append((kind, s, e, m[0]))
+        covered = _union((s, e) for _, s, e, _ in (*base, *out))
+        found = [(kind, *m.span(), m[0]) for m in pattern.finditer(text) if kind != "opaque" or _opaque(m[0])]
+        out += [x for x in found if not _touched(covered, x[1], x[2], kind == "pem")]
     return out
 
 
@@ -118,8 +140,29 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     rows repeat their results but count once as owners. An empty table gives no rows.
     """
     found, verdict = _verdicts(df, id_col, text_col, owner_col, repo_col, max_owners, max_repos)
+    own = [F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256"]
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return found.join(verdict, "mark", "left").select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_owned"), zero("n_copied"), zero("most_repos"))
+    # Rows without a candidate, most of all, need no verdict.
+    none = found.where("size(found) = 0").select(*own, F.lit("").alias("spans"), *[F.lit(0).cast("long").alias(c) for c in _COUNTS])
+    some = _join_verdict(found.where("size(found) > 0").select("mark", F.col("id").alias("deal"), *own), verdict)
+    return none.unionByName(some.select("doc_id", *own[1:], F.coalesce("spans", F.lit("")).alias("spans"), *map(zero, _COUNTS)))
+
+
+_COUNTS = ("n_owned", "n_copied", "most_repos")
+#: A text of more rows than this share of all is dealt out over so many tasks.
+HOT_SHARE, SALTS = 0.001, 32
+
+
+def _join_verdict(rows: DataFrame, verdict: DataFrame) -> DataFrame:
+    """``rows`` (with mark and deal) and their text's verdict, if any. The rows of a text that a great many copy are dealt
+    out by ``deal``, and its verdict goes to each of those parts; at most 1 / HOT_SHARE texts can be so common, so their
+    marks are broadcast."""
+    n = rows.count()
+    hot = F.broadcast(rows.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > max(SALTS, HOT_SHARE * n)).select("mark", F.lit(True).alias("hot")))
+    left = rows.join(hot, "mark", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("deal"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = verdict.join(hot, "mark", "left").select(*verdict.columns, F.explode(parts).alias("salt"))
+    return left.drop("hot").join(right, ["mark", "salt"], "left")
 
 
 def _mark(text):
@@ -163,12 +206,13 @@ def _verdicts(df, id_col, text_col, owner_col, repo_col, max_owners, max_repos):
     owned = F.col("live") & ~copied
     order = F.create_map(*[x for k, i in KINDS.items() for x in (F.lit(k), F.lit(i))])
     span = F.struct("start", order[F.col("kind")].alias("o"), F.concat_ws(":", "kind", "start", "end").alias("s"))
-    return found, known.groupBy("mark").agg(
+    verdict = known.groupBy("mark").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(base | owned, span))), lambda x: x["s"]), ",").alias("spans"),
         F.count_if(owned).alias("n_owned"),
         F.count_if(copied).alias("n_copied"),
         F.max("all_repos").alias("most_repos"),
     )
+    return found, materialize(verdict, "verdicts")
 
 
 def _masked(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -190,11 +234,13 @@ def mask(df: DataFrame, text_col: str = "text", max_owners: int = 1, max_repos:
 
     Spans that overlap become one marker. Rows without a span, and null or empty texts, are unchanged.
     """
-    cols = df.columns
     _, verdict = _verdicts(df, columns.get("id_col", "doc_id"), text_col, columns.get("owner_col", "source"), columns.get("repo_col"), max_owners, max_repos)
-    spans = verdict.where("spans <> ''").select(F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    joined = df.withColumn("_own", _mark(F.col(text_col))).join(spans, F.col("_own") == F.col("_mark"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_masked, "string")(text_col, "_spans"))).select(*cols)
+    # The row travels as one column, so that no name of its own can clash.
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), _mark(df[text_col]).alias("mark"), df[columns.get("id_col", "doc_id")].alias("deal"))
+    joined = _join_verdict(rows, verdict.where("spans <> ''").select("mark", "spans"))
+    text = F.col("row").getField(text_col)
+    masked = F.when(F.col("spans").isNull(), text).otherwise(F.pandas_udf(_masked, "string")(text, "spans"))
+    return joined.select(*[(masked if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns])
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
