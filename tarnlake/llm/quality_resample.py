@@ -2,10 +2,9 @@
 
 Words and word pairs are hashed into ``BUCKETS``. Two generative models share that space: the target model
 counts the buckets of documents labelled good, the raw model those of all documents. A document's
-log weight is the sum over its n-grams of log target less log raw, divided by the square root of their
-number so that neither long nor short texts rule the order. Keeping the ``k`` largest values of
-log weight / TEMPERATURE + Gumbel noise draws k documents without replacement in proportion to their
-weights. The noise is a function of the id, so a run can be repeated. k follows the share of good
+log weight is the sum over its n-grams of log target less log raw, the logarithm of how much likelier the target model
+makes it than the raw one. Keeping the ``k`` largest values of log weight + Gumbel noise draws k documents without
+replacement in proportion to their weights. The noise is a function of the id, so a run can be repeated. k follows the share of good
 labels, at the upper end of its confidence interval. The k-th value is found exactly by counting the values'
 leading 16 bits, then the next, four times: each count has at most 65,536 rows.
 """
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm import text as T
 from tarnlake.session import materialize
 
-BUCKETS, TEMPERATURE, SEED = 1 << 16, 0.5, 20240611
+BUCKETS, SEED = 1 << 16, 20240611
 #: The target model is fitted on at most so many labelled rows, chosen by the hash of their ids.
 MAX_LABELS = 200_000
 
@@ -65,9 +64,8 @@ class Model:
             sizes.append(np.bincount(row, minlength=n))
             weights.append(np.bincount(row, weights=self.ratio[bucket], minlength=n))
         size, w = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, weights))
-        w = w / np.sqrt(np.maximum(size, 1))
         u = ((noise.view(np.uint64) >> T.U(11)).astype(float) + 0.5) / 2**53
-        bits = np.ascontiguousarray(w / TEMPERATURE - np.log(-np.log(u))).view(np.int64)
+        bits = np.ascontiguousarray(w - np.log(-np.log(u))).view(np.int64)
         bits = bits ^ ((bits >> 63) & np.int64(2**63 - 1))
         return w, np.where(size > 0, bits, np.int64(-(2**63) + 1))
 
@@ -144,11 +142,10 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return weighed.select("doc_id", "log_weight", (F.col("value") >= cutoff(weighed, model.share)).alias("kept"))
 
 
-def _keep(model, names):
+def _keep(model, names, noise: str):
     def run(batches):
         for b in batches:
-            noise = b["_noise"].to_numpy()
-            _, v = model.value.values(b["text"], noise)
+            _, v = model.value.values(b["text"], b[noise].to_numpy())
             yield b.select(names).filter(pa.array(v >= model.value.least))
 
     return run
@@ -160,7 +157,9 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(d, labels)
     model.least = cutoff(weigh(d, model), model.share)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn("_noise", _noise(F.col("doc_id").cast("long"))).mapInArrow(_keep(held, docs.columns), docs.schema)
+    # A name that no column has.
+    noise = "_" * (1 + max(map(len, docs.columns)))
+    return docs.withColumn(noise, _noise(F.col("doc_id").cast("long"))).mapInArrow(_keep(held, docs.columns, noise), docs.schema)
 
 
 def op2_quality_resample(spark, sf_dir: str) -> DataFrame:
