@@ -1,19 +1,19 @@
 """Near-duplicate groups by an LSH forest: sorted MinHash signature orders with adaptive prefix depth.
 
 A document's set holds the hashes of its distinct word shingles. Equal sets form one class, and only
-one document of each class goes on. Each of ``TREES`` orders of the signature places the documents in
-a forest whose regions are documents with a common prefix: three values deep, and deeper (six, then
-twelve) only where a region holds more than ``REGION`` documents. Inside a region the signatures
-propose partners, in two rounds. First each document gets the partner it agrees with best among
-hubs, the documents that agree best with their region's consensus, and the pair is confirmed on full
-sets. Most copies are in one component after that. Then only regions that still hold several components
-get the full sets, and every pair of different components whose agreement could still mean the
-threshold is decided on them; pairs within one component need no look, so a group of thousands
-of copies costs a few links each, not their square.
-
-Split regions lose nothing: the least document of each part also meets those of the other parts, and at
-the end the documents of a split region that are still outside its main component meet all its others, in
-blocks of bounded size.
+one document of each class goes on. Each of several orders reads the signature's values in a sequence of its own; documents
+with the same first ``DEPTH`` values are a region of that order.
+
+*Neighbours.* Every order is sorted by region and then by the values that follow. Within a region a document's neighbours in that
+sequence, ``WINDOW`` to either side, are those with the longest common prefixes. In each of ``ROUNDS`` it is linked, after a look at the full
+sets, to the one of them in another component that comes first in a common ranking, if their signatures agree. Most copies
+are in one component after that, a group of thousands for a few links each.
+
+*Regions.* Only regions that still hold several components are looked at again, whole: every pair of
+different components whose agreement could still mean the threshold is decided on the full sets. A region with more than
+``REGION`` documents (or ``WEIGHT`` shingles) goes deeper first: its documents are placed anew by longer prefixes, 6 and then 12
+values, in more orders, so that a pair at the threshold meets at each depth with probability above 1 - 1e-5. What is still too
+large at the last depth meets in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -28,13 +28,16 @@ from tarnlake.llm import text as T
 from tarnlake.operators.graph import connected_components
 from tarnlake.session import materialize
 
-SIZE, TREES, DEPTHS, REGION = 128, 20, (3, 6, 12), 1000
+SIZE, TREES, DEPTH, REGION, WEIGHT, WINDOW, ROUNDS = 128, 20, 3, 1000, 1 << 22, 8, 2
+#: Longer prefixes of regions that are too large, and in how many orders.
+DEEPER = ((6, 48), (12, 192))
 #: Agreement below the threshold by this much rules a pair out (over three standard errors of SIZE values).
-MARGIN = 0.13
+MARGIN, LABEL = 0.13, 16
 _rng = np.random.default_rng(7)
 _MULTIPLIERS = _rng.integers(1, 2**63, SIZE, dtype=np.uint64) * T.U(2) + T.U(1)
-#: Each tree begins at other positions: six of its own, then a shuffle of the others.
-_ORDERS = [np.concatenate([own := np.arange(t * 6, t * 6 + 6), _rng.permutation(np.setdiff1d(np.arange(SIZE), own))]) for t in range(TREES)]
+#: Each of the first orders begins at other positions, six of its own; further ones are any.
+_ORDERS = [np.concatenate([own := np.arange(t * 6, t * 6 + 6), _rng.permutation(np.setdiff1d(np.arange(SIZE), own))])[:LABEL] for t in range(TREES)]
+_ORDERS += [_rng.permutation(SIZE)[:LABEL] for _ in range(DEEPER[-1][1] - TREES)]
 
 
 def _identity(own: np.ndarray) -> tuple[int, int]:
@@ -58,17 +61,14 @@ def _sketch(width: int):
                 if len(some):
                     for k, m in enumerate(_MULTIPLIERS):
                         sig[some, k] = np.minimum.reduceat(s * m, starts[:-1][some]) >> T.U(32)
-                keys = [np.zeros((w.rows, TREES), np.int64) for _ in DEPTHS]
-                for t, order in enumerate(_ORDERS):
+                keys = np.zeros((w.rows, TREES), np.int64)
+                for t in range(TREES):
                     h = np.full(w.rows, t + 1, np.uint64)
-                    for d in range(DEPTHS[-1]):
-                        h = T.mix(h * T._MULT + sig[:, order[d]].astype(np.uint64))
-                        if d + 1 in DEPTHS:
-                            keys[DEPTHS.index(d + 1)][:, t] = h.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b["id"].slice(at, w.rows), pa.array(size), pa.array(h1), pa.array(h2), pa.array([x.astype(np.uint8).tobytes() for x in sig], pa.binary()), *[T.lists(list(k), pa.int64()) for k in keys]],
-                    ["id", "n", "h1", "h2", "sig", "k1", "k2", "k3"],
-                )
+                    for d in range(DEPTH):
+                        h = T.mix(h * T._MULT + sig[:, _ORDERS[t][d]].astype(np.uint64))
+                    keys[:, t] = h.view(np.int64)
+                low = pa.array([x.astype(np.uint8).tobytes() for x in sig], pa.binary())
+                yield pa.RecordBatch.from_arrays([b["id"].slice(at, w.rows), pa.array(size), pa.array(h1), pa.array(h2), low, T.lists(list(keys), pa.int64())], ["id", "n", "h1", "h2", "sig", "k"])
 
     return run
 
@@ -106,30 +106,59 @@ def _groups(b):
     return [(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo > 1]
 
 
-def _propose(percent: int):
-    """(x, y, e): documents with the hubs that they agree with."""
-    low = percent / 100 - MARGIN
+def _label(batches):
+    """Adds the low bytes of the values that the row's order begins with."""
+    for b in batches:
+        sig = _signatures(b)
+        label = np.take_along_axis(sig, np.array(_ORDERS)[b["tree"].to_numpy()], 1) if len(sig) else sig
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in label], pa.binary())], [*b.schema.names, "label"])
+
+
+def _neighbours(percent: int):
+    """(x, y, rank): each document of a sorted order with the first in rank of the near ones around it."""
+    low = percent / 100 - MARGIN / 4
+
+    def of(b):
+        ids, n, sig, region, comp = b["id"].to_numpy(), b["n"].to_numpy(), _signatures(b), b["region"].to_numpy(), b["comp"].to_numpy()
+        rank = T.mix(ids.view(np.uint64)) >> T.U(1)
+        first, with_ = rank.copy(), ids.copy()
+        for w in range(1, min(WINDOW, len(ids) - 1) + 1):
+            a, c = np.arange(len(ids) - w), np.arange(w, len(ids))
+            own = (region[a] == region[c]) & (comp[a] != comp[c]) & _possible(n[a], n[c], percent)
+            a, c = a[own], c[own]
+            near = _agreement(sig[a], sig[c]) >= low
+            for x, y in ((a[near], c[near]), (c[near], a[near])):
+                better = rank[y] < first[x]
+                first[x[better]], with_[x[better]] = rank[y[better]], ids[y[better]]
+        some = with_ != ids
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(with_[some]), pa.array(first[some].view(np.int64))], ["x", "y", "rank"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            # The last rows of a batch are also neighbours of the next one's first.
+            if b.num_rows:
+                held = b if held is None else pa.concat_batches([held, b])
+                yield of(held)
+                held = held.slice(max(0, held.num_rows - WINDOW))
+
+    return run
+
 
-    def of(ids, n, sig):
-        if len(ids) > 2:
-            common = np.array([np.bincount(c).argmax() for c in sig.T], np.uint8)
-            rest = np.lexsort((ids, -(sig == common).sum(1)))
-        else:
-            rest = np.arange(len(ids))
-        while len(rest) > 1:
-            hub, rest = rest[0], rest[1:]
-            e = _agreement(sig[rest], sig[hub])
-            near = (e >= low) & _possible(n[rest], n[hub], percent)
-            for j, x in zip(rest[near], e[near]):
-                yield ids[j], ids[hub], x
-            rest = rest[~near]
+def _deep_keys(depth: int, orders: int):
+    """(region, id, n, comp): the regions of longer prefixes, from the signatures' low bytes."""
 
     def run(batches):
-        for b in _regions(batches):
-            ids, n, sig = b["id"].to_numpy(), b["n"].to_numpy(), _signatures(b)
-            out = [p for lo, hi in _groups(b) for p in of(ids[lo:hi], n[lo:hi], sig[lo:hi])]
-            x, y, e = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(e, pa.float64())], ["x", "y", "e"])
+        for b in batches:
+            sig = _signatures(b).astype(np.uint64)
+            keys = np.zeros((len(sig), orders), np.int64)
+            for t in range(orders):
+                h = np.full(len(sig), (t + 1) * 1000 + depth, np.uint64)
+                for d in range(depth):
+                    h = T.mix(h * T._MULT + sig[:, _ORDERS[t][d]])
+                keys[:, t] = h.view(np.int64)
+            each = [pa.array(np.repeat(b[c].to_numpy(), orders)) for c in ("id", "n", "comp")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *each], ["region", "id", "n", "comp"])
 
     return run
 
@@ -191,38 +220,15 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return materialize(joined.where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("a", "b"), "links")
 
 
-def _place(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, id): the regions of the forest that hold two documents or more; (k1, id): the regions that were split."""
-    trees = reps.select("id", F.explode(F.arrays_zip("k1", "k2", "k3")).alias("k")).select("id", "k.*")
-    n1 = trees.groupBy("k1").agg(F.count("*").alias("n1")).where("n1 > 1")
-    t = materialize(trees.join(n1, "k1"), "forest")
-    small = t.where(F.col("n1") <= REGION).select(F.col("k1").alias("region"), "id")
-    deep = t.where(F.col("n1") > REGION)
-    n2 = deep.groupBy("k1", "k2").agg(F.count("*").alias("n2"), F.min("id").alias("least2"))
-    hubs2 = n2.join(n2.groupBy("k1").agg(F.count("*").alias("parts")), "k1").select(F.xxhash64("k1", F.lit("parts"), F.expr(f"pmod(xxhash64(least2), ceil(parts / {REGION}))")).alias("region"), F.col("least2").alias("id"))
-    d2 = deep.join(n2.select("k2", "n2"), "k2").where("n2 > 1")
-    mid = d2.where(F.col("n2") <= REGION).select(F.col("k2").alias("region"), "id")
-    deeper = d2.where(F.col("n2") > REGION)
-    n3 = deeper.groupBy("k2", "k3").agg(F.count("*").alias("n3"), F.min("id").alias("least3"))
-    hubs3 = n3.join(n3.groupBy("k2").agg(F.count("*").alias("parts")), "k2").select(F.xxhash64("k2", F.lit("parts"), F.expr(f"pmod(xxhash64(least3), ceil(parts / {REGION}))")).alias("region"), F.col("least3").alias("id"))
-    # The least document of a part too large for one region meets every salt of it.
-    d3 = deeper.join(n3.drop("k2"), "k3").where("n3 > 1").withColumn("salts", F.expr(f"cast(ceil(n3 / {REGION}) as int)"))
-    last = d3.select(F.xxhash64("k3", F.expr("pmod(xxhash64(id), cast(salts as bigint))")).alias("region"), "id")
-    spread = d3.where("id = least3").select(F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), "k3", "id").select(F.xxhash64("k3", F.expr("cast(salt as bigint)")).alias("region"), "id")
-    out = small
-    for more in (hubs2, mid, hubs3, last, spread):
-        out = out.unionByName(more)
-    return out, deep.select("k1", "id")
-
-
-def _blocks(split: DataFrame, comp: DataFrame) -> DataFrame:
-    """(region, id): every pair of a split region that has a document outside its main component meets in some block.
+FITS = f"n1 <= {REGION} and (w1 <= {WEIGHT} or n1 <= 2)"
+
+
+def _blocks(d: DataFrame) -> DataFrame:
+    """(region, id): every pair of a region (k1, id, comp) that has a document outside its main component meets in some block.
 
     Those outside are dealt into blocks of REGION, and so are the main component's; each outside block meets every other
-    and every main one. Where all are of one component there is nothing to meet.
+    and every main one.
     """
-    c = comp.select(F.col("id").alias("cid"), "component")
-    d = split.join(c, F.col("id") == F.col("cid"), "left").select("k1", "id", F.coalesce("component", "id").alias("comp"))
     each = d.groupBy("k1", "comp").agg(F.count("*").alias("n"))
     main = each.groupBy("k1").agg(F.max_by("comp", F.struct("n", F.negate("comp"))).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")).where("all > inside")
     size = lambda n: F.expr(f"cast(greatest(1, ceil({n} / {REGION})) as int)")
@@ -249,33 +255,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nothing, has a null component_id and stays. An empty table gives no rows; other columns are ignored.
     """
     docs = T.pick(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    sk = materialize(docs.mapInArrow(_sketch(width), "id long, n long, h1 long, h2 long, sig binary, k1 array<long>, k2 array<long>, k3 array<long>"), "sketches")
-    classes = sk.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min_by(F.struct(F.col("id").alias("doc"), "sig", "k1", "k2", "k3"), "id").alias("r"))
+    sk = materialize(docs.mapInArrow(_sketch(width), "id long, n long, h1 long, h2 long, sig binary, k array<long>"), "sketches")
+    classes = sk.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min_by(F.struct(F.col("id").alias("doc"), "sig", "k"), "id").alias("r"))
     classes = materialize(classes.select(F.xxhash64("h1", "h2", "n").alias("id"), "n", "r.*"), "classes")
-    regions, split = _place(classes)
-    rows = materialize(regions.distinct().join(classes.select("id", "n", "sig"), "id"), "regions")
-    by_region = lambda d: d.repartition("region").sortWithinPartitions("region", "id")
-    first = by_region(rows).mapInArrow(_propose(percent), "x long, y long, e double")
-    best = first.groupBy("x").agg(F.max_by("y", F.struct("e", F.negate("y"))).alias("y"))
+    trees = classes.select("id", "n", F.posexplode("k").alias("tree", "region"))
+    held = trees.groupBy("region").agg(F.count("*").alias("n1"), F.sum("n").alias("w1")).where("n1 > 1")
+    placed = T.join_unique(trees, held, "region", "id", "inner").join(classes.select("id", "sig"), "id")
+    rows = materialize(placed.mapInArrow(_label, "id long, region long, n long, tree int, n1 long, w1 long, sig binary, label binary"), "regions")
     need = classes.join(rows.select("id").distinct(), "id", "left_semi").select(F.col("doc").alias("need")).distinct().hint("merge")
     text = docs.join(need, docs.id == need.need, "left_semi")
     sets = materialize(text.mapInArrow(_shingles(width), "h1 long, h2 long, s array<long>").withColumn("n", F.size("s").cast("long")).select(F.xxhash64("h1", "h2", "n").alias("id"), "s"), "sets")
-    links = _confirm(sets, best, percent)
-    comp = connected_components(links)
 
-    def decide(placed: DataFrame, comp: DataFrame) -> DataFrame:
+    def with_comp(d: DataFrame, comp: DataFrame | None) -> DataFrame:
+        if comp is None:
+            return d.withColumn("comp", F.col("id"))
         c = comp.select(F.col("id").alias("cid"), "component")
-        with_comp = placed.join(c, F.col("id") == F.col("cid"), "left").select("region", "id", "n", "sig", F.coalesce("component", "id").alias("comp"))
-        open_ = with_comp.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
-        wide = with_comp.join(open_, "region").hint("merge").join(sets, "id").select("region", "id", "n", "sig", "comp", "s")
-        return materialize(by_region(wide).mapInArrow(_decide(percent), "a long, b long").distinct(), "more")
-
-    links = links.unionByName(decide(rows, comp))
+        return d.join(c, F.col("id") == F.col("cid"), "left").select(*d.columns, F.coalesce("component", "id").alias("comp"))
+
+    def decide(d: DataFrame) -> DataFrame:
+        """Links within regions (region, id, n, comp) of bounded size that hold several components."""
+        open_ = d.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
+        wide = d.join(open_, "region").join(classes.select("id", "sig"), "id").hint("merge").join(sets, "id").select("region", "id", "n", "sig", "comp", "s")
+        return materialize(wide.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_decide(percent), "a long, b long").distinct(), "more")
+
+    comp, links = None, None
+    for _ in range(ROUNDS):
+        # Any number of a region's documents may be of one partition: the range is cut by the whole order.
+        order = with_comp(rows.select("region", "label", "id", "n", "sig"), comp).repartitionByRange("region", "label", "id").sortWithinPartitions("region", "label", "id")
+        near = order.mapInArrow(_neighbours(percent), "x long, y long, rank long").groupBy("x").agg(F.min_by("y", F.struct("rank", "y")).alias("y"))
+        new = _confirm(sets, near, percent)
+        links = new if links is None else links.unionByName(new)
+        comp = connected_components(links)
+    links = links.unionByName(decide(with_comp(rows.where(FITS).select("region", "id", "n"), comp)))
     comp = connected_components(links)
-    split = materialize(split, "split")
-    if not split.isEmpty():
-        last = _blocks(split, comp).join(classes.select("id", "n", "sig"), "id")
-        links = links.unionByName(decide(last, comp))
+    large = rows.where(f"not ({FITS})").select("region", "id", "n")
+    for depth, orders in DEEPER:
+        c = with_comp(large, comp)
+        # Only what lies in a region of several components goes on.
+        open_ = c.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
+        left = materialize(T.join_unique(c, open_, "region", "id", "inner").select("id", "n", "comp").distinct(), "deeper")
+        if left.isEmpty():
+            large = None
+            break
+        keys = materialize(left.join(classes.select("id", "sig"), "id").mapInArrow(_deep_keys(depth, orders), "region long, id long, n long, comp long"), "deep")
+        held = keys.groupBy("region").agg(F.count("*").alias("n1"), F.sum("n").alias("w1"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
+        keys = materialize(T.join_unique(keys, held, "region", "id", "inner"), "deep")
+        links = links.unionByName(decide(keys.where(FITS).select("region", "id", "n", "comp")))
+        comp = connected_components(links)
+        large = keys.where(f"not ({FITS})").select("region", "id", "n")
+    if large is not None:
+        last = _blocks(with_comp(large, comp).select(F.col("region").alias("k1"), "id", "comp"))
+        links = links.unionByName(decide(with_comp(last.join(classes.select("id", "n"), "id"), comp)))
         comp = connected_components(links)
     named = classes.select("id", "doc").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -110,16 +110,23 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     held = measured.join(good, F.col("doc_id") == F.col("label_id"))
     trials = held.groupBy("stratum", "doc_id").agg(*[F.max(_level(r)).alias(r) for r in RULES])
     off, settings = len(GRID), (len(GRID) + 1) ** len(RULES) * (len(STRATA) + 1)
-    valid = lambda k: binomial_tail(k, F.col("n"), alpha) <= delta / settings
+
+    def valid(counts: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, name, step) of the counted tests that pass; each is a struct in ``tests``."""
+        each = counts.select(*keys, "n", F.explode("tests").alias("x")).select(*keys, "n", "x.*")
+        return each.where(binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / settings)
+
+    test = lambda name, step, k: F.struct(F.lit(name).alias("name"), F.lit(step).alias("step"), F.count_if(k).alias("k"))
     # Each rule alone; every stratum is a row.
-    alone = trials.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > i).alias(f"{r}_{i}") for r in RULES for i in range(off)])
-    lowest = {r: F.coalesce(F.least(*[F.when(valid(F.col(f"{r}_{i}")), F.lit(i)) for i in range(off)]), F.lit(off)) for r in RULES}
-    first = alone.select(F.col("stratum").alias("of"), *[c.alias(f"at_{r}") for r, c in lowest.items()])
+    alone = trials.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[test(r, i, F.col(r) > i) for r in RULES for i in range(off)]).alias("tests"))
+    lowest = valid(alone, ["stratum"]).groupBy("stratum").agg(*[F.coalesce(F.min(F.when(F.col("name") == r, F.col("step"))), F.lit(off)).alias(f"at_{r}") for r in RULES])
+    first = materialize(lowest.withColumnRenamed("stratum", "of"), "cutoffs")
     # By how many steps a document is above the rules' first cutoffs: it goes where they are raised by fewer.
     joined = trials.join(F.broadcast(first), F.col("stratum") == F.col("of"))
     above = joined.withColumn("steps", F.greatest(*[F.col(r) - F.col(f"at_{r}") for r in RULES]))
-    raised = above.groupBy("stratum", *[f"at_{r}" for r in RULES]).agg(F.count("*").alias("n"), *[F.count_if(F.col("steps") > t).alias(f"k_{t}") for t in range(off)])
-    by = raised.withColumn("by", F.least(*[F.when(valid(F.col(f"k_{t}")), F.lit(t)) for t in range(off)])).where("by is not null")
+    at = ["stratum", *[f"at_{r}" for r in RULES]]
+    raised = above.groupBy(*at).agg(F.count("*").alias("n"), F.array(*[test("all", t, F.col("steps") > t) for t in range(off)]).alias("tests"))
+    by = valid(raised, at).groupBy(*at).agg(F.min("step").alias("by"))
     grid = F.array(*[F.lit(c) for c in GRID])
     return by.select("stratum", *[F.get(grid, F.col(f"at_{r}") + F.col("by")).alias(f"cut_{r}") for r in RULES])
 

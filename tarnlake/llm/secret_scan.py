@@ -144,26 +144,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     # Rows without a candidate, most of all, need no verdict.
     none = found.where("size(found) = 0").select(*own, F.lit("").alias("spans"), *[F.lit(0).cast("long").alias(c) for c in _COUNTS])
-    some = _join_verdict(found.where("size(found) > 0").select("mark", F.col("id").alias("deal"), *own), verdict)
+    some = T.join_unique(found.where("size(found) > 0").select("mark", F.col("id").alias("deal"), *own), verdict, "mark", "deal")
     return none.unionByName(some.select("doc_id", *own[1:], F.coalesce("spans", F.lit("")).alias("spans"), *map(zero, _COUNTS)))
 
 
 _COUNTS = ("n_owned", "n_copied", "most_repos")
-#: A text of more rows than this share of all is dealt out over so many tasks.
-HOT_SHARE, SALTS = 0.001, 32
-
-
-def _join_verdict(rows: DataFrame, verdict: DataFrame) -> DataFrame:
-    """``rows`` (with mark and deal) and their text's verdict, if any. The rows of a text that a great many copy are dealt
-    out by ``deal``, and its verdict goes to each of those parts; at most 1 / HOT_SHARE texts can be so common, so their
-    marks are broadcast."""
-    n = rows.count()
-    hot = F.broadcast(rows.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > max(SALTS, HOT_SHARE * n)).select("mark", F.lit(True).alias("hot")))
-    left = rows.join(hot, "mark", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("deal"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-    parts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    right = verdict.join(hot, "mark", "left").select(*verdict.columns, F.explode(parts).alias("salt"))
-    return left.drop("hot").join(right, ["mark", "salt"], "left")
-
 
 def _mark(text):
     """A text's identity: spans are a function of the text and the corpus."""
@@ -237,7 +222,7 @@ def mask(df: DataFrame, text_col: str = "text", max_owners: int = 1, max_repos:
     _, verdict = _verdicts(df, columns.get("id_col", "doc_id"), text_col, columns.get("owner_col", "source"), columns.get("repo_col"), max_owners, max_repos)
     # The row travels as one column, so that no name of its own can clash.
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), _mark(df[text_col]).alias("mark"), df[columns.get("id_col", "doc_id")].alias("deal"))
-    joined = _join_verdict(rows, verdict.where("spans <> ''").select("mark", "spans"))
+    joined = T.join_unique(rows, verdict.where("spans <> ''").select("mark", "spans"), "mark", "deal")
     text = F.col("row").getField(text_col)
     masked = F.when(F.col("spans").isNull(), text).otherwise(F.pandas_udf(_masked, "string")(text, "spans"))
     return joined.select(*[(masked if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns])

@@ -38,6 +38,26 @@ def pick(df, **columns: str):
     return df.select(*[df[c].alias(k) for k, c in columns.items()])
 
 
+#: A key of more rows than this share of all is dealt out over so many tasks.
+HOT_SHARE, SALTS = 0.001, 32
+
+
+def join_unique(rows, unique, key: str, deal: str, how: str = "left"):
+    """``rows`` joined with at most one row of ``unique`` for each ``key``.
+
+    The rows of a key that a great many have are dealt out by ``deal``, and the key's one row goes to each of those parts.
+    At most 1 / HOT_SHARE keys can be so common, so they are broadcast. ``rows`` is read twice.
+    """
+    n = rows.count()
+    common = rows.groupBy(key).agg(F.count("*").alias("n_")).where(F.col("n_") > max(SALTS, HOT_SHARE * n))
+    hot = F.broadcast(common.select(key, F.lit(True).alias("hot_")))
+    zero, last = F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")
+    left = rows.join(hot, key, "left").withColumn("salt_", F.when(F.col("hot_"), F.pmod(F.xxhash64(deal), F.lit(SALTS))).otherwise(zero))
+    parts = F.explode(F.when(F.col("hot_"), F.sequence(zero, last)).otherwise(F.array(zero))).alias("salt_")
+    right = unique.join(hot, key, "left").select(*unique.columns, parts)
+    return left.drop("hot_").join(right, [key, "salt_"], how).drop("salt_")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finisher that spreads all bits."""
     x = x ^ (x >> U(30))
