@@ -89,6 +89,22 @@ def test_large_groups_split_into_regions_and_stay_joined(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in lsh_forest.near_duplicates(df, width=4).collect()} == want
 
 
+def test_a_common_opening_of_more_texts_than_a_region_holds(spark):
+    """Unlike texts that share most of their words crowd one region; the few near copies among them are found all the same."""
+    r = random.Random(13)
+    opening = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join([*opening, *(f"t{i}u{k}" for k in range(24))]) for i in range(1040)}
+    for i in range(1040, 1100):
+        w = texts[r.randrange(1040)].split()
+        w[60 + r.randrange(24)] = f"x{i}"
+        texts[i] = " ".join(w)
+    assert len(texts) > lsh_forest.REGION
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want, _ = brute.components(texts, 4)
+    assert 20 < len(texts) - len(set(want.values()))
+    assert {x.doc_id: x.component_id for x in lsh_forest.near_duplicates(df, width=4).collect()} == want
+
+
 def test_contained_items_match_all_pairs(spark, docs):
     texts = [(r[0], r[1]) for r in corpus()]
     long = corpus()[11][1].split()
@@ -238,7 +254,7 @@ def test_candidates_are_found_in_linear_time():
 
 
 def test_masking_deals_out_common_texts_and_keeps_clashing_names(spark, monkeypatch):
-    monkeypatch.setattr(secret_scan, "SALTS", 3)
+    monkeypatch.setattr(T, "SALTS", 3)
     text = "key k9XfQ2mZr7LpT4vB8nWs end"
     df = spark.createDataFrame([(i, text if i % 2 else f"plain {i}", "o", i, "m", "h") for i in range(60)], "doc_id long, text string, source string, row long, mark string, hot string").withColumn("salt", F.lit("s"))
     got = {x.doc_id: x for x in secret_scan.mask(df).collect()}
