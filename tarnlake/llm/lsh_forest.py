@@ -115,21 +115,31 @@ def _label(batches):
 
 
 def _neighbours(percent: int):
-    """(x, y, rank): each document of a sorted order with the first in rank of the near ones around it."""
-    low = percent / 100 - MARGIN / 4
+    """(x, y, rank): each document of a sorted order with one of the near ones around it.
+
+    Where some agree by the threshold it is the first of them in a common ranking, else the one that agrees best.
+    """
+    low, high = percent / 100 - MARGIN, percent / 100
 
     def of(b):
         ids, n, sig, region, comp = b["id"].to_numpy(), b["n"].to_numpy(), _signatures(b), b["region"].to_numpy(), b["comp"].to_numpy()
-        rank = T.mix(ids.view(np.uint64)) >> T.U(1)
+        rank = T.mix(ids.view(np.uint64)) >> T.U(2)
         first, with_ = rank.copy(), ids.copy()
+        lone = np.full(len(ids), T.U(2**63 - 1))
         for w in range(1, min(WINDOW, len(ids) - 1) + 1):
             a, c = np.arange(len(ids) - w), np.arange(w, len(ids))
             own = (region[a] == region[c]) & (comp[a] != comp[c]) & _possible(n[a], n[c], percent)
             a, c = a[own], c[own]
-            near = _agreement(sig[a], sig[c]) >= low
+            e = _agreement(sig[a], sig[c])
+            near, weak = e >= high, (e >= low) & (e < high)
             for x, y in ((a[near], c[near]), (c[near], a[near])):
                 better = rank[y] < first[x]
                 first[x[better]], with_[x[better]] = rank[y[better]], ids[y[better]]
+                lone[x] = 0
+            worth = T.U(2**62) + ((1 - e[weak]) * 2**60).astype(np.uint64)
+            for x, y in ((a[weak], c[weak]), (c[weak], a[weak])):
+                better = worth < lone[x]
+                first[x[better]], with_[x[better]], lone[x[better]] = worth[better], ids[y[better]], worth[better]
         some = with_ != ids
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(with_[some]), pa.array(first[some].view(np.int64))], ["x", "y", "rank"])
 
@@ -220,6 +230,18 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return materialize(joined.where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("a", "b"), "links")
 
 
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after further links; only those that a link joins are looked at again."""
+    if comp is None:
+        return connected_components(links)
+    at = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    more = connected_components(ends)
+    moved = T.join_unique(comp, more.select(F.col("id").alias("component"), F.col("component").alias("next")), "component", "id")
+    first = more.join(comp.select("id"), "id", "left_anti").select("id", "component")
+    return materialize(moved.select("id", F.coalesce("next", "component").alias("component")).unionByName(first), "components")
+
+
 FITS = f"n1 <= {REGION} and (w1 <= {WEIGHT} or n1 <= 2)"
 
 
@@ -278,16 +300,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wide = d.join(open_, "region").join(classes.select("id", "sig"), "id").hint("merge").join(sets, "id").select("region", "id", "n", "sig", "comp", "s")
         return materialize(wide.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_decide(percent), "a long, b long").distinct(), "more")
 
-    comp, links = None, None
+    comp = None
     for _ in range(ROUNDS):
         # Any number of a region's documents may be of one partition: the range is cut by the whole order.
         order = with_comp(rows.select("region", "label", "id", "n", "sig"), comp).repartitionByRange("region", "label", "id").sortWithinPartitions("region", "label", "id")
         near = order.mapInArrow(_neighbours(percent), "x long, y long, rank long").groupBy("x").agg(F.min_by("y", F.struct("rank", "y")).alias("y"))
-        new = _confirm(sets, near, percent)
-        links = new if links is None else links.unionByName(new)
-        comp = connected_components(links)
-    links = links.unionByName(decide(with_comp(rows.where(FITS).select("region", "id", "n"), comp)))
-    comp = connected_components(links)
+        comp = _joined(comp, _confirm(sets, near, percent))
+    comp = _joined(comp, decide(with_comp(rows.where(FITS).select("region", "id", "n"), comp)))
     large = rows.where(f"not ({FITS})").select("region", "id", "n")
     for depth, orders in DEEPER:
         c = with_comp(large, comp)
@@ -300,13 +319,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         keys = materialize(left.join(classes.select("id", "sig"), "id").mapInArrow(_deep_keys(depth, orders), "region long, id long, n long, comp long"), "deep")
         held = keys.groupBy("region").agg(F.count("*").alias("n1"), F.sum("n").alias("w1"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
         keys = materialize(T.join_unique(keys, held, "region", "id", "inner"), "deep")
-        links = links.unionByName(decide(keys.where(FITS).select("region", "id", "n", "comp")))
-        comp = connected_components(links)
+        comp = _joined(comp, decide(keys.where(FITS).select("region", "id", "n", "comp")))
         large = keys.where(f"not ({FITS})").select("region", "id", "n")
     if large is not None:
         last = _blocks(with_comp(large, comp).select(F.col("region").alias("k1"), "id", "comp"))
-        links = links.unionByName(decide(with_comp(last.join(classes.select("id", "n"), "id"), comp)))
-        comp = connected_components(links)
+        comp = _joined(comp, decide(with_comp(last.join(classes.select("id", "n"), "id"), comp)))
     named = classes.select("id", "doc").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "component").select("id", "component_id")
