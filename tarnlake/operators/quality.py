@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULTS = "run_id string, table_name string, check_name string, severity string, status string, failed_count long, total_count long, detail string, checked_at timestamp"
@@ -73,7 +73,11 @@ def single_pass(df: DataFrame, checks: list[Check]) -> dict[str, tuple[int, int]
             continue
         names.append((i, c))
     row = df.agg(*aggs).first()
-    return {c.name: (int(row[f"c{i}"] or 0), int(row["_n"])) for i, c in names}
+    return {c.name: (int(row[f"c{i}"] or 0), int(row["_n"])) for i, c in names} | {ALL: (0, int(row["_n"]))}
+
+
+#: The entry of a single pass that holds the number of rows.
+ALL = ""
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str, null_is_orphan: bool = False) -> DataFrame:
@@ -118,7 +122,8 @@ def run_checks(tables: dict[str, DataFrame], checks: list[Check], spark: SparkSe
                 continue
             else:
                 try:
-                    failed, total, detail = _special(df, c, tables)
+                    rows = done[ALL][1] if ALL in done else df.count()
+                    failed, total, detail = _special(df, c, tables, rows)
                 except (PySparkException, KeyError) as e:
                     failed, total, detail = -1, -1, str(e).split("\n")[0][:200]
             bad = failed < 0 or failed > c.tolerance * max(total, 1) if c.severity != "INFO" else failed < 0
@@ -126,11 +131,11 @@ def run_checks(tables: dict[str, DataFrame], checks: list[Check], spark: SparkSe
     return spark.createDataFrame(out, RESULTS)
 
 
-def _special(df: DataFrame, c: Check, tables: dict[str, DataFrame]) -> tuple[int, int, str]:
+def _special(df: DataFrame, c: Check, tables: dict[str, DataFrame], total: int) -> tuple[int, int, str]:
     if c.kind == "relationship":
-        return orphans(df, c.column, tables[c.parent], c.parent_column, c.null_fk_is_orphan).count(), df.count(), ""
+        return orphans(df, c.column, tables[c.parent], c.parent_column, c.null_fk_is_orphan).count(), total, ""
     if c.kind == "row_count":
-        a, b = df.count(), tables[c.parent].count() if c.parent else int(c.control)
+        a, b = total, tables[c.parent].count() if c.parent else int(c.control)
         return (0 if abs(a - b) <= c.tolerance * max(b, 1) else max(1, abs(a - b))), b, f"{a} against {b}"
     if c.kind == "balance":
         a = df.agg(F.sum(F.col(c.column).cast("decimal(38,2)"))).first()[0] or 0
@@ -141,7 +146,7 @@ def _special(df: DataFrame, c: Check, tables: dict[str, DataFrame]) -> tuple[int
         return int(age is None or age > c.days), 1, f"{age} days"
     if c.kind == "outliers":
         lo, hi = outlier_bounds(df, c.column)
-        return df.where((F.col(c.column) < lo) | (F.col(c.column) > hi)).count(), df.count(), f"[{lo}, {hi}]"
+        return df.where((F.col(c.column) < lo) | (F.col(c.column) > hi)).count(), total, f"[{lo}, {hi}]"
     raise KeyError(f"unknown kind {c.kind}")
 
 
@@ -183,4 +188,20 @@ def health(tables: dict[str, DataFrame], scd2: dict[str, str], keys: list[tuple[
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """Counts and shares of a column's values."""
     g = df.groupBy(column).agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    # One row beside each value.
+    all_ = df.agg(F.count("*").alias("all_"))
+    return g.crossJoin(F.broadcast(all_)).select(column, "n", (F.col("n") / F.col("all_")).alias("share"))
+
+
+def append_results(results: DataFrame, path: str) -> None:
+    """Add a run to the table of results, by day of the run."""
+    results.withColumn("checked_on", F.to_date("checked_at")).write.mode("append").partitionBy("checked_on").parquet(path)
+
+
+def join_loss(child: DataFrame, column: str, parent: DataFrame, parent_column: str, most: float = 0.03) -> DataFrame:
+    """One row: rows, those that an inner join would lose, their share, and whether that is at most ``most``. Null keys are lost too."""
+    keys = parent.select(F.col(parent_column).alias("_p")).distinct().withColumn("_in", F.lit(True))
+    j = child.select(F.col(column).alias("_c")).join(keys, F.col("_c") == F.col("_p"), "left")
+    g = j.agg(F.count("*").alias("total"), F.count_if(F.col("_in").isNull()).alias("lost"))
+    share = F.coalesce(F.col("lost") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))
+    return g.select("total", "lost", share.alias("share"), (share <= most).alias("passed"))

@@ -16,7 +16,7 @@ def mask(kind: str, c: Column, role: str) -> Column:
     if role in _SEES[kind]:
         return c
     if kind == "phone":
-        return F.regexp_replace(c, r"^.{7}", "*******")
+        return F.regexp_replace(c, r"^.{1,7}", "*******")
     if kind == "email":
         return F.when(c.isNotNull(), F.concat(F.lit("***@"), F.coalesce(F.get(F.split(c, "@"), F.lit(1)), F.lit(""))))
     if kind == "ssn":

@@ -10,9 +10,9 @@ FLAGSHIP = "k1_portfolio_at_risk"
 
 
 def _modules():
-    from tarnlake.plans import basics, governance, history, kpis
+    from tarnlake.plans import basics, governance, history, kpis, landed
 
-    return [kpis, history, governance, basics]
+    return [kpis, history, governance, basics, landed]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -105,16 +105,17 @@ def dq13_health(spark, sf_dir):
     return quality.health(t, {}, [("orders", "o_custkey", "customer", "c_custkey")], spark).select("item", "value")
 
 
-@query("select golden, count(*) as records from (values (1), (1), (1), (4), (4), (4), (7), (7), (7), (10), (11), (12), (12)) t(golden) group by 1")
-def er3_identity(spark, sf_dir):
-    """Thirteen records of three systems become six people."""
-    from tarnlake.operators.identity import resolve
-
-    people = [
-        ("CRM", "Maria", "Chen", "1985-03-12", "4471"), ("SERVICING", "Maria", "Chen", "1985-03-12", "4471"), ("BUREAU", "M.", "Chen", "1985-03-12", "4471"),
-        ("CRM", "James", "Whitfield", "1979-11-02", "8820"), ("SERVICING", "James", "Whitfield", "1979-11-02", "8820"), ("BUREAU", "James", "Whitfeld", "1979-11-02", "8820"),
-        ("CRM", "Robert", "Garcia", "1990-07-25", "1156"), ("SERVICING", "Bob", "Garcia", "1990-07-25", "1156"), ("BUREAU", "Robert", "Garcia", "1990-07-25", "1156"),
-        ("CRM", "Sarah", "Kim", "1988-02-14", "3390"), ("CRM", "David", "Kim", "1993-09-30", "7742"), ("CRM", "Elena", "Petrova", "1982-05-19", "5510"), ("BUREAU", "Elena", "Petrova", "1982-05-19", None),
-    ]
-    df = spark.createDataFrame([(i + 1, *p) for i, p in enumerate(people)], "id long, source string, first_name string, last_name string, dob string, ssn_last4 string")
-    return resolve(df).groupBy(F.col("golden_id").cast("int").alias("golden")).agg(F.count("*").alias("records"))
+@query("select c_custkey * 3 as golden, 3 - (c_custkey % 5 = 0)::int as records, c_name as last_name, c_mktsegment as first_name, case when c_custkey % 5 <> 0 then 'bureau' else 'servicing' end as rating from customer")
+def er1_er4_identity(spark, sf_dir):
+    """Each customer in three systems: as they are, with a slip in the last name, and without the number. One record survives,
+    with every value from the best system that has it."""
+    from tarnlake.operators.identity import resolve, survive
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    dob, number = F.date_add(F.lit("1900-01-01").cast("date"), F.col("c_custkey").cast("int")).cast("string"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    record = lambda k, source, last, ssn, rating: c.select((F.col("c_custkey") * 3 + k).alias("id"), F.lit(source).alias("source"), F.col("c_mktsegment").alias("first_name"), last.alias("last_name"), dob.alias("dob"), ssn.alias("ssn_last4"), rating.alias("rating"))
+    none = F.lit(None).cast("string")
+    crm, slip = record(0, "CRM", F.col("c_name"), number, none), record(1, "SERVICING", F.concat("c_name", F.lit("x")), number, F.lit("servicing"))
+    bureau = record(2, "BUREAU", F.upper("c_name"), none, F.lit("bureau")).where("id % 15 <> 2")
+    golden = survive(resolve(crm.unionByName(slip).unionByName(bureau)), ["last_name", "first_name", "rating"], {"CRM": 1, "BUREAU": 2, "SERVICING": 3})
+    return golden.select(F.col("golden_id").alias("golden"), F.col("records").cast("int").alias("records"), "last_name", "first_name", "rating")

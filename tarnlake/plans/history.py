@@ -170,12 +170,13 @@ def j7_mapped_key(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type", F.coalesce(m[F.col("event_type")], F.lit("OTHER")).alias("channel")).agg(F.count("*").alias("n"))
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def j8_anti_join(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select("o_custkey")
+    c, o = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
 
 
+
 @query("select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def j10_semi_join(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from graphlib import TopologicalSorter
 
@@ -15,6 +16,7 @@ class Job:
     after: list[str] = field(default_factory=list)
     retries: int = 0
     sla_seconds: float | None = None
+    timeout: float | None = None
     active: bool = True
 
 
@@ -26,10 +28,27 @@ class Outcome:
     sla_missed: bool = False
 
 
+def _within(job: Job) -> None:
+    if job.timeout is None:
+        job.run()
+        return
+    pool = ThreadPoolExecutor(1)
+    try:
+        pool.submit(job.run).result(job.timeout)
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
 def run(jobs: list[Job], alert: Callable[[str], None] = lambda _: None) -> dict[str, Outcome]:
-    """Run jobs after those that they need. What follows a failed job is BLOCKED; inactive jobs count as passed over."""
+    """Run jobs after those that they need. What follows a failed job is BLOCKED; inactive jobs count as passed over.
+
+    A dependency that is not listed is an error. A job over its ``timeout`` is FAILED without a further try, though what it has
+    begun on the cluster ends by itself.
+    """
     by_name, out = {j.name: j for j in jobs}, {}
-    for name in TopologicalSorter({j.name: [a for a in j.after if a in by_name] for j in jobs}).static_order():
+    if absent := sorted({a for j in jobs for a in j.after} - by_name.keys()):
+        raise ValueError(f"no such job: {', '.join(absent)}")
+    for name in TopologicalSorter({j.name: j.after for j in jobs}).static_order():
         j = by_name[name]
         if not j.active:
             out[name] = Outcome("INACTIVE")
@@ -40,9 +59,12 @@ def run(jobs: list[Job], alert: Callable[[str], None] = lambda _: None) -> dict[
         began = time.monotonic()
         for attempt in range(j.retries + 1):
             try:
-                j.run()
+                _within(j)
                 out[name] = Outcome("DONE")
                 break
+            except TimeoutError:
+                out[name] = Outcome("FAILED", detail=f"over {j.timeout:g} s")
+                break
             except Exception as e:  # a job may fail in any way; the others still run
                 out[name] = Outcome("FAILED", detail=f"{type(e).__name__}: {e}"[:300])
         out[name].seconds = time.monotonic() - began

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.sources.contracts import Contract, classify
-from tarnlake.sources.landing import read_partition
+from tarnlake.sources.landing import headers, read_partition
 
 LOG = "table_name string, batch_id string, start_ts timestamp, end_ts timestamp, status string, detail string, row_count long, quarantined_count long"
 
@@ -55,24 +55,46 @@ def ingest(spark: SparkSession, contract: Contract, date: str, bronze: str, quar
     if corrupt is not None:
         suspect = suspect | F.coalesce(corrupt, F.lit(False))
     audited = rows.select("*", F.lit(batch).alias("_batch_id"), F.current_timestamp().alias("_ingestion_ts"), F.lit(contract.path.format(date=date)).alias("_source_file"), F.lit(date).alias("_ingestion_date"), suspect.alias("_is_quarantined"), F.lit(drift.kind).alias("_schema_drift_classification"))
+    counts = []
     for target, keep in ((bronze, ~F.col("_is_quarantined")), (quarantine, F.col("_is_quarantined"))):
-        w = audited.where(keep).drop("_bad_columns" if target == bronze else "_none").write.mode("overwrite")
+        path = f"{target}/{contract.table}"
+        w = audited.where(keep).drop("_bad_columns" if target == bronze else "_none").write
         if contract.strategy == "full_snapshot_overwrite":
-            w.parquet(f"{target}/{contract.table}")
+            w.mode("overwrite").parquet(path)
+            counts.append(spark.read.parquet(path).count())
         else:
-            w.option("partitionOverwriteMode", "dynamic").partitionBy("_ingestion_date").parquet(f"{target}/{contract.table}")
-    # Counts come from what was written, column-less, and not from the source again.
-    n = spark.read.parquet(f"{bronze}/{contract.table}").where(F.col("_batch_id") == batch).count() if _any(spark, f"{bronze}/{contract.table}") else 0
-    q = spark.read.parquet(f"{quarantine}/{contract.table}").where(F.col("_batch_id") == batch).count() if _any(spark, f"{quarantine}/{contract.table}") else 0
+            # The date's partition goes first: a replay may have no row for this side.
+            own = f"{path}/_ingestion_date={date}"
+            _drop(spark, own)
+            w.mode("append").partitionBy("_ingestion_date").parquet(path)
+            counts.append(spark.read.parquet(own).count() if _exists(spark, own) else 0)
+    n, q = counts
     detail = f"added={','.join(drift.added)} missing={','.join(drift.missing)} renamed={','.join(drift.renamed)}"
     return _log(spark, log, contract.table, batch, start, "BREAKING_DRIFT" if drift.kind == "breaking" else "SUCCESS", detail, n, q)
 
 
-def _any(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/*.parquet")
-    q = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(p)) or bool(fs.globStatus(q))
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def drift_report(spark: SparkSession, contract: Contract, paths: list[str]) -> DataFrame:
+    """(path, kind, added, missing, renamed) of CSV files against a contract, from their headers alone."""
+    rows = []
+    for path, names in sorted(headers(spark, paths).items()):
+        d = classify(contract, [c for c in names if c != contract.partition])
+        rows.append((path, d.kind, d.added, d.missing, [f"{a}>{b}" for a, b in sorted(d.renamed.items())]))
+    return spark.createDataFrame(rows, "path string, kind string, added array<string>, missing array<string>, renamed array<string>")
 
 
 def _log(spark, log, table, batch, start, status, detail, n, q) -> dict:

@@ -54,6 +54,20 @@ def append_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of an append sink; columns that came later are null in earlier rows."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def complete_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of whole results (output mode complete): each batch takes the place of the one before."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return write
+
+
 def merge_sink(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch insert-only merge: the latest row of each new key, known keys left alone. Replays add nothing."""
 
@@ -71,9 +85,9 @@ def merge_sink(path: str, key: list[str], order: list[str]) -> Callable[[DataFra
     return write
 
 
-def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append"):
     """A query with its own checkpoint: by a processing-time trigger, or over what is there now."""
-    w = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
@@ -88,6 +102,13 @@ def has_data(df: DataFrame, column: str, mark) -> bool:
     return not (df if mark is None else df.where(F.col(column) > F.lit(mark))).isEmpty()
 
 
+def missing_data(df: DataFrame, keys: list[str], ts: str, as_of, hours: int) -> DataFrame:
+    """The sources (``keys``) whose last row is more than ``hours`` before ``as_of``: keys, last, hours_since."""
+    last = df.groupBy(*keys).agg(F.max(ts).alias("last"))
+    since = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("last").cast("timestamp"))) / 3600
+    return last.withColumn("hours_since", since).where(F.col("hours_since") > hours)
+
+
 def track_promises(events: DataFrame, key: str = "loan_id", watermark: str = WATERMARK) -> DataFrame:
     """Promises kept or broken, as a stateful stream.
 
