@@ -11,7 +11,8 @@ are in one component after that, a group of thousands for a few links each.
 
 *Regions.* Only regions that still hold several components are looked at again, whole: every pair of
 different components whose agreement could still mean the threshold is decided on the full sets. A region with more than
-``REGION`` documents (or ``WEIGHT`` shingles) goes deeper first: its documents are placed anew by longer prefixes, 6 and then 12
+``REGION`` documents (or ``WEIGHT`` shingles) is cut into blocks that those outside its main component all meet, if they are
+no more than ``REGION``. Otherwise it goes deeper: its documents are placed anew by longer prefixes, 6 and then 12
 values, in more orders, so that a pair at the threshold meets at each depth with probability above 1 - 1e-5. What is still too
 large at the last depth meets in blocks of bounded size.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm import text as T
@@ -245,16 +246,21 @@ def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
 FITS = f"n1 <= {REGION} and (w1 <= {WEIGHT} or n1 <= 2)"
 
 
-def _blocks(d: DataFrame) -> DataFrame:
-    """(region, id): every pair of a region (k1, id, comp) that has a document outside its main component meets in some block.
+def _outside(d: DataFrame) -> DataFrame:
+    """(k1, main, inside, outside): regions (k1, id, comp) of several components, the main one, and how many documents it holds and does not."""
+    each = d.groupBy("k1", "comp").agg(F.count("*").alias("n"))
+    main = each.groupBy("k1").agg(F.max_by("comp", F.struct("n", F.negate("comp"))).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"))
+    return main.where("all > inside").select("k1", "main", "inside", (F.col("all") - F.col("inside")).alias("outside"))
+
+
+def _blocks(d: DataFrame, main: DataFrame) -> DataFrame:
+    """(region, id): every pair of a region of ``main`` that has a document outside its main component meets in some block.
 
     Those outside are dealt into blocks of REGION, and so are the main component's; each outside block meets every other
-    and every main one.
+    and every main one. With no more than REGION outside, a document of the main component is in one block.
     """
-    each = d.groupBy("k1", "comp").agg(F.count("*").alias("n"))
-    main = each.groupBy("k1").agg(F.max_by("comp", F.struct("n", F.negate("comp"))).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")).where("all > inside")
     size = lambda n: F.expr(f"cast(greatest(1, ceil({n} / {REGION})) as int)")
-    d = d.join(main.select("k1", "main", size("(all - inside)").alias("outs"), size("inside").alias("ins")), "k1")
+    d = T.join_unique(d, main.select("k1", "main", size("outside").alias("outs"), size("inside").alias("ins")), "k1", "id", "inner")
     outside = d.where("comp <> main").withColumn("own", F.expr("pmod(xxhash64(id, 1), cast(outs as bigint))"))
     inside = d.where("comp = main").withColumn("own", F.expr("pmod(xxhash64(id, 1), cast(ins as bigint))"))
     key = lambda kind, a, b: F.xxhash64("k1", F.lit(kind), a, b).alias("region")
@@ -296,8 +302,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def decide(d: DataFrame) -> DataFrame:
         """Links within regions (region, id, n, comp) of bounded size that hold several components."""
-        open_ = d.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
-        wide = d.join(open_, "region").join(classes.select("id", "sig"), "id").hint("merge").join(sets, "id").select("region", "id", "n", "sig", "comp", "s")
+        # A region holds no more than FITS allows, and one shuffle tells which hold several components.
+        w = Window.partitionBy("region")
+        open_ = d.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi")
+        wide = open_.join(classes.select("id", "sig"), "id").hint("merge").join(sets, "id").select("region", "id", "n", "sig", "comp", "s")
         return materialize(wide.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_decide(percent), "a long, b long").distinct(), "more")
 
     comp = None
@@ -307,23 +315,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         near = order.mapInArrow(_neighbours(percent), "x long, y long, rank long").groupBy("x").agg(F.min_by("y", F.struct("rank", "y")).alias("y"))
         comp = _joined(comp, _confirm(sets, near, percent))
     comp = _joined(comp, decide(with_comp(rows.where(FITS).select("region", "id", "n"), comp)))
-    large = rows.where(f"not ({FITS})").select("region", "id", "n")
-    for depth, orders in DEEPER:
+    large = rows.where(f"not ({FITS})").select(F.col("region").alias("k1"), "id", "n")
+    for depth, orders in (*DEEPER, (None, None)):
         c = with_comp(large, comp)
-        # Only what lies in a region of several components goes on.
-        open_ = c.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
-        left = materialize(T.join_unique(c, open_, "region", "id", "inner").select("id", "n", "comp").distinct(), "deeper")
-        if left.isEmpty():
-            large = None
+        main = materialize(_outside(c), "outside")
+        # A few documents outside meet all of the region at once; where there are many, the region goes deeper.
+        few = main.where(F.col("outside") <= REGION) if depth else main
+        if not few.isEmpty():
+            met = _blocks(c.select("k1", "id", "comp"), few)
+            comp = _joined(comp, decide(with_comp(met.join(classes.select("id", "n"), "id"), comp)))
+        left = materialize(T.join_unique(c, main.where(F.col("outside") > REGION).select("k1"), "k1", "id", "inner").select("id", "n").distinct(), "deeper") if depth else None
+        if left is None or left.isEmpty():
             break
-        keys = materialize(left.join(classes.select("id", "sig"), "id").mapInArrow(_deep_keys(depth, orders), "region long, id long, n long, comp long"), "deep")
+        keys = with_comp(left, comp).join(classes.select("id", "sig"), "id")
+        keys = materialize(keys.mapInArrow(_deep_keys(depth, orders), "region long, id long, n long, comp long"), "deep")
         held = keys.groupBy("region").agg(F.count("*").alias("n1"), F.sum("n").alias("w1"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
         keys = materialize(T.join_unique(keys, held, "region", "id", "inner"), "deep")
         comp = _joined(comp, decide(keys.where(FITS).select("region", "id", "n", "comp")))
-        large = keys.where(f"not ({FITS})").select("region", "id", "n")
-    if large is not None:
-        last = _blocks(with_comp(large, comp).select(F.col("region").alias("k1"), "id", "comp"))
-        comp = _joined(comp, decide(with_comp(last.join(classes.select("id", "n"), "id"), comp)))
+        large = keys.where(f"not ({FITS})").select(F.col("region").alias("k1"), "id", "n")
     named = classes.select("id", "doc").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "component").select("id", "component_id")
