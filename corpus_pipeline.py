@@ -13,9 +13,13 @@ from tarnlake.llm import bpe_segment, decontaminate, lsh_forest, quality_resampl
 from tarnlake.session import scratch_path
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _small_batches(spark: SparkSession) -> None:
-    """Texts cross to Python in batches of fewer rows: less memory on both sides for long documents."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
+    """Texts cross to Python in batches of fewer rows: less memory on both sides for long documents. A stage is only run
+    after it returns, so the option stays set; ``run``, which runs them all, sets it back."""
+    spark.conf.set(BATCH, "1500")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(BATCH)
+    try:
+        for name, stage in STAGES:
+            path = scratch_path(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return docs

@@ -24,10 +24,13 @@ def get_session(app: str = "tarnlake", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all run in one process, a new local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tarnlake-')}")
@@ -35,8 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tarnlake-{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; ``clear_scratch`` deletes it."""
+    path = f"{shared_dir(spark)}/tarnlake-{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this application has written to scratch; call it once no result is to be read any more."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:

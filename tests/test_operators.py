@@ -173,3 +173,48 @@ def test_generated_portfolio_is_repeatable(spark):
     m = messy(pay)
     assert 150 < m.groupBy("payment_id").count().where("count > 1").count() < 260
     assert 300 < m.where("is_reversal_flag").count() < 500
+
+
+def test_a_replay_that_empties_one_side_leaves_no_stale_rows(spark, tmp_path):
+    d = tmp_path / "raw/dt=2025-01-01"
+    d.mkdir(parents=True)
+    (d / "a.csv").write_text("id,amount\n1,5\n2,6\n")
+    c = Contract("t", f"{tmp_path}/raw/dt={{date}}", {"id": "int", "amount": "int"}, ["id"])
+    paths = [str(tmp_path / x) for x in ("bronze", "quarantine", "log")]
+    assert ingest.ingest(spark, c, "2025-01-01", *paths)["row_count"] == 2
+    row = ingest.ingest(spark, c, "2025-01-01", *paths, corrupt=F.col("amount") > 0)
+    assert (row["row_count"], row["quarantined_count"]) == (0, 2)
+    assert spark.read.schema("id int").parquet(f"{paths[0]}/t").count() == 0
+
+
+def test_short_phones_are_masked(spark):
+    df = spark.createDataFrame([("12345",), ("1234567",), ("555-010-1234",), (None,)], "phone string")
+    got = [r[0] for r in df.select(security.mask("phone", F.col("phone"), security.ANALYST)).collect()]
+    assert got == ["*******", "*******", "*******-1234", None]
+
+
+def test_absent_dependencies_and_timeouts_fail():
+    import time
+
+    with pytest.raises(ValueError):
+        run([Job("a", lambda: None, after=["nobody"])])
+    out = run([Job("slow", lambda: time.sleep(2), timeout=0.1, retries=3), Job("next", lambda: None, after=["slow"])])
+    assert out["slow"].status == "FAILED" and out["slow"].seconds < 1 and out["next"].status == "BLOCKED"
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    import os
+
+    from tarnlake import session
+
+    df = session.materialize(spark.range(3), "x")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path) and session.clear_scratch(spark) > 0 and not os.path.exists(path)
+
+
+def test_a_view_is_built_again_only_for_another_mark(spark, tmp_path):
+    from tarnlake.operators.views import Materialized
+
+    v = Materialized(Versioned(spark, str(tmp_path / "v")))
+    assert v.refresh("1", lambda: spark.range(2)) and not v.refresh("1", lambda: spark.range(5))
+    assert v.read().count() == 2 and v.refresh("2", lambda: spark.range(5)) and v.read().columns == ["id"]
