@@ -10,9 +10,9 @@ FLAGSHIP = "k1_portfolio_at_risk"
 
 
 def _modules():
-    from tarnlake.plans import basics, governance, history, kpis, landed
+    from tarnlake.plans import basics, governance, history, kpis, landed, reports
 
-    return [kpis, history, governance, basics, landed]
+    return [kpis, history, governance, basics, landed, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,6 +11,7 @@ from tarnlake.operators.tables import Versioned, expire
 from tarnlake.plans.orchestrate import Job, run
 from tarnlake.sources import ingest, landing
 from tarnlake.sources.contracts import Contract, classify, load_contracts
+from tarnlake.sources import generate
 from tarnlake.sources.generate import messy, portfolio
 
 T = lambda d, h=0: dt.datetime(2025, 1, d, h)
@@ -175,6 +176,24 @@ def test_generated_portfolio_is_repeatable(spark):
     assert 300 < m.where("is_reversal_flag").count() < 500
 
 
+def test_generated_loans_reach_every_state_and_contacts_follow_them(spark):
+    days = portfolio(spark, 1500, "2025-01-01", 300)
+    assert {r.bucket_index for r in days.select("bucket_index").distinct().collect()} == set(range(7)) and days.where("restructured").count() > 0
+    c = generate.contacts(days)
+    share = {r.channel_code: r.n for r in c.groupBy("channel_code").agg(F.count("*").alias("n")).collect()}
+    assert abs(share["OUTBOUND_CALL"] / sum(share.values()) - 0.35) < 0.03
+    status = {r.ptp_status: r.n for r in generate.promises_to_pay(c).groupBy("ptp_status").agg(F.count("*").alias("n")).collect()}
+    assert abs(status["Kept"] / sum(status.values()) - 0.65) < 0.05 and min(status.values()) > 0
+
+
+def test_bureau_scores_skip_the_outage_and_some_are_late(spark):
+    b = generate.bureau(generate.loans(spark, 3000), "2025-01-01", "2025-04-30", ["2025-02-03"])
+    assert {str(r.file_date) for r in b.select("file_date").distinct().collect()} == {"2025-01-03", "2025-03-03", "2025-04-03"}
+    late = b.agg(F.avg(F.col("is_late_arrival").cast("int"))).first()[0]
+    assert 0.03 < late < 0.07
+    assert not b.groupBy("customer_id", "file_date").count().where("count > 1").count()
+
+
 def test_a_replay_that_empties_one_side_leaves_no_stale_rows(spark, tmp_path):
     d = tmp_path / "raw/dt=2025-01-01"
     d.mkdir(parents=True)
