@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe_segment, decontaminate, html_extract, lm_mixing, lsh_forest, quality_resample, quality_rules, secret_scan, token_store, toxicity
+from tarnlake.llm import bpe_segment, collocations, decontaminate, html_extract, line_dedup, lm_mixing, lsh_forest, quality_resample, quality_rules, secret_scan, token_align, token_store, toxicity
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_files": token_store.op9_token_files,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_token_align": token_align.op13_token_align,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql():
         "op4_near_dedup": lsh_forest.OP4_SQL,
         "op8_decontaminate": decontaminate.OP8_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
+        "op11_line_dedup": line_dedup.OP11_SQL,
+        "op12_collocations": collocations.OP12_SQL,
     }
