@@ -10,9 +10,9 @@ FLAGSHIP = "k1_portfolio_at_risk"
 
 
 def _modules():
-    from tarnlake.plans import basics, governance, history, kpis, landed, reports
+    from tarnlake.plans import basics, governance, history, kpis, landed, reports, scaled
 
-    return [kpis, history, governance, basics, landed, reports]
+    return [kpis, history, governance, basics, landed, reports, scaled]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
