@@ -25,7 +25,7 @@ from tarnlake.llm import text as T
 from tarnlake.llm.bpe_segment import _byte_letters, tokenizer_path
 from tarnlake.session import materialize
 
-SLICE = 8 << 20
+SLICE, PART = 3 << 20, 256 << 10
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 _STORED = "slice long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>, pairs array<long>, counts array<long>, sizes array<int>, steps array<int>, times array<int>"
 
@@ -69,10 +69,12 @@ class Tokenizers:
     def encode(self, texts: list[str], settled: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A's ids, how many for each text, B's ids, how many)."""
         a = [self.a.encode_to_numpy(" " + t) if ok else np.array(self.library.encode(" " + t, add_special_tokens=False).ids, np.uint32) for t, ok in zip(texts, settled)]
-        b = self.b.encode(texts, num_threads=1)
-        nb = np.array([len(x) for x in b], np.int64)
-        flat = np.fromiter((i for x in b for i in x), np.int32, int(nb.sum()))
-        return (np.concatenate(a) if a else np.zeros(0)).astype(np.int64), np.array([len(x) for x in a], np.int64), flat.astype(np.int64), nb
+        # B's ids come as Python numbers, so only those of a part of the texts are held as such.
+        size = np.cumsum([len(t) for t in texts])
+        cuts = np.unique(np.searchsorted(size, np.arange(0, size[-1] + PART, PART), "left")).tolist() if len(texts) else [0]
+        b = [np.array(x, np.int32) for lo, hi in zip(cuts, [*cuts[1:], len(texts)]) for x in self.b.encode(texts[lo:hi], num_threads=1)]
+        flat = lambda ids: (np.concatenate(ids) if ids else np.zeros(0)).astype(np.int64)
+        return flat(a), np.array([len(x) for x in a], np.int64), flat(b), np.array([len(x) for x in b], np.int64)
 
 
 _held: dict[tuple[str, str], Tokenizers] = {}
@@ -123,16 +125,16 @@ class Aligned:
         self.ends = np.cumsum(size)
         length = int(self.ends[-1]) if len(rows) else 0
         a_ends, b_ends = np.cumsum(tok.a_size[a]), np.cumsum(tok.b_size[b])
-        marks = np.bincount(np.concatenate([a_ends, b_ends]), minlength=length + 1)
-        self.both = np.cumsum(marks == 2)
-        self.either = np.cumsum(marks > 0)
+        marks = np.bincount(np.concatenate([a_ends, b_ends]), minlength=length + 1).astype(np.int8)
+        self.both = np.cumsum(marks == 2, dtype=np.int32)
+        self.either = np.cumsum(marks > 0, dtype=np.int32)
         # A token's group: how many cuts lie before its end.
         self.a_group, self.b_group = self.both[a_ends - 1], self.both[b_ends - 1]
         offsets = np.flatnonzero(marks)
-        only_a = np.zeros(length + 1, np.int32)
+        only_a = np.zeros(length + 1, np.int8)
         only_a[a_ends] = 1
-        before = np.cumsum(only_a) - only_a
-        self.link_a, self.link_b = before[offsets], np.arange(len(offsets)) - before[offsets] + self.both[offsets - 1]
+        before = np.cumsum(only_a, dtype=np.int32)[offsets] - only_a[offsets]
+        self.link_a, self.link_b = before, np.arange(len(offsets)) - before + self.both[offsets - 1]
         self.tok = tok
 
     def by_document(self, sums: np.ndarray) -> np.ndarray:
