@@ -28,14 +28,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_resample.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
+def _one_each(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(the rows with an id, of several rows of one id the one of least hash over all columns; whether equal rows may remain)."""
+    known = docs.where("doc_id is not null")
+    repeated = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return known, False
+    # The row travels as one column, so that no name of its own can clash.
+    rows = known.select("doc_id", F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("hash"))
+    least = rows.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("hash").alias("least"))
+    return rows.join(least, "doc_id", "left").where("least is null or hash = least").select("row.*"), True
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8).
 
-    An id is one document: of rows that repeat it one stays. Rows without an id stay.
+    An id is one document: of rows that repeat it the one of least hash stands for it, and its text alone decides. Rows without an id stay.
     """
     _small_batches(spark)
-    kept = lsh_forest.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    known, repeats = _one_each(docs)
+    kept = lsh_forest.near_duplicates(known).where("kept").select("doc_id")
+    one = known.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    return (one.dropDuplicates(["doc_id"]) if repeats else one).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +61,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported secret in a text is replaced by a marker, and n_chars follows; all documents stay."""
     _small_batches(spark)
-    named = docs.withColumn("_repo", F.concat_ws("/", "source", "lang"))
-    masked = secret_scan.mask(named, repo_col="_repo", max_owners=secret_scan.MAX_OWNERS, max_repos=secret_scan.MAX_REPOS)
+    # A name that no column has.
+    repo = "_" * (1 + max(map(len, docs.columns)))
+    named = docs.withColumn(repo, F.concat_ws("/", "source", "lang"))
+    masked = secret_scan.mask(named, repo_col=repo, max_owners=secret_scan.MAX_OWNERS, max_repos=secret_scan.MAX_REPOS)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
