@@ -225,3 +225,30 @@ def test_groups_spell_the_digest(spark):
 
 def test_alignment_of_an_empty_table(spark):
     assert token_align.align(spark.createDataFrame([], SCHEMA), A, B).collect() == []
+
+
+def test_pipeline_keeps_one_text_of_an_id(spark):
+    """Of an id's rows one stands for it, whichever order they come in; equal rows stay once, rows without an id stay."""
+    import corpus_pipeline
+
+    r = random.Random(1)
+    base, other, third = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, base), (2, other), (2, base), (3, third), (3, third), (4, base + " x"), (None, base), (None, base)]
+    found = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(2)
+        found.append(sorted(corpus_pipeline.near_dedup(spark, df, "").collect(), key=str))
+    assert found[0] == found[1]
+    ids = [x.doc_id for x in found[0]]
+    texts = {x.doc_id: x.text for x in found[0] if x.doc_id is not None}
+    assert ids.count(None) == 2 and ids.count(1) == 1 and ids.count(3) == 1 and 4 not in ids and texts[1] == base
+    # Where its copy of another's text stands for it, the id goes with that text.
+    assert texts.get(2, other) == other
+
+
+def test_pipeline_masks_beside_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "password = abcdefgh12345678", "en", "s", 1, "own/repo", "m", "s")], "doc_id long, text string, lang string, source string, n_chars long, _repo string, mark string, spans string")
+    (row,) = corpus_pipeline.secrets(spark, df, "").collect()
+    assert row._repo == "own/repo" and row.mark == "m" and row.spans == "s" and "abcdefgh" not in row.text and row.n_chars == len(row.text)
