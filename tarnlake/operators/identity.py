@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.operators import similarity
 from tarnlake.operators.graph import connected_components
 
 
@@ -20,6 +21,17 @@ def name_similarity(a, b):
     return F.pandas_udf(_similar, "double")(a, b)
 
 
+def _near(left: DataFrame, right: DataFrame, block: list[str], threshold: float, same: bool) -> DataFrame:
+    """(a, b, x, y) of the names of a block that may be similar: matching blocks match letters, so names that share too few letters never
+    come to the measure. One and the same row is no pair; an empty name is similar to an empty one alone."""
+    percent = int(threshold * 100)
+    r, order = similarity.prepared(right, "id", block, similarity.letters(F.col("name")), percent, "dice")
+    l_ = r if same else similarity.prepared(left, "id", block, similarity.letters(F.col("name")), percent, "dice", order)[0]
+    found = similarity.candidates(l_, r, block, percent, "dice", same).where("a <> b").select("a", "b")
+    names = lambda df, i, n: df.select(F.col("id").alias(i), F.col("name").alias(n))
+    return found.join(names(left, "a", "x"), "a").join(names(right, "b", "y"), "b").select("a", "b", "x", "y")
+
+
 def candidate_links(people: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(a, b) by two blocks: equal (ssn_last4, dob) with similar last names; and, for rows without an SSN, equal (dob, last name) with similar first names.
 
@@ -31,14 +43,13 @@ def candidate_links(people: DataFrame, threshold: float = 0.75) -> DataFrame:
     # Equal last names (or first names) are similar by definition: each joins the least id of its own.
     one = p.where("ssn_last4 is not null and last_name is not null").withColumn("name", low("last_name")).groupBy("ssn_last4", "dob", "name")
     same1 = one.agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).select("ssn_last4", "dob", "name", "a", F.explode("ids").alias("b"))
-    reps1 = one.agg(F.min("id").alias("id"))
-    l1, r1 = reps1.alias("l"), reps1.alias("r")
-    near1 = l1.join(r1, (F.col("l.ssn_last4") == F.col("r.ssn_last4")) & (F.col("l.dob") == F.col("r.dob")) & (F.col("l.name") < F.col("r.name"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.name").alias("x"), F.col("r.name").alias("y"))
+    reps1 = one.agg(F.min("id").alias("id")).where("dob is not null")
+    near1 = _near(reps1, reps1, ["ssn_last4", "dob"], threshold, same=True)
     # The fallback links a row without an SSN to any row of its block, so one side is always such a row.
     two = p.where("last_name is not null and first_name is not null").withColumn("last", low("last_name")).withColumn("name", low("first_name"))
     bare = two.where("ssn_last4 is null").groupBy("dob", "last", "name").agg(F.min("id").alias("id"))
     same2 = two.where("ssn_last4 is null").alias("l").join(bare.alias("r"), ["dob", "last", "name"]).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    near2 = bare.alias("l").join(two.alias("r"), (F.col("l.dob") == F.col("r.dob")) & (F.col("l.last") == F.col("r.last")) & (F.col("l.id") != F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.name").alias("x"), F.col("r.name").alias("y"))
+    near2 = _near(bare.where("dob is not null"), two.where("dob is not null"), ["dob", "last"], threshold, same=False)
     near = near1.unionByName(near2).where(name_similarity("x", "y") >= threshold).select("a", "b")
     return same1.select("a", "b").unionByName(same2).unionByName(near).where("a <> b").distinct()
 

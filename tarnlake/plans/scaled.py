@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.operators import buckets, deltas, feed, intervals, merge, quantiles, sketches
+from tarnlake.operators import buckets, deltas, feed, intervals, layout, merge, quantiles, similarity, sketches
 from tarnlake.plans.common import VERSIONS, priority_log, table
 from tarnlake.plans.history import _versions
 from tarnlake.session import scratch_path
+from tarnlake.sources import variant
+from tarnlake.streaming import closing, promises
+from tarnlake.streaming import events as streams
 
 QUERIES, ORACLE = {}, {}
 DAY = 86_400
@@ -219,3 +222,125 @@ def a4_a12_sketch_roll_ups(spark, sf_dir):
         row = j.select(F.lit(unit).alias("unit"), *[F.col(c) if c in on else none(c).cast("date" if c == "day" else "string").alias(c) for c in ("day", "event_type")], "n", "users", mid.isNotNull().alias("has_median"), near.alias("users_close"), close.alias("median_close"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length(c_name) + 3), lambda i: substr('  ' || lower(trim(c_name)) || '  ', i, 3)))"
+
+
+@query(f"""with c as (select c_custkey as id, c_mktsegment, {_GRAMS} as g from customer),
+r as (select min(id) as id, c_mktsegment, list_sort(g) as g from c group by c_mktsegment, list_sort(g)),
+p as (select a.id as a, b.id as b, a.c_mktsegment, len(list_intersect(a.g, b.g)) as shared, len(a.g) as size_a, len(b.g) as size_b from r a join r b on a.c_mktsegment = b.c_mktsegment and a.id < b.id)
+select c_mktsegment, a, b, shared::int as shared, size_a::int as size_a, size_b::int as size_b from p where shared * 100 >= (size_a + size_b - shared) * 85""")
+def er1_similar_names(spark, sf_dir):
+    """Customers of one segment whose names share 85 percent of their three-letter stretches: five blocks hold all rows.
+    Names with the same stretches are one class, named by its least customer."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return similarity.similar_pairs(c, "c_custkey", similarity.grams(similarity.clean("c_name")), 85, ["c_mktsegment"])[0]
+
+
+_BOX = "l_shipdate >= timestamp '1999-01-01' and l_shipdate < timestamp '1999-04-01' and l_partkey < (select quantile_disc(l_partkey, 0.1) from lineitem) and l_extendedprice >= 20000"
+
+
+@query(f"select count(*) as n, sum(l_orderkey)::bigint as orders, true as skipped from lineitem where {_BOX}")
+def x1_x4_box(spark, sf_dir):
+    """A box of three columns on a table along their Z-order: its rows, and whether the scan has read a fifth of the table at most."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.to_date("l_shipdate").alias("l_shipdate"), "l_extendedprice")
+    path = scratch_path(spark, "z-order")
+    layout.write(li, path, ["l_shipdate", "l_partkey", "l_extendedprice"], 64)
+    least = quantiles.exact_quantiles(li, [], "l_partkey", [0.1]).first().value
+    t = spark.read.parquet(path)
+    day = lambda d: F.lit(d).cast("date")
+    box = t.where((F.col("l_shipdate") >= day("1999-01-01")) & (F.col("l_shipdate") < day("1999-04-01")) & (F.col("l_partkey") < int(least)) & (F.col("l_extendedprice") >= 20000.0))
+    (row,), read = layout.rows_read(box.agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders")))
+    return spark.createDataFrame([(row.n, row.orders, read <= 0.2 * t.count())], "n long, orders long, skipped boolean")
+
+
+#: Events as texts of several shapes: the published one, a text in place of the number, a nested object, a missing field, no JSON, a list.
+_TEXT = "case event_id % 7 when 0 then props when 1 then '{\"k\": \"many\", \"user\": ' || user_id || '}' when 2 then '{\"k\": \"' || user_id || '\"}' when 3 then '{\"user\": ' || user_id || ', \"sub\": {\"type\": \"' || event_type || '\", \"ids\": [1, ' || event_id || ']}}' when 4 then '{' when 5 then null else '[' || event_id || ']' end"
+
+
+@query("""with e as (select event_id, event_id % 7 as s, user_id, event_type, cast(props::json->>'$.k' as int) as k from events)
+select event_id, case s when 0 then k when 2 then user_id end::int as k, case when s in (1, 3) then user_id end as user, case when s = 3 then event_type end as type, case when s = 3 then event_id when s = 6 then null end as second,
+  case when s = 6 then event_id end as head, s = 1 as k_mistyped, s = 4 as bad,
+  case s when 0 then 'BIGINT' when 1 then 'STRING' when 2 then 'STRING' end as kind from e""")
+def src16_variant(spark, sf_dir):
+    """Typed paths of a VARIANT: missing, of another type, nested and by index; what does not convert is named, what does not parse is marked."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_TEXT).alias("body"))
+    path = scratch_path(spark, "variant")
+    variant.parsed(e, "body", "v").select("event_id", "v", "v_bad").write.parquet(path)
+    v = variant.typed(spark.read.parquet(path), "v", {"k": ("$.k", "int"), "user": ("$.user", "bigint"), "type": ("$.sub.type", "string"), "second": ("$.sub.ids[1]", "bigint"), "head": ("$[0]", "bigint")})
+    return v.select("event_id", "k", "user", "type", "second", "head", F.array_contains("_mistyped", "k").alias("k_mistyped"), F.col("v_bad").alias("bad"), variant.kind_of("v", "$.k").alias("kind"))
+
+
+@query("""with e as (select event_id, event_id % 7 as s, user_id, event_type, cast(props::json->>'$.k' as int) as k from events)
+select event_id, case s when 0 then k when 2 then user_id end::int as k, case when s in (1, 3) then user_id end as user,
+  case when s in (0, 2) then '{}' when s = 1 then '{"k":"many"}' when s = 3 then '{"sub":{"ids":[1,' || event_id || '],"type":"' || event_type || '"}}' when s = 6 then '[' || event_id || ']' end as rest from e""")
+def f21_shredded(spark, sf_dir):
+    """Hot fields as columns, the rest as VARIANT: a field that does not convert stays in the rest."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_TEXT).alias("body"))
+    path = scratch_path(spark, "shredded")
+    variant.shred(variant.parsed(e, "body", "v").select("event_id", "v"), "v", {"k": "int", "user": "bigint"}).write.parquet(path)
+    return spark.read.parquet(path).select("event_id", "k", "user", F.to_json("v_rest").alias("rest"))
+
+
+_TWO = "interval 36 hours"
+
+
+@query(f"""with recursive ev as (select user_id, row_number() over (partition by user_id order by epoch_ms(ts), event_type = 'click', event_id) as i, event_id, event_type = 'purchase' as is_promise, cast(round(value * 100) as bigint) as amount, epoch_ms(ts) as t0 from events where event_type in ('purchase', 'click')),
+steps as (
+  select user_id, 0::bigint as i, []::struct(id bigint, amount bigint, paid bigint, due bigint)[] as queue, []::struct(id bigint, amount bigint, paid bigint, due bigint)[] as closed from (select distinct user_id from ev)
+  union all
+  select user_id, i, list_filter(paid, lambda x: x.paid < x.amount), list_concat(expired, list_filter(paid, lambda x: x.paid >= x.amount)) from (
+    select *, case when is_promise then list_append(alive, {{'id': event_id, 'amount': amount, 'paid': 0::bigint, 'due': (t0 + 129600000)::bigint}})
+      else list_transform(alive, lambda x, k: {{'id': x.id, 'amount': x.amount, 'paid': x.paid + greatest(0, least(x.amount - x.paid, amount - coalesce(list_sum(list_transform(alive[1:k - 1], lambda y: y.amount - y.paid)), 0)))::bigint, 'due': x.due}}) end as paid from (
+      select s.user_id, ev.i, ev.event_id, ev.is_promise, ev.amount, ev.t0, list_filter(s.queue, lambda x: x.due >= ev.t0) as alive, list_filter(s.queue, lambda x: x.due < ev.t0) as expired from steps s join ev on ev.user_id = s.user_id and ev.i = s.i + 1))),
+last as (select user_id, queue from steps qualify row_number() over (partition by user_id order by i desc) = 1),
+done as (select user_id, unnest(closed) as x from steps union all select user_id, unnest(queue) from last)
+select user_id as loan_id, x.id as promise_id, case when x.paid >= x.amount then 'Kept' when x.paid > 0 then 'Partial' else 'Broken' end as status, x.amount as amount, x.paid as paid from done""")
+def st11_promise_queue(spark, sf_dir):
+    """Purchases as promises due in 36 hours, clicks as payments to the oldest open ones: every promise as it closes, from a stream in two runs.
+    Those that are open between the runs stay in state; a row in the far future ends all of them."""
+    src, out, check = (scratch_path(spark, n) for n in ("promises", "closed", "checkpoint"))
+    e = table(spark, sf_dir, "events").where("event_type in ('purchase', 'click')")
+    kind = F.when(F.col("event_type") == "purchase", "promise").otherwise("payment")
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    rows = e.select(F.col("user_id").alias("loan_id"), kind.alias("kind"), F.col("event_id").alias("promise_id"), cents.alias("amount"), F.col("ts").cast("timestamp").alias("event_time"), F.expr(f"cast(ts + {_TWO} as timestamp)").alias("due"))
+    end = rows.agg(F.lit(-1).cast("bigint").alias("loan_id"), F.lit("payment").alias("kind"), F.lit(-1).cast("bigint").alias("promise_id"), F.lit(0).cast("bigint").alias("amount"), (F.max("due") + F.expr("interval 1 day")).alias("event_time"), F.max("due").alias("due"))
+    half = F.col("event_time") < F.lit("2024-01-15").cast("timestamp")
+    before = promises.use_store(spark)
+    try:
+        for part in (rows.where(half), rows.where(~half), end):
+            part.coalesce(1).write.mode("append").parquet(src)
+            closed = promises.promise_queue(streams.file_source(spark, src, rows.schema, "parquet"))
+            streams.start(closed, streams.append_sink(out), check).awaitTermination()
+    finally:
+        spark.conf.unset(promises.STORE[0]) if before is None else spark.conf.set(promises.STORE[0], before)
+    return spark.read.parquet(out).select("loan_id", "promise_id", "status", "amount", "paid")
+
+
+#: Three batches; the third brings the rows that the first two held back.
+_BATCH = "case when event_id % 50 = 7 then 3 when ts < timestamp '2024-01-12' then 1 else 2 end"
+_WINDOWS = f"""b as (select event_id, event_type, ts, {_BATCH} as batch from events),
+m as (select batch, (select max(ts) from b p where p.batch < b.batch) - interval 30 minutes as mark from (select distinct batch from b) b),
+r as (select b.*, time_bucket(interval 2 hours, ts, timestamp '2000-01-01') + interval 6 hours as last_end, mark from b join m using (batch))"""
+
+
+@query(f"""with {_WINDOWS}, t as (select *, coalesce(last_end <= mark, false) as late from r),
+w as (select unnest([time_bucket(interval 2 hours, ts, timestamp '2000-01-01') - to_hours(2 * k) for k in [0, 1, 2]]) as window_start, event_type, event_id, mark from t where not late),
+g as (select window_start, event_type, count(*) as n, sum(event_id)::bigint as ids from w where coalesce(window_start + interval 6 hours > mark, true) group by 1, 2)
+select 'window' as output, window_start, event_type, n, ids from g where window_start + interval 6 hours <= (select max(ts) from events) - interval 30 minutes
+union all select 'late', null, event_type, count(*), sum(event_id)::bigint from t where late group by event_type""")
+def st8_closing_windows(spark, sf_dir):
+    """Windows of six hours every two, each once, when it has ended; rows whose windows have all ended go to a side output.
+    A row of which some windows have ended counts in the others."""
+    src, held, late, marks, out, one, two = (scratch_path(spark, n) for n in ("source", "staged", "late", "marks", "windows", "one", "two"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("event_time"), F.expr(_BATCH).alias("batch"))
+    for k in (1, 2, 3):
+        e.where(F.col("batch") == k).coalesce(1).write.mode("append").parquet(src)
+        parted = closing.part_late(held, late, marks, closing.last_end("event_time", "6 hours", "2 hours"))
+        streams.start(streams.file_source(spark, src, e.schema, "parquet"), parted, one).awaitTermination()
+        w = streams.windowed(closing.staged(spark, held, e.schema), ["event_type"], [F.count("*").alias("n"), F.sum("event_id").alias("ids")], size="6 hours", slide="2 hours")
+        streams.start(w, streams.append_sink(out), two).awaitTermination()
+    windows = spark.read.parquet(out).select(F.lit("window").alias("output"), F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "ids")
+    side = spark.read.parquet(late).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return windows.unionByName(side.select(F.lit("late").alias("output"), F.lit(None).cast("timestamp_ntz").alias("window_start"), "event_type", "n", "ids"))

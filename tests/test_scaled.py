@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.operators import buckets, deltas, feed, intervals, merge, quantiles, sketches, temporal
+from tarnlake.operators import buckets, deltas, feed, identity, intervals, layout, merge, quantiles, similarity, sketches, temporal
 from tarnlake.session import scratch_path
+from tarnlake.sources import variant
+from tarnlake.streaming import closing, promises
+from tarnlake.streaming import events as streams
 
 START = dt.datetime(2025, 1, 1)
 at = lambda minutes: START + dt.timedelta(minutes=minutes)
@@ -278,3 +281,225 @@ def test_sketches_roll_up_within_their_error(spark):
             assert row.n == len(own) and abs(row.distinct_u - len(users)) <= max(1, 2 * sketches.DISTINCT_ERROR * len(users))
             for q, v in ((0.25, row.v_q25), (0.5, row.v_q50)):
                 assert v is None and not values or abs(bisect.bisect_left(values, v) / len(values) - q) <= 2 * sketches.RANK_ERROR
+
+
+def names(n, seed):
+    r = random.Random(seed)
+    parts = ["".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.randrange(2, 4))) for _ in range(120)]
+    out = ["".join(r.choice(parts) for _ in range(r.randrange(2, 5))) for _ in range(n // 2)]
+    while len(out) < n:
+        w = list(r.choice(out))
+        for _ in range(r.randrange(0, 3)):
+            w[r.randrange(len(w))] = r.choice("abcxyz")
+        out.append("".join(w))
+    return out
+
+
+def gram_set(name):
+    p = f"  {name.strip().lower()}  "
+    return {p[i : i + 3] for i in range(len(p) - 2)} if name.strip() else set()
+
+
+def test_ten_thousand_names_of_one_block_cost_their_near_pairs(spark):
+    own = names(10_000, 5)
+    sets = [gram_set(n) for n in own]
+    number = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(own), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[g] for g in s]] = 1
+    size, links = m.sum(1), set()
+    for lo in range(0, len(own), 1000):
+        shared = m[lo : lo + 1000] @ m.T
+        a, b = np.nonzero(shared * 100 >= (size[lo : lo + 1000, None] + size - shared) * 40)
+        links |= {(int(x) + lo, int(y)) for x, y in zip(a, b) if x + lo < y}
+    df = spark.createDataFrame(list(enumerate(own)), "id int, name string")
+    pairs, members = similarity.similar_pairs(df, "id", similarity.grams(similarity.clean("name")), 40)
+    of = {r.id: r["class"] for r in members.collect()}
+    near = {(r.a, r.b) for r in pairs.collect()}
+    assert near == {tuple(sorted((of[a], of[b]))) for a, b in links if of[a] != of[b]} and len(near) > 1000
+    assert all(of[a] == of[b] for a, b in links if sets[a] == sets[b])
+    tokens, _ = similarity.prepared(df, "id", [], similarity.grams(similarity.clean("name")), 40, "jaccard")
+    one = tokens.withColumn("_all", F.lit(0))
+    tried = similarity.candidates(one, one, ["_all"], 40, same=True).count()
+    assert len(links) <= tried < 0.02 * 10_000**2 / 2
+
+
+@pytest.mark.parametrize("percent", [50, 75, 100])
+def test_similar_sets_match_all_pairs(spark, percent):
+    own = [*names(120, 6), "", "  ", None, "aaaa", "aaaaaa", "AAAA "]
+    rows = [(i, n, i % 2 if i % 11 else None) for i, n in enumerate(own)]
+    df = spark.createDataFrame(rows, "id int, name string, block int")
+    bag = lambda n: Counter((n or "").strip().lower())
+    for measure, tokens, cut, fits in (
+        ("jaccard", similarity.grams(similarity.clean("name")), lambda n: Counter(gram_set(n or "")), lambda s, x, y: 100 * s >= percent * (x + y - s)),
+        ("dice", similarity.letters(similarity.clean("name")), bag, lambda s, x, y: 200 * s >= percent * (x + y)),
+    ):
+        pairs, members = similarity.similar_pairs(df, "id", tokens, percent, ["block"], measure)
+        of = {r.id: r["class"] for r in members.collect()}
+        want = set()
+        for i, a, x in rows:
+            for j, b, y in rows:
+                s, p, q = sum((cut(a) & cut(b)).values()), sum(cut(a).values()), sum(cut(b).values())
+                if i < j and x is not None and x == y and p and q and fits(s, p, q) and of[i] != of[j]:
+                    want.add(tuple(sorted((of[i], of[j]))))
+        assert {(r.a, r.b) for r in pairs.collect()} == want
+
+
+def test_links_of_people_are_those_of_all_pairs_of_a_block(spark):
+    import difflib
+
+    r = random.Random(8)
+    last, first = names(60, 9), names(60, 10)
+    people = [(i, r.choice(first), r.choice([*last, "", None]), r.choice(["d1", "d2"]), r.choice(["1", "2", None, None])) for i in range(160)]
+    df = spark.createDataFrame(people, "id long, first_name string, last_name string, dob string, ssn_last4 string")
+    like = lambda a, b: difflib.SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio() >= 0.75
+    got = identity.resolve(df)
+    root = {p[0]: p[0] for p in people}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in people:
+        for b in people:
+            if a[0] >= b[0] or a[3] is None or a[3] != b[3] or a[2] is None or b[2] is None:
+                continue
+            same_ssn = a[4] is not None and a[4] == b[4] and (like(a[2], b[2]) or like(b[2], a[2]))
+            bare = None in (a[4], b[4]) and a[2] == b[2] and (like(a[1], b[1]) or like(b[1], a[1]))
+            if same_ssn or bare:
+                x, y = sorted((find(a[0]), find(b[0])))
+                root[y] = x
+    assert {r.id: r.golden_id for r in got.collect()} == {i: find(i) for i in root}
+
+
+def test_a_box_query_reads_few_rows_of_a_table_along_its_curve(spark):
+    """Outliers, which would spoil even steps, and unlike types; the same box on the table as it came reads all of it."""
+    df = spark.range(40_000).select(F.col("id"), (F.hash("id") % 1000).alias("a"), F.when(F.col("id") == 5, 1e12).otherwise(F.rand(1)).alias("b"), F.date_add(F.lit("2020-01-01"), F.abs(F.hash(F.col("id") + 7)).cast("int") % 365).alias("c"))
+    path, plain_path = scratch_path(spark, "curve"), scratch_path(spark, "as-it-came")
+    layout.write(df, path, ["a", "b", "c"], 64)
+    df.repartition(64).write.parquet(plain_path)
+    box = (F.col("a") > 700) & (F.col("b") < 0.1) & (F.col("c") < F.lit("2020-03-01"))
+    want = df.where(box).agg(F.sum("id")).first()[0]
+    for p, most, least in ((path, 0.15, 0), (plain_path, 1, 0.9)):
+        rows, read = layout.rows_read(spark.read.parquet(p).where(box).agg(F.sum("id")))
+        assert rows[0][0] == want and least * 40_000 <= read <= most * 40_000
+
+
+def test_ranks_and_curve_match_plain_code(spark):
+    values = [None, "b", "a", "zz", "m", "b", ""]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v string, i int")
+    cuts = layout.cut_points(df, ["v", "i"], 2)
+    got = {r.i: (r.x, r.y, r.z) for r in df.select("i", layout.rank("v", cuts["v"]).alias("x"), layout.rank("i", cuts["i"]).alias("y")).withColumn("z", layout.z_order([F.col("x"), F.col("y")], 2)).collect()}
+    for i, v in enumerate(values):
+        x, y = layout.place(cuts["v"], v), layout.place(cuts["i"], i)
+        z = sum((x >> b & 1) << (2 * b + 1) | (y >> b & 1) << (2 * b) for b in range(2))
+        assert got[i] == (x, y, z)
+    assert layout.clustered(df.limit(0), ["v", "i"], 4).count() == 0 and layout.clustered(df, ["v"], 2).count() == len(values)
+
+
+def test_variant_keeps_what_does_not_convert(spark):
+    texts = ['{"k": 5, "s": "a", "n": {"x": [1, 2]}}', '{"k": "text", "z": null}', None, "not json", "[1,2]", "7", '{"k": "12"}', "{}", '{"k": null}', "null", '{"k": 1e3}', ""]
+    df = variant.parsed(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t")
+    got = {r.i: r for r in variant.typed(df, "v", {"k": ("$.k", "int"), "x": ("$.n.x[1]", "int")}).collect()}
+    assert [got[i].k for i in range(12)] == [5, None, None, None, None, None, 12, None, None, None, 1000, None] and got[0].x == 2
+    assert [i for i in got if got[i]._mistyped] == [1] and [i for i in got if got[i].v_bad] == [3, 11]
+    path = scratch_path(spark, "shred")
+    variant.shred(df.drop("t"), "v", {"k": "int", "s": "string"}).write.parquet(path)
+    rest = {r.i: (r.k, r.s, r.rest) for r in spark.read.parquet(path).select("i", "k", "s", F.to_json("v_rest").alias("rest")).collect()}
+    assert rest[0] == (5, "a", '{"n":{"x":[1,2]}}') and rest[1] == (None, None, '{"k":"text","z":null}') and rest[4] == (None, None, "[1,2]") and rest[6] == (12, None, "{}") and rest[2] == rest[3] == (None, None, None)
+
+
+def replayed(rows, held):
+    """Plain replay: {promise: (status, amount, paid)}. ``held``: [loan, id, amount, paid, due] of promises that were open before."""
+    queue, out = {}, {}
+    for loan, *item in held:
+        queue.setdefault(loan, []).append(item)
+    for loan, kind, pid, amount, t, due in sorted(rows, key=lambda r: (r[4], r[1] != "promise", r[2])):
+        own = queue.setdefault(loan, [])
+        for p in [p for p in own if p[3] < t or p[2] >= p[1]]:
+            own.remove(p)
+            out[p[0]] = p
+        if kind == "promise":
+            own.append([pid, amount, 0, due])
+        else:
+            for p in list(own):
+                part = min(amount, p[1] - p[2])
+                p[2] += part
+                amount -= part
+                if p[2] == p[1]:
+                    own.remove(p)
+                    out[p[0]] = p
+    for own in queue.values():
+        out |= {p[0]: p for p in own}
+    return {i: ("Kept" if paid >= amount else "Partial" if paid else "Broken", amount, paid) for i, amount, paid, _ in out.values()}
+
+
+def test_a_queue_of_promises_matches_a_plain_replay(spark):
+    """Several open promises, payments that cover more than one, a start from a batch table, a restart, and dates that run backwards."""
+    r = random.Random(11)
+    rows, pid = [], 0
+    for loan in range(12):
+        for _ in range(40):
+            pid += 1
+            t = r.randrange(60 * 24 * 20)
+            rows.append((loan, "promise", pid, r.choice([0, 500, 1000, 2500]), t, t + r.randrange(60 * 72)) if r.random() < 0.5 else (loan, "payment", pid, r.randrange(0, 4000), t, 0))
+    held = [(loan, 10_000 + k, 3000, k * 500, 60 * (24 + 24 * k)) for loan in (0, 1) for k in (0, 1)]
+    held = [(loan, i + loan * 10, a, p, due) for loan, i, a, p, due in held]
+    shape = "loan_id long, kind string, promise_id long, amount long, event_time timestamp, due timestamp"
+    make = lambda part: spark.createDataFrame([(a, k, i, x, at(t), at(d)) for a, k, i, x, t, d in part], shape)
+    start = spark.createDataFrame([(a, i, x, p, at(d)) for a, i, x, p, d in held], "loan_id long, promise_id long, amount long, paid long, due timestamp")
+    src, out, check = (scratch_path(spark, n) for n in ("in", "out", "check"))
+    before = promises.use_store(spark)
+    try:
+        cut = 60 * 24 * 9
+        late = (0, "payment", 99_999, 77, cut + 60 * 24 * 11 + 5, 0)
+        end = [(-1, "payment", 0, 0, 60 * 24 * 90, 0)]
+        last = max(t for a, *_, t, _ in rows if a == 0)
+        backwards = (0, "payment", 88_888, 55, last - 1, 0)
+        for part in ([x for x in rows if x[4] < cut], [x for x in rows if x[4] >= cut], [backwards], end):
+            make(part).coalesce(1).write.mode("append").parquet(src)
+            df = promises.promise_queue(streams.file_source(spark, src, make([late]).schema, "parquet"), "10 days", start)
+            q = streams.start(df, streams.append_sink(out), check)
+            q.awaitTermination()
+        assert closing.state_rows(q) <= 13 * 3
+    finally:
+        spark.conf.unset(promises.STORE[0]) if before is None else spark.conf.set(promises.STORE[0], before)
+    got = {}
+    for x in spark.read.parquet(out).collect():
+        assert x.promise_id not in got
+        got[x.promise_id] = (x.status, x.amount, x.paid)
+    assert got.pop(88_888) == ("Refused", 55, 0)
+    want = replayed(rows, [list(x) for x in held])
+    assert got == want and {s for s, *_ in got.values()} == {"Kept", "Partial", "Broken"}
+
+
+def test_state_of_closed_windows_ends_and_no_row_is_lost(spark):
+    """Twenty batches of a day each: state stays at the windows that are open, late rows are in the side output, each row is somewhere once."""
+    r = random.Random(5)
+    days = [[(k * 100 + i, "ab"[i % 2], at(60 * 24 * k + r.randrange(60 * 24))) for i in range(30)] + ([(k * 100 + 90, "a", at(60 * 24 * (k - 3)))] if k > 4 else []) for k in range(12)]
+    src, held, late, marks, out, one, two = (scratch_path(spark, n) for n in ("s", "held", "late", "marks", "out", "one", "two"))
+    shape, most = "id int, k string, event_time timestamp", 0
+    for day in days:
+        spark.createDataFrame(day, shape).coalesce(1).write.mode("append").parquet(src)
+        parted = closing.part_late(held, late, marks, closing.last_end("event_time", "3 hours"))
+        first = streams.start(streams.file_source(spark, src, spark.createDataFrame([], shape).schema, "parquet"), parted, one)
+        first.awaitTermination()
+        w = streams.windowed(closing.staged(spark, held, spark.createDataFrame([], shape).schema), ["k"], [F.count("*").alias("n"), F.collect_list("id").alias("ids")], size="3 hours")
+        q = streams.start(w, streams.append_sink(out), two)
+        q.awaitTermination()
+        assert closing.dropped_rows(q) == 0
+        most = max(most, closing.state_rows(q))
+    # The windows of one day; without an end there would be over 150 rows.
+    assert most <= 16
+    rows = [x for day in days for x in day]
+    top = max(t for *_, t in rows) - dt.timedelta(minutes=30)
+    side = sorted(x.id for x in spark.read.parquet(late).collect())
+    assert side == [k * 100 + 90 for k in range(5, 12)]
+    got = [i for x in spark.read.parquet(out).collect() for i in x.ids]
+    end = lambda t: START + ((t - START) // dt.timedelta(hours=3) + 1) * dt.timedelta(hours=3)
+    assert sorted(got) == sorted(i for i, _, t in rows if i not in side and end(t) <= top)
+    # A batch that is run again replaces what it wrote.
+    batch = spark.createDataFrame(days[-1], shape)
+    parted(batch, 11)
+    assert sorted(x.id for x in spark.read.parquet(late).collect()) == side and spark.read.parquet(held).count() + len(side) == len(rows)
