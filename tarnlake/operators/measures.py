@@ -29,11 +29,11 @@ class Model:
         self.ratios[name] = (over, under)
 
     def wide(self, fact: str) -> DataFrame:
-        """A fact with the columns of its dimensions."""
+        """A fact with the columns of all that it reaches over many-to-one links: dimensions, theirs, and another fact."""
         df = self.tables[fact]
         for (f, column), (dim, key) in self.links.items():
             if f == fact:
-                d = self.tables[dim]
+                d = self.wide(dim)
                 keep = [c for c in d.columns if c == key or c not in df.columns]
                 d = d.select(*[F.col(c).alias(f"_k_{dim}") if c == key else F.col(c) for c in keep])
                 df = df.join(d, F.col(column) == F.col(f"_k_{dim}"), "left")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESULTS = "run_id string, table_name string, check_name string, severity string, status string, failed_count long, total_count long, detail string, checked_at timestamp"
@@ -164,16 +164,62 @@ def latest_run(results: DataFrame) -> DataFrame:
     return results.where(F.col("run_id") == run)
 
 
-def dashboard(results: DataFrame) -> str:
-    """The latest run as an HTML table, failures first."""
+def dashboard_rows(results: DataFrame) -> DataFrame:
+    """The latest run with each check's ``place`` on the dashboard: failures first, then what was skipped. A run has one row for each check."""
     order = F.when(F.col("status") == "FAILED", 0).when(F.col("status") == "SKIPPED", 1).otherwise(2)
-    rows = latest_run(results).orderBy(order, "severity", "table_name", "check_name").collect()
+    return latest_run(results).withColumn("place", F.row_number().over(Window.orderBy(order, "severity", "table_name", "check_name")))
+
+
+def dashboard(results: DataFrame) -> str:
+    """The latest run as an HTML table."""
+    rows = dashboard_rows(results).orderBy("place").collect()
     cells = "".join("<tr class='%s'>%s</tr>" % (r.status.lower(), "".join(f"<td>{html.escape(str(r[c]))}</td>" for c in ("table_name", "check_name", "severity", "status", "failed_count", "total_count", "detail"))) for r in rows)
     return f"<!doctype html><title>Data quality</title><table><tr><th>table<th>check<th>severity<th>status<th>failed<th>total<th>detail</tr>{cells}</table>"
 
 
-def health(tables: dict[str, DataFrame], scd2: dict[str, str], keys: list[tuple[str, str, str, str]], spark: SparkSession) -> DataFrame:
-    """Row counts, keys with several open versions and orphan keys: (item, value, healthy)."""
+def load_schema_tests(text: str) -> list[Check]:
+    """Checks from a model file in YAML: models with columns whose tests are not_null, unique, accepted_values and relationships.
+
+    A test is a name, or a name with its arguments; ``severity: warn`` makes it a WARN. A model's own tests may name several columns that are unique together.
+    """
+    import yaml
+
+    out = []
+    for model in (yaml.safe_load(text) or {}).get("models", []):
+        columns = [*model.get("columns", []), *([{"name": None, "tests": model["tests"]}] if "tests" in model else [])]
+        for c in columns:
+            for test in c.get("tests", []):
+                kind, args = (test, {}) if isinstance(test, str) else next(iter(test.items()))
+                name, table, column = f"{kind}_{c['name'] or '_'.join(args.get('columns', []))}", model["name"], c["name"]
+                severity = "WARN" if args.get("severity", "error") == "warn" else "FAIL"
+                if kind == "not_null":
+                    out.append(Check(table, name, "completeness", column, severity=severity))
+                elif kind == "unique":
+                    out.append(Check(table, name, "uniqueness", columns=[column], condition=f"`{column}` is not null", severity=severity))
+                elif kind == "unique_combination":
+                    out.append(Check(table, name, "uniqueness", columns=args["columns"], severity=severity))
+                elif kind == "accepted_values":
+                    out.append(Check(table, name, "accepted", column, values=args["values"], severity=severity))
+                elif kind == "relationships":
+                    out.append(Check(table, name, "relationship", column, parent=args["to"], parent_column=args["field"], severity=severity))
+                else:
+                    raise ValueError(f"{table}: unknown test {kind}")
+    return out
+
+
+def achieved_rates(df: DataFrame, rates: dict[str, tuple[Column, float, float]]) -> DataFrame:
+    """(name, achieved, wanted, tolerance, ok): the share of rows that each condition holds for, against what was wanted; one pass.
+
+    An empty table achieves nothing: null and not ok.
+    """
+    row = df.agg(*[F.avg(F.coalesce(c.cast("double"), F.lit(0.0))).alias(f"r{i}") for i, (c, _, _) in enumerate(rates.values())])
+    each = [F.struct(F.lit(n).alias("name"), F.col(f"r{i}").alias("achieved"), F.lit(float(w)).alias("wanted"), F.lit(float(t)).alias("tolerance")) for i, (n, (_, w, t)) in enumerate(rates.items())]
+    ok = F.coalesce(F.abs(F.col("achieved") - F.col("wanted")) <= F.col("tolerance"), F.lit(False))
+    return row.select(F.explode(F.array(*each)).alias("x")).select("x.*").withColumn("ok", ok)
+
+
+def health(tables: dict[str, DataFrame], scd2: dict[str, str], keys: list[tuple[str, str, str, str]], spark: SparkSession, results: DataFrame | None = None) -> DataFrame:
+    """Row counts, keys with several open versions, orphan keys, and the failed checks of the last run of ``results``: (item, value, healthy)."""
     out = [(f"rows:{n}", df.count(), True) for n, df in tables.items()]
     out = [(i, v, v > 0) for i, v, _ in out]
     for n, key in scd2.items():
@@ -182,6 +228,9 @@ def health(tables: dict[str, DataFrame], scd2: dict[str, str], keys: list[tuple[
     for child, column, parent, parent_column in keys:
         v = orphans(tables[child], column, tables[parent], parent_column).count()
         out.append((f"orphans:{child}.{column}", v, v == 0))
+    if results is not None:
+        v = latest_run(results).where("status = 'FAILED' and severity = 'FAIL'").count()
+        out.append(("last_run:failed", v, v == 0))
     return spark.createDataFrame(out, "item string, value long, healthy boolean")
 
 

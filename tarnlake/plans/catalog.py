@@ -10,9 +10,9 @@ FLAGSHIP = "k1_portfolio_at_risk"
 
 
 def _modules():
-    from tarnlake.plans import basics, governance, history, kpis, landed, reports, scaled
+    from tarnlake.plans import basics, governance, history, kpis, landed, portfolio, reports, scaled
 
-    return [kpis, history, governance, basics, landed, reports, scaled]
+    return [kpis, history, governance, basics, landed, reports, scaled, portfolio]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

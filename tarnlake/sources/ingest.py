@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.sources.contracts import Contract, classify
@@ -55,19 +56,23 @@ def ingest(spark: SparkSession, contract: Contract, date: str, bronze: str, quar
     if corrupt is not None:
         suspect = suspect | F.coalesce(corrupt, F.lit(False))
     audited = rows.select("*", F.lit(batch).alias("_batch_id"), F.current_timestamp().alias("_ingestion_ts"), F.lit(contract.path.format(date=date)).alias("_source_file"), F.lit(date).alias("_ingestion_date"), suspect.alias("_is_quarantined"), F.lit(drift.kind).alias("_schema_drift_classification"))
+    # Both sides and their counts come from one reading of the landed files.
+    audited = audited.persist()
     counts = []
-    for target, keep in ((bronze, ~F.col("_is_quarantined")), (quarantine, F.col("_is_quarantined"))):
-        path = f"{target}/{contract.table}"
-        w = audited.where(keep).drop("_bad_columns" if target == bronze else "_none").write
-        if contract.strategy == "full_snapshot_overwrite":
-            w.mode("overwrite").parquet(path)
-            counts.append(spark.read.parquet(path).count())
-        else:
-            # The date's partition goes first: a replay may have no row for this side.
-            own = f"{path}/_ingestion_date={date}"
-            _drop(spark, own)
-            w.mode("append").partitionBy("_ingestion_date").parquet(path)
-            counts.append(spark.read.parquet(own).count() if _exists(spark, own) else 0)
+    try:
+        for target, keep in ((bronze, ~F.col("_is_quarantined")), (quarantine, F.col("_is_quarantined"))):
+            path, seen, whole = f"{target}/{contract.table}", Observation(), contract.strategy == "full_snapshot_overwrite"
+            rows = audited.where(keep).drop("_bad_columns" if target == bronze else "_none").observe(seen, F.count(F.lit(1)).alias("n"))
+            # The date's partition, or the whole table, is written aside and then takes the old one's place; a replay may have no row for this side.
+            new = f"{path}/.new-{uuid.uuid4().hex}" if not whole else f"{target}/.new-{uuid.uuid4().hex}"
+            (rows.write if whole else rows.write.partitionBy("_ingestion_date")).parquet(new)
+            own = path if whole else f"{path}/_ingestion_date={date}"
+            recover(spark, own)
+            replace(spark, new if whole else f"{new}/_ingestion_date={date}", own)
+            _drop(spark, new)
+            counts.append(seen.get["n"])
+    finally:
+        audited.unpersist()
     n, q = counts
     detail = f"added={','.join(drift.added)} missing={','.join(drift.missing)} renamed={','.join(drift.renamed)}"
     return _log(spark, log, contract.table, batch, start, "BREAKING_DRIFT" if drift.kind == "breaking" else "SUCCESS", detail, n, q)
@@ -88,6 +93,47 @@ def _drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def _aside(path: str) -> str:
+    parent, name = path.rsplit("/", 1)
+    return f"{parent}/.aside-{name}"
+
+
+def replace(spark: SparkSession, new: str, final: str) -> None:
+    """Put a written folder in the place of another, by renames alone; where nothing was written the old one goes.
+
+    The old folder waits aside until the new one is in place, so a crash loses neither: ``recover`` puts it back.
+    """
+    if _exists(spark, final):
+        _rename(spark, final, _aside(final))
+    if _exists(spark, new):
+        _rename(spark, new, final)
+    _drop(spark, _aside(final))
+
+
+def recover(spark: SparkSession, final: str) -> bool:
+    """End what a crash in ``replace`` left: the old folder comes back if the new one never came. Whether there was anything to end."""
+    aside = _aside(final)
+    if not _exists(spark, aside):
+        return False
+    if _exists(spark, final):
+        _drop(spark, aside)
+    else:
+        _rename(spark, aside, final)
+    return True
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = _path(spark, old)
+    fs.mkdirs(_path(spark, new.rsplit("/", 1)[0])[1])
+    if not fs.rename(p, _path(spark, new)[1]):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
+def ingest_day(spark: SparkSession, contracts: dict[str, Contract], date: str, bronze: str, quarantine: str, log: str) -> list[dict]:
+    """Land one date of every table of a registry; a table whose files are absent is logged and does not stop the others."""
+    return [ingest(spark, c, date, bronze, quarantine, log) for _, c in sorted(contracts.items())]
+
+
 def drift_report(spark: SparkSession, contract: Contract, paths: list[str]) -> DataFrame:
     """(path, kind, added, missing, renamed) of CSV files against a contract, from their headers alone."""
     rows = []
