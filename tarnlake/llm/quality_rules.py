@@ -2,13 +2,14 @@
 
 Each rule is a share in thousandths (symbols by word characters, capitals by word characters,
 repeated words by words, repeated lines by lines) and rejects a document above a cutoff. Cutoffs are
-chosen on labelled documents, none of which had a part in shaping a rule. A stratum's setting is a cutoff of a fixed grid,
-or off, for each rule; for a setting, the number of good documents (quality 1) that any of its rules would reject is
-tested by the exact binomial tail against the allowed rate ``ALPHA``, and it is valid if that tail is at most ``DELTA``
-divided by the number of all settings of all strata (Bonferroni), whichever of them are looked at. The search begins at
-each rule's lowest cutoff that is valid with the others off, and raises all rules together, a grid step at a time, until
-the setting is valid; rules raised beyond the grid, or without a valid cutoff of their own, are off. With probability
-1 - DELTA the rules in use, taken together, reject no more than ALPHA of any stratum's good documents.
+chosen on labelled documents, none of which had a part in shaping a rule. The settings of a stratum are a sequence that is fixed
+beforehand: all rules are off at first, and each step lowers one rule, in turn, to the next cutoff of its ladder. For a setting, the
+number of good documents (quality 1) that any of its rules would reject is tested by the exact binomial tail against the allowed rate
+``ALPHA``. Settings are tested in their order, each at ``DELTA`` divided by the number of strata, up to the first that fails; the last that
+passed holds. A sequence that stops at its first failure needs no share for its other tests, so a wrong setting passes in a stratum with a probability of
+at most DELTA / strata, and in any with at most DELTA (Bonferroni over strata): with probability 1 - DELTA the rules in use,
+taken together, reject no more than ALPHA of any stratum's good documents. A stratum with fewer than
+``log(DELTA / strata) / log(1 - ALPHA)`` good labels cannot pass any test; the output says so.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 from tarnlake.llm import text as T
 from tarnlake.session import materialize
 
-ALPHA, DELTA = 0.02, 0.05
+ALPHA, DELTA = 0.03, 0.05
 STRATA = ("en", "de", "fr", "es")
 OTHER = "other"
-GRID = (10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900)
 #: Rule: (what counts, what it is a share of).
 RULES = {"symbols": ("n_symbols", "word_chars"), "capitals": ("n_capitals", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "lines": ("n_dup_lines", "n_lines")}
+#: Each rule's cutoffs in thousandths, from the loosest on; as many for each.
+LADDERS = {"symbols": (300, 200, 150, 100, 75, 50, 30, 20), "capitals": (900, 800, 700, 600, 500, 400, 300, 250), "repeats": (450, 400, 350, 300, 250, 200, 150, 100), "lines": (700, 600, 500, 400, 300, 250, 200, 150)}
+STEPS = sum(map(len, LADDERS.values()))
 _BLANK = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -95,58 +98,55 @@ def _above(rule: str, cutoff: Column) -> Column:
     return F.col(what) * 1000 > cutoff * F.col(of)
 
 
-def _level(rule: str) -> Column:
-    """How many cutoffs of the grid a document is above."""
-    return reduce(lambda a, b: a + b, [_above(rule, F.lit(c)).cast("int") for c in GRID])
+def _step(rule: str) -> Column:
+    """The first setting at which the rule rejects a document: 1 is the loosest, beyond ``STEPS`` none."""
+    place, cuts = list(RULES).index(rule), LADDERS[rule]
+    passed = reduce(lambda a, b: a + b, [(~_above(rule, F.lit(c))).cast("int") for c in cuts])
+    return F.when(passed < len(cuts), passed * len(RULES) + place + 1).otherwise(STEPS + 1)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum that has a valid setting: stratum, and a column for each rule (null where it is off).
+def _cut(rule: str, setting: Column) -> Column:
+    """The rule's cutoff in a setting; null where it is off."""
+    place = list(RULES).index(rule)
+    return F.when(setting > place, F.get(F.array(*[F.lit(c) for c in LADDERS[rule]]), F.floor((setting - place - 1) / len(RULES)).cast("int")))
+
+
+def settings(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row for each stratum that has good labels: stratum, good_labels, setting (0: all rules off), and the cutoff of each rule.
 
     ``measured`` has doc_id, stratum and the measures. A document is good if its labels say quality 1 and none says 0. An id
     is one trial in its stratum, however many rows repeat it: rejected where any of them is.
     """
     good = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("q")).where("q = 1")
     held = measured.join(good, F.col("doc_id") == F.col("label_id"))
-    trials = held.groupBy("stratum", "doc_id").agg(*[F.max(_level(r)).alias(r) for r in RULES])
-    off, settings = len(GRID), (len(GRID) + 1) ** len(RULES) * (len(STRATA) + 1)
-
-    def valid(counts: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, name, step) of the counted tests that pass; each is a struct in ``tests``."""
-        each = counts.select(*keys, "n", F.explode("tests").alias("x")).select(*keys, "n", "x.*")
-        return each.where(binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / settings)
-
-    test = lambda name, step, k: F.struct(F.lit(name).alias("name"), F.lit(step).alias("step"), F.count_if(k).alias("k"))
-    # Each rule alone; every stratum is a row.
-    alone = trials.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[test(r, i, F.col(r) > i) for r in RULES for i in range(off)]).alias("tests"))
-    lowest = valid(alone, ["stratum"]).groupBy("stratum").agg(*[F.coalesce(F.min(F.when(F.col("name") == r, F.col("step"))), F.lit(off)).alias(f"at_{r}") for r in RULES])
-    first = materialize(lowest.withColumnRenamed("stratum", "of"), "cutoffs")
-    # By how many steps a document is above the rules' first cutoffs: it goes where they are raised by fewer.
-    joined = trials.join(F.broadcast(first), F.col("stratum") == F.col("of"))
-    above = joined.withColumn("steps", F.greatest(*[F.col(r) - F.col(f"at_{r}") for r in RULES]))
-    at = ["stratum", *[f"at_{r}" for r in RULES]]
-    raised = above.groupBy(*at).agg(F.count("*").alias("n"), F.array(*[test("all", t, F.col("steps") > t) for t in range(off)]).alias("tests"))
-    by = valid(raised, at).groupBy(*at).agg(F.min("step").alias("by"))
-    grid = F.array(*[F.lit(c) for c in GRID])
-    return by.select("stratum", *[F.get(grid, F.col(f"at_{r}") + F.col("by")).alias(f"cut_{r}") for r in RULES])
+    trials = held.groupBy("stratum", "doc_id").agg(F.min(F.least(*[_step(r) for r in RULES])).alias("step"))
+    tests = F.array(*[F.struct(F.lit(i).alias("setting"), F.count_if(F.col("step") <= i).alias("k")) for i in range(1, STEPS + 1)])
+    counted = trials.groupBy("stratum").agg(F.count("*").alias("n"), tests.alias("tests"))
+    each = materialize(counted.select("stratum", "n", F.explode("tests").alias("x")).select("stratum", "n", "x.*"), "settings")
+    # A later setting rejects all that an earlier one does: up to the last that passes, all pass.
+    ok = binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / (len(STRATA) + 1)
+    chosen = each.groupBy("stratum").agg(F.first("n").alias("good_labels"), F.coalesce(F.max(F.when(ok, F.col("setting"))), F.lit(0)).alias("setting"))
+    return chosen.select("stratum", "good_labels", "setting", *[_cut(r, F.col("setting")).alias(f"cut_{r}") for r in RULES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by, kept.
+    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by, kept, stratum, setting, state.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A null or empty text has no words, lines or characters and fails the base
-    rule of 50 words. Strata are the languages named in STRATA, all others and null together. Rows
+    rule of 50 words. Strata are the languages named in STRATA, all others and null together. ``state`` is ``on`` where a setting
+    holds, ``few`` where the stratum has too few good labels for any, and ``off`` where even the loosest fails. Rows
     without an id are judged but never labelled; repeated rows repeat; labels of absent documents, null labels and other columns
     are ignored; an id with labels that differ counts as not good, and one that repeats is one trial. Without labels every rule is off. Empty tables give no rows.
     """
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), _stratum(docs[lang_col]).alias("stratum"))
     m = materialize(measures(d), "measures")
-    cuts = cutoffs(m, labels, alpha, delta)
     # At most one row for each stratum.
-    joined = m.join(F.broadcast(cuts), "stratum", "left")
-    rejected = F.array_compact(F.array(*[F.when(_above(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES]))
+    joined = m.join(F.broadcast(settings(m, labels, alpha, delta)), "stratum", "left").withColumn("setting", F.coalesce("setting", F.lit(0)))
+    rejected = F.array_compact(F.array(*[F.when(_step(r) <= F.col("setting"), F.lit(r)) for r in RULES]))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.array_join(rejected, ",").alias("rejected_by"), (~failed & (F.size(rejected) == 0)).alias("kept"))
+    few = F.coalesce(F.pow(F.lit(1 - alpha), F.col("good_labels")) > delta / (len(STRATA) + 1), F.lit(True))
+    state = F.when(F.col("setting") > 0, "on").when(few, "few").otherwise("off")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.array_join(rejected, ",").alias("rejected_by"), (~failed & (F.size(rejected) == 0)).alias("kept"), "stratum", "setting", state.alias("state"))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -155,13 +155,10 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rules, off = list(RULES), len(GRID)
-    settings = (off + 1) ** len(rules) * (len(STRATA) + 1)
-    level = lambda r: f"max(len(list_filter({list(GRID)}, lambda c: {RULES[r][0]} * 1000 > c * {RULES[r][1]}))) as {r}"
-    steps = f"(select unnest(generate_series(0, {off - 1})) as i)"
+    rules, each = list(RULES), DELTA / (len(STRATA) + 1)
+    # The first step at which a rule is broken: its ladder's cutoffs that are kept, in turns of all rules.
+    step = lambda i, r: f"case when {RULES[r][0]} * 1000 > {LADDERS[r][-1]} * {RULES[r][1]} then len(list_filter({list(LADDERS[r])}, lambda c: {RULES[r][0]} * 1000 <= c * {RULES[r][1]})) * {len(rules)} + {i + 1} else {STEPS + 1} end"
     tail = f"case when k > n * {ALPHA} then 1.0 else list_sum(list_transform(generate_series(0, k), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) end"
-    counts = " union all ".join(f"select stratum, '{r}' as rule, i, count(*) as n, count(*) filter ({r} > i) as k from x, {steps} group by all" for r in rules)
-    above = lambda r: f"{RULES[r][0]} * 1000 > list_extract({list(GRID)}, at_{r} + t + 1) * {RULES[r][1]}"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t, case when lang in {STRATA} then lang else '{OTHER}' end as stratum,
   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
@@ -174,16 +171,16 @@ m as (select doc_id, stratum, len(w)::bigint as n_words, length(array_to_string(
   len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
   from d left join r using (doc_id)),
 good as (select doc_id from labels group by 1 having min(quality) = 1),
-x as (select stratum, doc_id, {", ".join(map(level, rules))} from m join good using (doc_id) group by 1, 2),
-k as ({counts}),
-a as (select stratum, rule, min(i) filter ({tail} <= {DELTA / settings!r}) as i from k group by 1, 2),
-first as (select stratum, {", ".join(f"coalesce(min(i) filter (rule = '{r}'), {off}) as at_{r}" for r in rules)} from a group by 1),
-u as (select stratum, i as t, count(*) as n, count(*) filter ({" or ".join(f"{r} > at_{r} + i" for r in rules)}) as k from x join first using (stratum), {steps} group by all),
-cuts as (select * from first join (select stratum, min(t) as t from u where {tail} <= {DELTA / settings!r} group by 1) using (stratum)),
-bad as (select doc_id, array_to_string(list_filter([{", ".join(f"case when {above(r)} then '{r}' end" for r in rules)}], lambda c: c is not null), ',') as by_ from m left join cuts using (stratum)),
-f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
-select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, by_ as rejected_by, not base_failed and by_ = '' as kept
-from f join bad using (doc_id)
+s as (select *, {", ".join(f"{step(i, r)} as s_{r}" for i, r in enumerate(rules))} from m),
+x as (select stratum, doc_id, min(least({", ".join(f"s_{r}" for r in rules)})) as step from s join good using (doc_id) group by 1, 2),
+k as (select stratum, i as setting, count(*) as n, count(*) filter (step <= i) as k from x, (select unnest(generate_series(1, {STEPS})) as i) group by all),
+cuts as (select stratum, n, coalesce(max(setting) filter ({tail} <= {each!r}), 0) as setting from k group by 1, 2),
+j as (select s.*, coalesce(setting, 0) as setting, n from s left join cuts using (stratum)),
+bad as (select *, array_to_string(list_filter([{", ".join(f"case when s_{r} <= setting then '{r}' end" for r in rules)}], lambda c: c is not null), ',') as by_ from j),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from bad)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, by_ as rejected_by, not base_failed and by_ = '' as kept, stratum, setting::int as setting,
+  case when setting > 0 then 'on' when n is null or pow({1 - ALPHA!r}, n) > {each!r} then 'few' else 'off' end as state
+from f
 """
 
 

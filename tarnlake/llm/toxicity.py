@@ -38,8 +38,9 @@ _CLASS = np.full(256, 27, np.int64)
 _CLASS[_APART] = 0
 _CLASS[97:123] = np.arange(1, 27)
 _EDGE = "0-9@$€£"
-#: A run of letters and signs with a sign between or beside letters; marks that also end sentences count only inside.
-_LEET_PLACE = re.compile(rf"(?<![{_LETTER}0-9@$])(?=[{_LETTER}{_SIGNS}]*[{_LETTER}])[{_LETTER}{_EDGE}](?:[{_LETTER}{_SIGNS}]{{1,22}}[{_LETTER}{_EDGE}])(?![{_LETTER}0-9@$])", re.I)
+#: A run of letters and signs. Marks that also end sentences belong to a disguised word only inside; such a word has three places or more, of any number.
+_RUN = re.compile(rf"[{_LETTER}{_SIGNS}]+", re.I)
+_ENDING = "".join(c for c in LEET if c not in "0123456789@$€£")
 _PLAIN = re.compile(rf"[{_LETTER}]+|[^{_LETTER}]+", re.I)
 _SPACED = re.compile(rf"(?<![{_LETTER}0-9])[{_LETTER}{_SIGNS}](?:([ ._*~-])[{_LETTER}{_SIGNS}](?:\1[{_LETTER}{_SIGNS}]){{2,}})(?![{_LETTER}0-9])", re.I)
 _REPEAT = re.compile(rf"[{_LETTER}]*([{_LETTER}])\1\1[{_LETTER}]*", re.I)
@@ -100,12 +101,20 @@ class CharModel:
             parts.append(letters)
         return "".join(reversed(parts))
 
+    def _run(self, m: re.Match) -> str:
+        run = m[0]
+        word = run.strip(_ENDING)
+        if len(word) < 3 or _PLAIN.fullmatch(word):
+            return run
+        at = run.index(word)
+        return run[:at] + self.decode(word.lower()) + run[at + len(word) :]
+
     def restore(self, text: str) -> str:
         """The text with every suspicious place decoded; a text without one is returned as it is."""
         if not _HINT.search(text):
             return text
         text = _SPACED.sub(lambda m: self.decode(m[0][::2].lower(), True), text)
-        text = _LEET_PLACE.sub(lambda m: m[0] if _PLAIN.fullmatch(m[0]) else self.decode(m[0].lower()), text)
+        text = _RUN.sub(self._run, text)
         return _REPEAT.sub(lambda m: self.decode(m[0].lower()), text)
 
 

@@ -351,6 +351,9 @@ def test_spaced_phrases_get_their_word_breaks_back():
     phrase = "you are an idiot and a dumb ass so go away " * 40
     assert model.restore(" ".join(phrase.replace(" ", ""))) == phrase.strip()
     assert model.restore("y-o-u-1-d-1-o-t") == "you idiot"
+    # Disguised words of any length.
+    assert model.restore("so y0u1d10ty0u1d10ty0u1d10ty0u1d10t!!") == "so " + "youidiot" * 4 + "!!"
+    assert model.restore("1" * 70 + "b") != "" and model.restore("!!||++") == "!!||++" and model.restore("€!" * 30_000) == "€!" * 30_000
     assert model.restore("a$$") in ("as", "ass") and model.restore("so, los7") == "so, lost"
 
 
@@ -557,23 +560,23 @@ def test_cutoffs_bound_false_rejection(spark):
     assert all(r.kept for r in off)
 
 
-def _settings(trials, alpha, delta):
-    """Plain version of the search for a stratum's setting: {rule: cutoff or None}, from rows of shares by rule."""
-    from math import comb
+def _ladder_step(share, rule):
+    """The first setting at which a share of a rule is too much."""
+    place, cuts = list(quality_rules.RULES).index(rule), quality_rules.LADDERS[rule]
+    i = next((i for i, c in enumerate(cuts) if share > c), None)
+    return quality_rules.STEPS + 1 if i is None else i * len(quality_rules.RULES) + place + 1
 
-    rules, grid = list(quality_rules.RULES), quality_rules.GRID
-    n, m = len(trials), (len(grid) + 1) ** len(rules) * (len(quality_rules.STRATA) + 1)
 
-    def valid(k):
-        return k <= n * alpha and sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) <= delta / m
+def _setting(steps, alpha, delta):
+    """Plain version of the sequence of tests: the last setting before the first that fails."""
+    from math import comb
 
-    count = lambda cut: sum(any(c is not None and row[r] > c for r, c in cut.items()) for row in trials)
-    at = {r: next((i for i, c in enumerate(grid) if valid(count({r: c}))), len(grid)) for r in rules}
-    for by in range(len(grid)):
-        cut = {r: grid[i + by] if i + by < len(grid) else None for r, i in at.items()}
-        if valid(count(cut)):
-            return cut
-    return dict.fromkeys(rules)
+    n, each = len(steps), delta / (len(quality_rules.STRATA) + 1)
+    for s in range(1, quality_rules.STEPS + 1):
+        k = sum(x <= s for x in steps)
+        if k > n * alpha or sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) > each:
+            return s - 1
+    return quality_rules.STEPS
 
 
 def test_settings_bound_the_rules_together(spark):
@@ -593,16 +596,48 @@ def test_settings_bound_the_rules_together(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("stratum", quality_rules._stratum(F.col("lang")))
     labels = spark.createDataFrame([(i, 1) for i in range(2500)] + [(3, 0), (None, 1), (9999, 1)], "doc_id long, quality int")
     measured = quality_rules.measures(docs).cache()
+    trials = {}
+    for x in measured.where("doc_id <> 3").collect():
+        step = min(_ladder_step(1000 * x[a] / max(x[b], 1), q) for q, (a, b) in quality_rules.RULES.items())
+        own = trials.setdefault(x.stratum, {})
+        own[x.doc_id] = min(own.get(x.doc_id, step), step)
     for alpha in (0.02, 0.03, 0.05):
-        got = {x.stratum: {q: x[f"cut_{q}"] for q in quality_rules.RULES} for x in quality_rules.cutoffs(measured, labels, alpha).collect()}
-        trials = {}
-        for x in measured.where("doc_id <> 3").collect():
-            share = {q: 1000 * x[a] / max(x[b], 1) for q, (a, b) in quality_rules.RULES.items()}
-            old = trials.setdefault(x.stratum, {}).setdefault(x.doc_id, share)
-            trials[x.stratum][x.doc_id] = {q: max(old[q], share[q]) for q in share}
-        want = {s: _settings(list(t.values()), alpha, quality_rules.DELTA) for s, t in trials.items()}
-        assert got == {s: c for s, c in want.items() if s in got} and all(not any(want[s].values()) for s in want if s not in got)
-    assert any(any(c.values()) for c in got.values())
+        got = {x.stratum: x for x in quality_rules.settings(measured, labels, alpha).collect()}
+        for s, t in trials.items():
+            want = _setting(list(t.values()), alpha, quality_rules.DELTA)
+            assert (got[s].setting, got[s].good_labels) == (want, len(t))
+            cuts = {q: None if want <= i else c[(want - i - 1) // len(quality_rules.RULES)] for i, (q, c) in enumerate(quality_rules.LADDERS.items())}
+            assert {q: got[s][f"cut_{q}"] for q in cuts} == cuts
+    assert 0 < got["en"].setting < quality_rules.STEPS
+
+
+def test_wrong_settings_pass_no_more_often_than_allowed():
+    """Simulated label sets: a setting that truly rejects more than ALPHA holds in at most DELTA / strata of them."""
+    alpha, each, n = quality_rules.ALPHA, quality_rules.DELTA / (len(quality_rules.STRATA) + 1), 300
+    rng = np.random.default_rng(5)
+    # Rejection rates by setting: just above the bound at once, from the middle on, and slowly over it.
+    for rates in (np.full(8, alpha * 1.001), np.r_[np.full(4, 0.001), np.full(4, alpha * 1.001)], np.linspace(0, alpha * 2, 8)):
+        draws = rng.random((4000, n))
+        wrong = np.flatnonzero(rates > alpha)[0]
+        k = np.stack([(draws < r).sum(1) for r in rates], 1)
+        tails = np.array([1.0 if x > n * alpha else sum(_binomial(n, i, alpha) for i in range(x + 1)) for x in range(n + 1)])
+        ok = np.logical_and.accumulate(tails[k] <= each, axis=1)
+        assert ok[:, wrong].mean() <= each + 4 * (each / 4000) ** 0.5
+
+
+def _binomial(n, k, p):
+    from math import comb
+
+    return comb(n, k) * p**k * (1 - p) ** (n - k)
+
+
+def test_strata_say_whether_they_had_enough_labels(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, text(i), "en") for i in range(200)] + [(1000 + i, text(i), "de") for i in range(100)] + [(2000 + i, text(i) + "#" * 400, "fr") for i in range(200)] + [(3000, text(1), "es"), (3001, "### " * 60, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows if i < 3000], "doc_id long, quality int")
+    states = {r.stratum: (r.state, r.setting) for r in quality_rules.judge(docs, labels).collect()}
+    assert states == {"en": ("on", quality_rules.STEPS), "de": ("few", 0), "fr": ("off", 0), "es": ("few", 0), "other": ("few", 0)}
 
 
 def test_resampling_keeps_good_and_all_without_labels(spark):
