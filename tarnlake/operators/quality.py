@@ -11,6 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnlake.operators.quantiles import exact_quantiles
+
 RESULTS = "run_id string, table_name string, check_name string, severity string, status string, failed_count long, total_count long, detail string, checked_at timestamp"
 
 
@@ -58,22 +60,49 @@ def failing(check: Check) -> Column | None:
     return None
 
 
-def single_pass(df: DataFrame, checks: list[Check]) -> dict[str, tuple[int, int]]:
-    """(failed, total) of every row and uniqueness check, in one aggregate."""
+def single_pass(df: DataFrame, checks: list[Check]) -> dict[str, tuple[int, int, str]]:
+    """(failed, total, detail) of every check that looks at the table alone: all in one aggregate, but uniqueness, which counts its own
+    key's groups with no other column read."""
     aggs, names = [F.count("*").alias("_n")], []
     for i, c in enumerate(checks):
         bad = failing(c)
         if bad is not None:
             aggs.append(F.count_if(bad).alias(f"c{i}"))
-        elif c.kind == "uniqueness":
-            keep = F.expr(c.condition) if c.condition else F.lit(True)
-            key = F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in c.columns])
-            aggs.append((F.count_if(keep) - F.count_distinct(F.when(keep, key))).alias(f"c{i}"))
-        else:
+        elif c.kind == "balance":
+            aggs.append(F.sum(F.col(c.column).cast("decimal(38,2)")).alias(f"c{i}"))
+        elif c.kind == "freshness":
+            aggs.append(F.datediff(F.lit(c.as_of).cast("date"), F.max(F.to_date(c.column))).alias(f"c{i}"))
+        elif c.kind == "row_count" and not c.parent:
+            aggs.append(F.count("*").alias(f"c{i}"))
+        elif c.kind != "uniqueness":
             continue
         names.append((i, c))
     row = df.agg(*aggs).first()
-    return {c.name: (int(row[f"c{i}"] or 0), int(row["_n"])) for i, c in names} | {ALL: (0, int(row["_n"]))}
+    total, out = int(row["_n"]), {ALL: (0, int(row["_n"]), "")}
+    for i, c in names:
+        if c.kind == "uniqueness":
+            out[c.name] = (repeats(df, c.columns, c.condition), total, "")
+        elif c.kind == "balance":
+            value = row[f"c{i}"] or 0
+            out[c.name] = (int(abs(float(value) - c.control) > c.tolerance * abs(c.control)), 1, f"{value} against {c.control}")
+        elif c.kind == "freshness":
+            age = row[f"c{i}"]
+            out[c.name] = (int(age is None or age > c.days), 1, f"{age} days")
+        elif c.kind == "row_count":
+            out[c.name] = _rows_against(total, int(c.control), c.tolerance)
+        else:
+            out[c.name] = (int(row[f"c{i}"] or 0), total, "")
+    return out
+
+
+def repeats(df: DataFrame, columns: list[str], condition: str | None = None) -> int:
+    """How many rows repeat a key that another row has; nulls are equal. A hot key is counted by all tasks before it is shuffled."""
+    keyed = (df.where(condition) if condition else df).groupBy(*columns).agg(F.count("*").alias("_rows"))
+    return int(keyed.agg(F.sum(F.col("_rows") - 1)).first()[0] or 0)
+
+
+def _rows_against(a: int, b: int, tolerance: float) -> tuple[int, int, str]:
+    return 0 if abs(a - b) <= tolerance * max(b, 1) else max(1, abs(a - b)), b, f"{a} against {b}"
 
 
 #: The entry of a single pass that holds the number of rows.
@@ -85,10 +114,18 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     return rows.join(parent.select(F.col(parent_column).alias("_p")).distinct(), F.col(column) == F.col("_p"), "left_anti")
 
 
-def outlier_bounds(df: DataFrame, column: str, approximate: bool = False, factor: float = 3.0) -> tuple[float, float]:
-    """Quartiles widened by ``factor`` of their distance."""
-    f = (lambda q: F.percentile_approx(column, q, 10_000)) if approximate else (lambda q: F.percentile(F.col(column), q))
-    q1, q3 = df.agg(f(F.lit(0.25)), f(F.lit(0.75))).first()
+#: Rows up to which the engine's exact percentile, which holds all distinct values in one task, is the shorter way.
+ONE_TASK = 1_000_000
+
+
+def outlier_bounds(df: DataFrame, column: str, approximate: bool = False, factor: float = 3.0, rows: int | None = None) -> tuple[float, float]:
+    """Quartiles widened by ``factor`` of their distance; exact ones of a large table by selection over all tasks."""
+    if approximate or (df.count() if rows is None else rows) <= ONE_TASK:
+        f = (lambda q: F.percentile_approx(column, q, 10_000)) if approximate else (lambda q: F.percentile(F.col(column), q))
+        q1, q3 = df.agg(f(F.lit(0.25)), f(F.lit(0.75))).first()
+    else:
+        found = {r.p: r.value for r in exact_quantiles(df, [], column, [0.25, 0.75]).collect()}
+        q1, q3 = found.get(0.25), found.get(0.75)
     return (float("-inf"), float("inf")) if q1 is None else (float(q1) - factor * (float(q3) - float(q1)), float(q3) + factor * (float(q3) - float(q1)))
 
 
@@ -116,7 +153,8 @@ def run_checks(tables: dict[str, DataFrame], checks: list[Check], spark: SparkSe
         for c in own:
             detail = getattr(c, "detail_error", "")
             if c.name in done:
-                failed, total = done[c.name]
+                failed, total, told = done[c.name]
+                detail = detail or told
             elif c.kind == "rule":
                 out.append((run, name, c.name, c.severity, "SKIPPED", 0, 0, "no condition", now))
                 continue
@@ -135,17 +173,9 @@ def _special(df: DataFrame, c: Check, tables: dict[str, DataFrame], total: int)
     if c.kind == "relationship":
         return orphans(df, c.column, tables[c.parent], c.parent_column, c.null_fk_is_orphan).count(), total, ""
     if c.kind == "row_count":
-        a, b = total, tables[c.parent].count() if c.parent else int(c.control)
-        return (0 if abs(a - b) <= c.tolerance * max(b, 1) else max(1, abs(a - b))), b, f"{a} against {b}"
-    if c.kind == "balance":
-        a = df.agg(F.sum(F.col(c.column).cast("decimal(38,2)"))).first()[0] or 0
-        off = abs(float(a) - c.control)
-        return int(off > c.tolerance * abs(c.control)), 1, f"{a} against {c.control}"
-    if c.kind == "freshness":
-        age = df.agg(F.datediff(F.lit(c.as_of).cast("date"), F.max(F.to_date(c.column)))).first()[0]
-        return int(age is None or age > c.days), 1, f"{age} days"
+        return _rows_against(total, tables[c.parent].count(), c.tolerance)
     if c.kind == "outliers":
-        lo, hi = outlier_bounds(df, c.column)
+        lo, hi = outlier_bounds(df, c.column, rows=total)
         return df.where((F.col(c.column) < lo) | (F.col(c.column) > hi)).count(), total, f"[{lo}, {hi}]"
     raise KeyError(f"unknown kind {c.kind}")
 
@@ -247,10 +277,14 @@ def append_results(results: DataFrame, path: str) -> None:
     results.withColumn("checked_on", F.to_date("checked_at")).write.mode("append").partitionBy("checked_on").parquet(path)
 
 
-def join_loss(child: DataFrame, column: str, parent: DataFrame, parent_column: str, most: float = 0.03) -> DataFrame:
-    """One row: rows, those that an inner join would lose, their share, and whether that is at most ``most``. Null keys are lost too."""
+def join_loss(child: DataFrame, column: str, parent: DataFrame, parent_column: str, most: float = 0.03, by: str | None = None) -> DataFrame:
+    """One row: rows, those that an inner join would lose, their share, and whether that is at most ``most``. Null keys are lost too.
+
+    ``by`` names a column of the child for whose values there is a row each, from the same join; in the row of all it is null.
+    """
     keys = parent.select(F.col(parent_column).alias("_p")).distinct().withColumn("_in", F.lit(True))
-    j = child.select(F.col(column).alias("_c")).join(keys, F.col("_c") == F.col("_p"), "left")
-    g = j.agg(F.count("*").alias("total"), F.count_if(F.col("_in").isNull()).alias("lost"))
+    j = child.select(F.col(column).alias("_c"), *([by] if by else [])).join(keys, F.col("_c") == F.col("_p"), "left")
+    aggs = [F.count("*").alias("total"), F.count_if(F.col("_in").isNull()).alias("lost")]
+    g = j.rollup(by).agg(*aggs) if by else j.agg(*aggs)
     share = F.coalesce(F.col("lost") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))
-    return g.select("total", "lost", share.alias("share"), (share <= most).alias("passed"))
+    return g.select(*([by] if by else []), "total", "lost", share.alias("share"), (share <= most).alias("passed"))

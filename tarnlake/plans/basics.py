@@ -291,7 +291,7 @@ _DQ = {
 def _dq(name: str, kind: str, source: str, options: dict):
     def run(spark, sf_dir):
         c = quality.Check(source, name, kind, **options)
-        failed, n = quality.single_pass(table(spark, sf_dir, source), [c])[name]
+        failed, n, _ = quality.single_pass(table(spark, sf_dir, source), [c])[name]
         return spark.createDataFrame([(failed, n)], "failed long, total long")
 
     run.__name__ = name

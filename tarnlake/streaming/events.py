@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tarnlake.operators.buckets import Bucketed
+from tarnlake.operators.merge import insert_only, latest
+from tarnlake.operators.tables import Versioned
+
 CONTACT = "contact_id string, loan_id string, customer_id string, event_time timestamp, collector_id string, channel_code string, contact_direction string, contact_outcome string, is_rpc_flag boolean, call_duration_seconds int, complaint_flag boolean, source_system string"
 WATERMARK = "30 minutes"
 
@@ -59,11 +63,35 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def complete_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer of whole results (output mode complete): each batch takes the place of the one before."""
+def complete_sink(path: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of whole results (output mode complete) as versions of a table: who reads one (``tables.Versioned``) keeps it
+    while the next is written. A batch that is run again writes its version again."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table = Versioned(batch.sparkSession, path)
+        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        table.vacuum(keep)
+
+    return write
+
+
+def bucket_sink(table: Bucketed, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch insert-only merge into buckets: the latest row of each new key, known keys left alone.
+
+    Only the buckets of the batch's keys are read, whatever the table has gathered, and a batch that is run again writes nothing.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        new = latest(batch, table.key, [F.col(c).desc() for c in order]).persist()
+        try:
+            if new.isEmpty():
+                return
+            if table.versions():
+                table.merge(new, lambda held, rows: insert_only(held, rows, table.key))
+            else:
+                table.create(new)
+        finally:
+            new.unpersist()
 
     return write
 

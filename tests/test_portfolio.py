@@ -1,11 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.operators import quality
+from tarnlake.operators import buckets, quality
 from tarnlake.operators.measures import Model
+from tarnlake.operators.tables import Versioned
 from tarnlake.session import scratch_path
 from tarnlake.sources import ingest
 from tarnlake.sources.contracts import Contract
+from tarnlake.streaming import events as streams
 
 
 def landed(spark, rows, strategy="append_only"):
@@ -89,3 +91,55 @@ def test_a_fact_reaches_what_its_links_reach(spark):
     m.measure("q", "line", lambda keep: F.sum(F.when(keep, F.col("q"))))
     m.measure("n", "order", lambda keep: F.count_if(keep))
     assert {r.name: (r.q, r.n) for r in m.evaluate(["q", "n"], ["name"]).collect()} == {"x": (11, 1), "y": (7, 1), None: (1, None)}
+
+
+def test_checks_of_one_table_take_one_scan_beside_their_keys(spark):
+    df = spark.createDataFrame([(1, "a", 1.0, "2025-01-01"), (1, None, -2.0, "2025-01-03"), (None, "a", 3.0, None), (None, "b", 4.0, None)], "k int, s string, x double, d string")
+    q = quality.Check
+    checks = [q("t", "key", "uniqueness", columns=["k"]), q("t", "both", "uniqueness", columns=["k", "s"]), q("t", "some", "uniqueness", columns=["k"], condition="k is not null"), q("t", "sum", "balance", column="x", control=6.0), q("t", "off", "balance", column="x", control=7.0, tolerance=0.1), q("t", "age", "freshness", column="d", as_of="2025-01-05", days=2), q("t", "n", "row_count", control=4), q("t", "more", "row_count", control=9, tolerance=0.1)]
+    got = {k: v[:2] for k, v in quality.single_pass(df, checks).items()}
+    assert got == {quality.ALL: (0, 4), "key": (2, 4), "both": (0, 4), "some": (1, 4), "sum": (0, 1), "off": (1, 1), "age": (0, 1), "n": (0, 4), "more": (5, 9)}
+    empty = {k: v[0] for k, v in quality.single_pass(df.limit(0), checks).items()}
+    assert empty["key"] == 0 and empty["age"] == 1 and empty["sum"] == 1 and empty["n"] == 4
+
+
+def test_quartiles_of_a_large_table_come_from_all_tasks(spark, monkeypatch):
+    df = spark.range(5000).select((F.hash("id") % 977).cast("double").alias("x"))
+    one = quality.outlier_bounds(df, "x")
+    monkeypatch.setattr(quality, "ONE_TASK", 0)
+    assert quality.outlier_bounds(df, "x") == pytest.approx(one) and quality.outlier_bounds(df.limit(0), "x") == (float("-inf"), float("inf"))
+
+
+def test_join_loss_by_a_column_is_one_join(spark):
+    child = spark.createDataFrame([(1, "a"), (2, "a"), (None, "b"), (3, "b"), (3, "b")], "k int, g string")
+    parent = spark.createDataFrame([(1,), (3,), (3,)], "p int")
+    got = {r.g: (r.total, r.lost, r.passed) for r in quality.join_loss(child, "k", parent, "p", 0.4, by="g").collect()}
+    assert got == {"a": (2, 1, False), "b": (3, 1, True), None: (5, 2, True)}
+
+
+def test_whole_results_are_versions_and_a_reader_keeps_its_own(spark):
+    path = scratch_path(spark, "whole")
+    write = streams.complete_sink(path)
+    write(spark.range(3), 0)
+    held = Versioned(spark, path).read()
+    write(spark.range(5), 1)
+    assert held.count() == 3 and Versioned(spark, path).read().count() == 5
+    write(spark.range(6), 1)
+    write(spark.range(7), 2)
+    assert Versioned(spark, path).read().count() == 7 and Versioned(spark, path).versions() == [1, 2]
+
+
+def test_a_bucket_sink_reads_and_writes_its_own_buckets(spark, monkeypatch):
+    table = buckets.Bucketed(spark, scratch_path(spark, "sink"), ["k"], 16, F.col("k"))
+    write, read = streams.bucket_sink(table, ["t"]), []
+    make = lambda rows: spark.createDataFrame(rows, "k int, t int, v string")
+    write(make([]), 0)
+    assert table.versions() == []
+    write(make([(i, 1, "a") for i in range(64)] + [(0, 2, "b")]), 0)
+    real = buckets.Bucketed.read
+    monkeypatch.setattr(buckets.Bucketed, "read", lambda self, v=None, only=None: read.append(only) or real(self, v, only))
+    for _ in range(2):  # a batch that is run again
+        write(make([(3, 9, "late"), (99, 1, "x"), (99, 2, "y")]), 1)
+    assert all(only == [3] for only in read) and table.versions() == [0, 1]
+    got = {r.k: r.v for r in real(table).collect()}
+    assert got == {i: "a" for i in range(1, 64)} | {0: "b", 99: "y"}
