@@ -1,12 +1,13 @@
 """Main text of web pages: text-to-tag ratio per line, Gaussian smoothing and threshold clustering.
 
 The standard library's streaming parser turns a page into lines: the text between two block boundaries,
-with the number of tags inside it and the container that holds it. A line's ratio is its
-characters by its tags. Ratios are smoothed by a Gaussian over neighbouring lines, and lines at or above the
+with the number of tags inside it, its characters inside links and the container that holds it. A line's ratio is its
+characters outside links by its tags. Ratios are smoothed by a Gaussian over neighbouring lines, and lines at or above the
 threshold (a share of the deviation of the smoothed ratios) cluster into regions. The regions choose the containers:
 the deepest one that holds nine tenths of their characters, or, where the page names its content (article, main),
-every named one that holds part of a region. All lines of a chosen container are its text, short ones included, save those in containers
-that are never content (menus, headers, footers, sidebars, notices, adverts, forms, reader comments): by element or role,
+every named one that holds part of a region. All lines of a chosen container are its text, short ones included, save two kinds. One is
+what the regions pass over and links fill: a container of three lines or more, most of them outside the regions, or a line of three links or
+more outside them or in a dip of the ratios, in which nothing is said outside links (a list of other stories, a row of share buttons). The other is lines in containers that are never content (menus, headers, footers, sidebars, notices, adverts, forms, reader comments): by element or role,
 or by class words. Class words, and a form, are evidence only: such a container stays if it holds most of the regions'
 characters (``HOLDS``; nearly all of them where a class begins with the word, as in "sidebar" but not in "has-sidebar"),
 and they never speak against a heading or a paragraph. A page costs time in proportion to its length, however deep it nests.
@@ -54,12 +55,14 @@ _OWN_HEAD = re.compile(r"(?:^|(?<=[\s_-]))(?:entry|post|article|story|content)[_
 _HEAD = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
 _GAP = re.compile(r"\s+")
 RADIUS, SIGMA, SHARE = 2, 1.0, 0.5
+#: A line is in a dip where its smoothed ratio is below this share of both neighbours'.
+DIP = 0.95
 #: The share of the content from which a container stays in spite of class words: inside a name, at its beginning.
 HOLDS = (0.5, 0.9)
 
 
 class _Lines(HTMLParser):
-    """Feeds: each block boundary ends a line. ``lines`` has (text, tags, number of the container).
+    """Feeds: each block boundary ends a line. ``lines`` has (text, tags, number of the container, letters outside links, links).
 
     Containers are numbered as they open, 0 is the page; ``parent`` gives the one around each, ``never`` those
     that are never content and ``named`` those that only the content's weight can save.
@@ -67,22 +70,24 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.stack: list[tuple[str, int]] = []
         self.parent, self.main, self.never = [0], [], set()
         # Containers that class words, or a form, speak against: the share of the content from which they stay.
         self.named: dict[int, float] = {}
         self.held: list[str] = []
         self.open: Counter = Counter()
-        self.tags = self.silent = 0
+        self.tags = self.silent = self.own = self.links = 0
+        self.linked = False
 
     def flush(self) -> None:
         if self.held:
             text = _GAP.sub(" ", "".join(self.held)).strip()
             if text:
-                self.lines.append((text, self.tags, self.stack[-1][1] if self.stack else 0))
+                self.lines.append((text, self.tags, self.stack[-1][1] if self.stack else 0, self.own, self.links))
             self.held = []
-        self.tags = 0
+        self.tags = self.own = 0
+        self.links = int(self.linked)
 
     def pop(self) -> None:
         tag, _ = self.stack.pop()
@@ -111,6 +116,9 @@ class _Lines(HTMLParser):
         if tag == "br":
             self.held.append(" ")
         self.tags += 1
+        if tag == "a" and not self.silent:
+            self.linked = any(k == "href" for k, _ in attrs)
+            self.links += self.linked
         if tag in VOID or not (tag in BLOCKS or tag in SILENT):
             return
         number = len(self.parent)
@@ -156,17 +164,22 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
+        if tag == "a":
+            self.linked = False
         if tag in BLOCKS or tag in SILENT:
             self.close_to(tag, _PAGE if tag not in _PAGE else ())
 
     def handle_data(self, data):
         if not self.silent:
             self.held.append(data)
+            if not self.linked:
+                # Bars, dots and the like between links say nothing.
+                self.own += len(data) if data.isalnum() else sum(map(str.isalnum, data))
 
 
-def ratios(lines: list[tuple[str, int, int]]) -> np.ndarray:
-    """Smoothed text-to-tag ratio of each line."""
-    raw = np.array([len(t) / max(1, n) for t, n, _ in lines], float)
+def ratios(lines: list[tuple[str, int, int, int, int]]) -> np.ndarray:
+    """Smoothed text-to-tag ratio of each line; a line of links alone has none."""
+    raw = np.array([(len(t) if own else 0) / max(1, n) for t, n, _, own, _ in lines], float)
     kernel = np.exp(-(np.arange(-RADIUS, RADIUS + 1) ** 2) / (2 * SIGMA**2))
     return np.convolve(np.pad(raw, RADIUS, mode="edge"), kernel / kernel.sum(), "valid")
 
@@ -195,6 +208,23 @@ def _below(parent: list[int], roots) -> np.ndarray:
     return np.array(out)
 
 
+def _link_blocks(lines, parent: list[int], of: np.ndarray, content: np.ndarray, smooth: np.ndarray) -> np.ndarray:
+    """The lines that the regions pass over and links fill: rows of three links, and containers of three such lines.
+
+    Smoothing lifts a line between long ones into their region: a row that lies in a dip of the smoothed ratios is passed over, too,
+    and so is a container of which most lines are outside.
+    """
+    links = np.array([n for *_, n in lines])
+    said = np.array([own > 0 or n == 0 for *_, own, n in lines])
+    beside = np.minimum(np.concatenate([[np.inf], smooth[:-1]]), np.concatenate([smooth[1:], [np.inf]]))
+    passed = ~content | (smooth < DIP * beside)
+    row = ~said & passed & (links >= 3)
+    count, out = _weights(parent, of, np.ones(len(of))), _weights(parent, of, passed.astype(float))
+    words = _weights(parent, of, said.astype(float))
+    whole = {n for n in range(1, len(parent)) if count[n] >= 3 and not words[n] and 2 * out[n] > count[n]}
+    return row | _below(parent, whole)[of] if whole else row
+
+
 def main_text(html: str | None) -> tuple[str, int, int]:
     """(text, lines taken, lines of the page)."""
     p = _Lines()
@@ -203,8 +233,9 @@ def main_text(html: str | None) -> tuple[str, int, int]:
     p.flush()
     if not p.lines:
         return "", 0, 0
-    of, size = np.array([n for _, _, n in p.lines]), np.array([len(t) for t, _, _ in p.lines], float)
-    content = regions(ratios(p.lines)) >= 0
+    of, size = np.array([x[2] for x in p.lines]), np.array([len(x[0]) for x in p.lines], float)
+    smooth = ratios(p.lines)
+    content = regions(smooth) >= 0
     usable = ~_below(p.parent, p.never)[of]
     for chosen in (content & usable, usable):
         if not chosen.any():
@@ -227,6 +258,9 @@ def main_text(html: str | None) -> tuple[str, int, int]:
         lines = _weights(p.parent, of, np.ones(len(of)))
         deep = np.flatnonzero((weight >= 0.9 * weight[0]) & (lines > 1))
         taken = left & _below(p.parent, {int(deep[-1])} if len(deep) else {0})[of]
+    linked = _link_blocks(p.lines, p.parent, of, content, smooth)
+    # A page of links alone keeps them.
+    taken = taken & ~linked if (taken & ~linked).any() else taken
     return "\n\n".join(p.lines[k][0] for k in np.flatnonzero(taken)), int(taken.sum()), len(p.lines)
 
 

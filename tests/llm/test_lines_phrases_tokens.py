@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import SCHEMA, corpus
 
-from tarnlake.llm import collocations, line_dedup, token_align
+from tarnlake.llm import collocations, html_extract, line_dedup, token_align
 from tarnlake.llm.bpe_segment import tokenizer_path
 
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -252,3 +252,29 @@ def test_pipeline_masks_beside_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "password = abcdefgh12345678", "en", "s", 1, "own/repo", "m", "s")], "doc_id long, text string, lang string, source string, n_chars long, _repo string, mark string, spans string")
     (row,) = corpus_pipeline.secrets(spark, df, "").collect()
     assert row._repo == "own/repo" and row.mark == "m" and row.spans == "s" and "abcdefgh" not in row.text and row.n_chars == len(row.text)
+
+
+_STORY = ["A long paragraph of the story says a good deal about what went on that day, and who was there to see it happen. " * 3, "Another one, with <a href='/x'>a link</a> in the middle, goes on about it for long enough to count as prose. " * 3, "The last one ends it all with some words about the weather, which was fine the whole week before it turned. " * 3]
+_PAGES = {
+    "list of stories": "<article><h1>Title</h1><p>{0}</p><div><ul>" + "".join(f"<li><a href='/{i}'>Story number {i}</a></li>" for i in range(12)) + "</ul></div><p>{1}</p><ul><li>milk</li><li>eggs</li></ul><p>{2}</p></article>",
+    "share row": "<main><h1>Title</h1><p>{0}</p><p>{1}</p><div><a href='#'>Share</a> | <a href='#'>Mail</a> | <a href='#'>Print</a></div><p>{2}</p><ul><li>milk</li><li>eggs</li></ul></main>",
+    "one link stays": "<article><h1>Title</h1><p>{0}</p><p><a href='/report'>The whole report</a></p><p>{1}</p><p>{2}</p></article>",
+    "plain list stays": "<article><h1>Title</h1><p>{0}</p><ul><li>milk</li><li>eggs</li><li>flour</li><li><a name='n'>salt</a></li></ul><p>{1}</p><p>{2}</p></article>",
+}
+
+
+@pytest.mark.parametrize("name", _PAGES)
+def test_regions_decide_about_links_inside_an_article(name, monkeypatch):
+    """Without classes or element names the smoothed ratios tell a block of links from short lines; with the ratios flat, so that there are no regions, they all stay."""
+    page = "<html><body>" + _PAGES[name].format(*_STORY) + "</body></html>"
+    text, _, _ = html_extract.main_text(page)
+    plain = [re.sub("<[^>]*>", "", x).strip() for x in _STORY]
+    blocks = text.split("\n\n")
+    assert [b for b in blocks if len(b) > 100] == plain and blocks[0] == "Title"
+    extra = [b for b in blocks[1:] if len(b) <= 100]
+    want = {"list of stories": ["milk", "eggs"], "share row": ["milk", "eggs"], "one link stays": ["The whole report"], "plain list stays": ["milk", "eggs", "flour", "salt"]}
+    assert extra == want[name]
+    monkeypatch.setattr(html_extract, "ratios", lambda lines: np.ones(len(lines)))
+    off, _, _ = html_extract.main_text(page)
+    assert (off != text) == (name in ("list of stories", "share row"))
+    assert html_extract.main_text("<body><ul><li><a href='/1'>one</a></li><li><a href='/2'>two</a></li><li><a href='/3'>three</a></li></ul></body>")[0] == "one\n\ntwo\n\nthree"
