@@ -169,7 +169,8 @@ def _holders(docs: DataFrame, each: DataFrame, beyond) -> DataFrame:
     """
     held = _held(each).withColumn("all_repos", F.col("repos"))
     many = held.where(beyond).select("h")
-    once = materialize(each.join(many, "h", "left_semi").groupBy("h", "mark").agg(F.min(F.struct("owner", "repo")).alias("o")), "holders")
+    # A value that a great many texts hold is dealt out by text.
+    once = materialize(T.join_unique(each, many, "h", "mark", "inner").groupBy("h", "mark").agg(F.min(F.struct("owner", "repo")).alias("o")), "holders")
     if once.isEmpty():
         return held
     marks = once.select("mark").distinct()
@@ -186,7 +187,7 @@ def _verdicts(df, id_col, text_col, owner_col, repo_col, max_owners, max_repos):
     each = found.where("size(found) > 0").select("mark", "owner", "repo", F.explode("found").alias("f")).select("mark", "owner", "repo", "f.*")
     copied = (F.col("owners") > max_owners) & (F.col("repos") > (max_owners if max_repos is None else max_repos))
     held = _holders(docs, each, copied)
-    known = each.dropDuplicates(["mark", "kind", "start"]).join(held, "h")
+    known = T.join_unique(materialize(each.dropDuplicates(["mark", "kind", "start"]), "spans"), held, "h", "mark", "inner")
     base = F.col("kind").isin(*[b[0] for b in BASE])
     owned = F.col("live") & ~copied
     order = F.create_map(*[x for k, i in KINDS.items() for x in (F.lit(k), F.lit(i))])

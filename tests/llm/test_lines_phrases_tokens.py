@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import SCHEMA, corpus
 
-from tarnlake.llm import collocations, html_extract, line_dedup, token_align
+from tarnlake.llm import collocations, html_extract, line_dedup, secret_scan, text, token_align
 from tarnlake.llm.bpe_segment import tokenizer_path
 
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -278,3 +278,19 @@ def test_regions_decide_about_links_inside_an_article(name, monkeypatch):
     off, _, _ = html_extract.main_text(page)
     assert (off != text) == (name in ("list of stories", "share row"))
     assert html_extract.main_text("<body><ul><li><a href='/1'>one</a></li><li><a href='/2'>two</a></li><li><a href='/3'>three</a></li></ul></body>")[0] == "one\n\ntwo\n\nthree"
+
+
+def test_a_value_in_half_of_all_texts_is_dealt_out(spark, monkeypatch):
+    """One value in many texts of many owners: called copied, its rows in many parts of the join, the other values as they are."""
+    pem = lambda x: f"-----BEGIN RSA PRIVATE KEY-----\n{x * 8}\n-----END RSA PRIVATE KEY-----"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"{body(i)} {pem('QUJDREVG')} {body(i + 1000)}", f"owner{i % 40}") for i in range(160)] + [(1000 + i, f"{body(i + 5000)} {pem(f'Uniq{i:04d}')}", "one") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("repo", F.concat("source", F.lit("/x")))
+    plain_rows = {r.doc_id: r.spans for r in secret_scan.scan(df, repo_col="repo", max_owners=4, max_repos=8).collect()}
+    monkeypatch.setattr(text, "SALTS", 4)
+    parts = []
+    real = text.join_unique
+    monkeypatch.setattr(secret_scan.T, "join_unique", lambda rows, *a, **k: parts.append(a[1]) or real(rows, *a, **k))
+    got = {r.doc_id: r.spans for r in secret_scan.scan(df, repo_col="repo", max_owners=4, max_repos=8).collect()}
+    assert got == plain_rows and parts.count("h") == 2
+    assert all("pem" not in got[i] for i in range(160)) and all("pem" in got[1000 + i] for i in range(160))
