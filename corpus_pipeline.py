@@ -19,7 +19,7 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def _small_batches(spark: SparkSession) -> None:
     """Texts cross to Python in batches of fewer rows: less memory on both sides for long documents. A stage is only run
     after it returns, so the option stays set; ``run``, which runs them all, sets it back."""
-    spark.conf.set(BATCH, "1500")
+    spark.conf.set(BATCH, "600")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
