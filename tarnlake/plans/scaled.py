@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.operators import buckets, deltas, feed, intervals, layout, merge, quantiles, similarity, sketches
+from tarnlake.operators.tables import lookup_options
 from tarnlake.plans.common import VERSIONS, priority_log, table
 from tarnlake.plans.history import _versions
 from tarnlake.session import scratch_path
@@ -344,3 +345,31 @@ def st8_closing_windows(spark, sf_dir):
     windows = spark.read.parquet(out).select(F.lit("window").alias("output"), F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "ids")
     side = spark.read.parquet(late).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
     return windows.unionByName(side.select(F.lit("late").alias("output"), F.lit(None).cast("timestamp_ntz").alias("window_start"), "event_type", "n", "ids"))
+
+
+@query("select o_orderstatus, o_orderpriority, count(*) as n, 1 as folders, true as by_priority from orders group by 1, 2")
+def snk5_folders(spark, sf_dir):
+    """A table in folders by two business columns: each row's folder says what the row says, and a group of both lies in one."""
+    path = scratch_path(spark, "folders")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.regexp_replace("o_orderpriority", " ", "_").alias("priority"), "o_orderpriority")
+    o.withColumn("status", F.col("o_orderstatus")).repartition("status", "priority").write.partitionBy("status", "priority").parquet(path)
+    t = spark.read.parquet(path).withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), "(status=[^/]*/priority=[^/]*)/", 1))
+    said = F.concat(F.lit("status="), "o_orderstatus", F.lit("/priority="), "priority")
+    return t.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("folder").cast("int").alias("folders"), F.bool_and(F.col("folder") == said).alias("by_priority"))
+
+
+@query("select k as o_custkey, count(o_orderkey) as n, case when k % 2 = 1 then 'none' else 'some' end as read from (select distinct 2 * o_custkey as k from orders where o_custkey < 12 union select 2 * o_custkey + 1 from orders where o_custkey < 12) w left join orders on 2 * o_custkey = k group by 1")
+def x4_bloom_lookup(spark, sf_dir):
+    """Lookups of keys that lie between the least and greatest of every row group: of absent ones the filter lets the scan read nothing."""
+    path = scratch_path(spark, "bloom")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("k"))
+    options = {**lookup_options("k", 100_000), "parquet.enable.dictionary": "false"}
+    o.repartition(4).write.options(**options).parquet(path)
+    t = spark.read.parquet(path)
+    wanted = [r.k for r in o.where("k < 24").select("k").distinct().collect()]
+    out = []
+    for k in sorted(wanted):
+        for key in (k, k + 1):
+            (row,), read = layout.rows_read(t.where(F.col("k") == key).agg(F.count("*").alias("n")))
+            out.append((key, row.n, "some" if read else "none"))
+    return spark.createDataFrame(out, "o_custkey long, n long, read string")
