@@ -1,4 +1,6 @@
+import glob
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import SCHEMA, corpus
 
-from tarnlake.llm import collocations, html_extract, line_dedup, secret_scan, text, token_align
+from tarnlake.llm import collocations, html_extract, line_dedup, quality_resample, secret_scan, text, token_align, token_store, toxicity
 from tarnlake.llm.bpe_segment import tokenizer_path
 
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -294,3 +296,83 @@ def test_a_value_in_half_of_all_texts_is_dealt_out(spark, monkeypatch):
     got = {r.doc_id: r.spans for r in secret_scan.scan(df, repo_col="repo", max_owners=4, max_repos=8).collect()}
     assert got == plain_rows and parts.count("h") == 2
     assert all("pem" not in got[i] for i in range(160)) and all("pem" in got[1000 + i] for i in range(160))
+
+
+def test_decoding_finds_the_likeliest_of_all_readings():
+    """The Viterbi path scores as well as the best of every reading of the lattice, spelt out one by one."""
+    sample = "you are an idiot and a dumb ass so go away you worthless piece of sad stupid luggage because the hello bell rang "
+    c = toxicity._CLASS[np.frombuffer((sample * 20).encode(), np.uint8)]
+    model = toxicity.CharModel(np.bincount(c[:-2] * 784 + c[1:-1] * 28 + c[2:], minlength=28**3))
+
+    def value(reading, cost):
+        a = b = 0
+        for x in reading:
+            k = model.code(x)
+            cost += model.log[a][b][k]
+            a, b = b, k
+        return cost + model.log[a][b][0]
+
+    def readings(seen, spaced):
+        runs = [(c, len(list(g))) for c, g in itertools.groupby(seen)]
+        choices = []
+        for at, (c, n) in enumerate(runs):
+            own = [(x * k, -0.7 * (n > 2)) for x in toxicity.LEET.get(c, c) for k in ((1,) if n == 1 else (1, 2))]
+            if spaced:
+                own += [(x * i + " " + x * j, -0.7 * (n > i + j)) for x in toxicity.LEET.get(c, c) for i in (1, 2) for j in (1, 2) if i + j <= n]
+                own += [(" " + t, cost) for t, cost in own] if at else []
+            choices.append(own)
+        for pick in itertools.product(*choices):
+            yield "".join(t for t, _ in pick), sum(cost for _, cost in pick)
+
+    r = random.Random(3)
+    for k in range(60):
+        seen = "".join(r.choice("1do1t0us4l$$e!b|") for _ in range(r.randrange(2, 7)))
+        spaced = bool(k % 2)
+        every = list(readings(seen, spaced))
+        best = max(value(t, cost) for t, cost in every)
+        got = model.decode(seen, spaced)
+        assert max(value(t, cost) for t, cost in every if t == got) == pytest.approx(best)
+
+
+@pytest.mark.parametrize(("encoding", "named"), [("delta", "DELTA_BINARY_PACKED"), ("dictionary", "RLE_DICTIONARY")])
+def test_token_files_have_the_encodings_groups_and_indexes_asked_for(spark, tmp_path, monkeypatch, encoding, named):
+    """What the footers say, and that a look at lengths or at one document reads few bytes and few rows."""
+    import pyarrow.parquet as pq
+
+    from tarnlake.operators.layout import rows_read
+
+    monkeypatch.setattr(token_store, "ROW_GROUP", 64 << 10)
+    monkeypatch.setattr(token_store, "PAGE", 4 << 10)
+    r = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(500)}" for _ in range(r.randrange(1, 120)))) for i in range(3000)], "doc_id long, text string").repartition(2)
+    out = str(tmp_path / "tokens")
+    token_store.write_tokens(docs, out, tokenizer_path("word_bpe_49k.json"), encoding=encoding)
+    groups = rows = 0
+    for f in glob.glob(f"{out}/part-*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.row_group(g).num_columns)}
+            ids = next(c for n, c in columns.items() if n.startswith("ids"))
+            assert named in ids.encodings and ids.compression == "ZSTD"
+            assert columns["doc_id"].has_offset_index and columns["doc_id"].has_column_index and columns["doc_id"].statistics.has_min_max
+            # A column's own bytes: lengths alone are read without the ids.
+            assert columns["n_tokens"].total_compressed_size < 0.2 * ids.total_compressed_size
+            groups += 1
+        rows += meta.num_rows
+    assert rows == 3000 and groups > 4
+    stored = token_store.read_tokens(spark, out)
+    (row,), read = rows_read(stored.where("doc_id = 1234").select("doc_id", "n_tokens"))
+    assert row.doc_id == 1234 and read < 0.35 * 3000
+    plan = stored.where("doc_id = 1234").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:int>" in plan
+
+
+def test_the_quality_stage_keeps_what_resampling_keeps(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    want = {r.doc_id for r in quality_resample.resample(docs, labels).collect() if r.kept}
+    got = corpus_pipeline.quality(spark, docs, sf)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == want and len(want) < docs.count()
