@@ -117,12 +117,22 @@ class Bucketed:
         a, b = self.manifest(old)["parts"], self.manifest(new)["parts"]
         return sorted(int(k) for k in a.keys() | b.keys() if a.get(k) != b.get(k))
 
+    def marks(self) -> dict[str, int]:
+        """The version that each consumer of changes (``feed.Consumer``) has committed."""
+        top, out = self._p(f"{self.path}/consumers"), {}
+        for c in self._fs.listStatus(top) if self._fs.exists(top) else []:
+            seen = [int(s.getPath().getName()[2:]) for s in self._fs.listStatus(c.getPath()) if s.getPath().getName().startswith("v=")]
+            if seen:
+                out[c.getPath().getName()] = max(seen)
+        return out
+
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete old manifests, and the bucket folders that no kept one names, half-written ones included. No merge may run meanwhile."""
+        """Delete old manifests, and the bucket folders that no kept one names, half-written ones included. The versions that consumers
+        have reached stay, so that they can go on from there. No merge may run meanwhile."""
         held = self.versions()
-        kept = held[-max(1, keep) :]
+        kept = sorted({*held[-max(1, keep) :], *self.marks().values()} & set(held))
         live = {f for v in kept for f in self._folders(self.manifest(v)["parts"])}
-        for v in held[: -len(kept)]:
+        for v in set(held) - set(kept):
             self._fs.delete(self._p(f"{self.path}/manifest/v={v}"), False)
         gone = []
         for top in self._fs.listStatus(self._p(self.path)):

@@ -373,3 +373,20 @@ def x4_bloom_lookup(spark, sf_dir):
             (row,), read = layout.rows_read(t.where(F.col("k") == key).agg(F.count("*").alias("n")))
             out.append((key, row.n, "some" if read else "none"))
     return spark.createDataFrame(out, "o_custkey long, n long, read string")
+
+
+@query("""with e as (select user_id, event_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 2 hours, true) as opens from events),
+s as (select user_id, event_id, ts, sum(opens::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from e),
+g as (select user_id, min(ts) as session_start, max(ts) + interval 2 hours as session_end, count(*) as events from s group by user_id, k)
+select * from g where epoch_ms(session_end) <= (select epoch_ms(max(ts)) from events) - 1800000""")
+def st8_closing_sessions(spark, sf_dir):
+    """Sessions of each user with gaps of two hours, from a stream in two runs: each comes out once, when the watermark has passed its end."""
+    src, out, check = (scratch_path(spark, n) for n in ("source", "sessions", "checkpoint"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("event_time"))
+    half = F.col("event_time") < F.lit("2024-01-15").cast("timestamp")
+    for part in (e.where(half), e.where(~half)):
+        part.coalesce(1).write.mode("append").parquet(src)
+        s = streams.sessions(streams.file_source(spark, src, e.schema, "parquet"), ["user_id"], gap="2 hours")
+        streams.start(s, streams.append_sink(out), check).awaitTermination()
+    held = spark.read.parquet(out)
+    return held.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "events")

@@ -193,6 +193,20 @@ def test_consumers_have_marks_of_their_own(spark):
         one.commit(0)
 
 
+def test_vacuum_leaves_what_a_consumer_has_yet_to_read(spark):
+    t = stored(spark, [(i, "a", i) for i in range(20)])
+    slow = feed.Consumer(t, "slow")
+    slow.commit(slow.pending()[1])
+    for k in range(4):
+        t.merge(spark.createDataFrame([(k, "b", 1)], STATE), up)
+    t.vacuum(1)
+    assert t.versions() == [0, 4] and t.marks() == {"slow": 0}
+    assert sorted(r.k for r in slow.pending()[0].where("_change = 'update_after'").collect()) == [0, 1, 2, 3]
+    slow.commit(slow.pending()[1])
+    t.vacuum(1)
+    assert t.versions() == [4] and t.read().count() == 20
+
+
 def test_changes_see_nulls_and_null_keys(spark):
     a = spark.createDataFrame([(None, "x", 1), (1, None, 1), (2, "y", None)], STATE)
     b = spark.createDataFrame([(None, "x", 2), (1, None, 1), (2, None, None)], STATE)
