@@ -412,20 +412,39 @@ def test_scores_match_plain_code(spark, docs):
     rounded = lambda x: np.rint(x * lm_mixing.FRACTION) / lm_mixing.FRACTION
     cost = dict(zip(distinct, rounded(lm_mixing.unit_costs([w.encode() for w in distinct], *model).astype(float))))
     want = brute.mixed_scores(texts, cost, lm_mixing)
-    seen = {}
+    seen = []
     spark.conf.set("spark.sql.adaptive.enabled", "true")
-    original = lm_mixing.fit
-    lm_mixing.fit = lambda *a: (seen.update(table=a[2], sure=a[3]), model[3])[1]
+    held = lm_mixing.fit_all, lm_mixing._table, lm_mixing.FIT_SHARE
+    lm_mixing.FIT_SHARE = 3
+    lm_mixing.fit_all, lm_mixing._table = lambda *a: model[3], lambda blocks: seen.append(held[1](blocks)) or seen[-1]
     try:
         got = lm_mixing.score(docs).collect()
     finally:
-        lm_mixing.fit = original
-    # The operator leaves the fit's sample out of the predictors' counts; with none in it both models are one.
-    assert (seen["table"] == model[1]).all() and (seen["sure"] == model[2]).all()
+        lm_mixing.fit_all, lm_mixing._table, lm_mixing.FIT_SHARE = held
+    # The weights are fitted on texts that the first table leaves out; the one that scores counts every training text.
+    assert (seen[0][0] != seen[1][0]).any() and (seen[1][0] == model[1]).all() and (seen[1][1] == model[2]).all()
     key = lambda i, x: (-1 if i is None else i, round(x, 3))
     assert np.allclose([x for _, x in sorted(key(r.doc_id, r.score) for r in got)], [x for _, x in sorted(key(i, x) for (i, _), x in zip(texts, want))], atol=2e-3)
 
 
+def test_the_fit_over_all_tasks_is_the_fit_of_their_words(spark):
+    """Every word of the texts left out has its part, as often as they hold it, whichever task it is in; and more code length is never the end."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["stone", "river", "light", "rivers", "lights"]) + r.choice(["", "s", "ly"]) for _ in range(400)) for _ in range(12)]
+    code, table, sure, _ = _model(texts[:9])
+    times = Counter(w.encode() for t in texts[9:] for w in [*brute.words(t), "\n"])
+    own = sorted(times)
+    pack = lambda part, fit: (lm_mixing.zstandard.compress(b" ".join(part)), lm_mixing._packed(np.array(fit, np.uint64)))
+    rows = [pack(own[k::3], [times[w] for w in own[k::3]]) for k in range(3)] + [pack([b"never"], [0])]
+    df = spark.createDataFrame(rows, "words binary, fit binary").repartition(3)
+    got = lm_mixing.fit_all(df, spark.sparkContext.broadcast((code, table, sure)))
+    want = lm_mixing.fit([w for w in own for _ in range(times[w])], code, table, sure)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, want))
+    cost = lambda weights: (lm_mixing.unit_costs(own, code, table, sure, weights) * np.array([[times[w]] for w in own])).sum(0)
+    start = [np.pad(lm_mixing.START[:, :o] * 5 / o, ((0, 0), (0, 5 - o))).astype(np.float32) / lm_mixing.SCALE for _, o in lm_mixing.SETS]
+    assert (cost(got) < cost(start)).all()
+
+
 def test_weight_sets_are_fitted_in_the_run():
     """The fit finds the orders that tell, and only training texts have a part in it."""
     code = lm_mixing.Code(np.arange(1, 257))
