@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     own label, so long chains halve. Every round is written to the shared folder, and it stops at
     the first round that changes nothing. Hot nodes only meet partial aggregates and joins.
     """
-    e = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null and a <> b")
+    # Read in both directions, made once.
+    e = materialize(edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null and a <> b"), "pairs")
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "edges")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"))

@@ -489,9 +489,9 @@ def test_a_queue_of_promises_matches_a_plain_replay(spark):
 
 
 def test_state_of_closed_windows_ends_and_no_row_is_lost(spark):
-    """Twenty batches of a day each: state stays at the windows that are open, late rows are in the side output, each row is somewhere once."""
+    """Seven batches of a day each: state stays at the windows that are open, late rows are in the side output, each row is somewhere once."""
     r = random.Random(5)
-    days = [[(k * 100 + i, "ab"[i % 2], at(60 * 24 * k + r.randrange(60 * 24))) for i in range(30)] + ([(k * 100 + 90, "a", at(60 * 24 * (k - 3)))] if k > 4 else []) for k in range(12)]
+    days = [[(k * 100 + i, "ab"[i % 2], at(60 * 24 * k + r.randrange(60 * 24))) for i in range(30)] + ([(k * 100 + 90, "a", at(60 * 24 * (k - 3)))] if k > 3 else []) for k in range(7)]
     src, held, late, marks, out, one, two = (scratch_path(spark, n) for n in ("s", "held", "late", "marks", "out", "one", "two"))
     shape, most = "id int, k string, event_time timestamp", 0
     for day in days:
@@ -504,16 +504,16 @@ def test_state_of_closed_windows_ends_and_no_row_is_lost(spark):
         q.awaitTermination()
         assert closing.dropped_rows(q) == 0
         most = max(most, closing.state_rows(q))
-    # The windows of one day; without an end there would be over 150 rows.
+    # The windows of one day; without an end there would be some hundred rows.
     assert most <= 16
     rows = [x for day in days for x in day]
     top = max(t for *_, t in rows) - dt.timedelta(minutes=30)
     side = sorted(x.id for x in spark.read.parquet(late).collect())
-    assert side == [k * 100 + 90 for k in range(5, 12)]
+    assert side == [k * 100 + 90 for k in range(4, 7)]
     got = [i for x in spark.read.parquet(out).collect() for i in x.ids]
     end = lambda t: START + ((t - START) // dt.timedelta(hours=3) + 1) * dt.timedelta(hours=3)
     assert sorted(got) == sorted(i for i, _, t in rows if i not in side and end(t) <= top)
     # A batch that is run again replaces what it wrote.
     batch = spark.createDataFrame(days[-1], shape)
-    parted(batch, 11)
+    parted(batch, 6)
     assert sorted(x.id for x in spark.read.parquet(late).collect()) == side and spark.read.parquet(held).count() + len(side) == len(rows)
