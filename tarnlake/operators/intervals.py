@@ -12,10 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucket_of(ts: str | Column, seconds: int) -> Column:
+def micros(c: Column, kind: str) -> Column:
+    """Microseconds that rise with a time, whatever the session's zone: times without a zone are taken by their own date and clock."""
+    if kind != "timestamp_ntz":
+        return F.unix_micros(c.cast("timestamp"))
+    clock = F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return clock * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
+def bucket_of(ts: str, seconds: int, kind: str = "timestamp") -> Column:
     """The number of a time's bucket; null for a null time."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.floor(micros(F.col(ts), kind) / F.lit(seconds * 1_000_000)).cast("long")
 
 
 def asof_join_bucketed(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, take: list[str], seconds: int, tiebreak: list[str] | None = None, prefix: str = "asof_") -> DataFrame:
@@ -26,8 +33,8 @@ def asof_join_bucketed(left: DataFrame, right: DataFrame, key: list[str], left_t
     """
     kind, ties = dict(left.dtypes)[left_ts], tiebreak or []
     r = right.where(F.col(right_ts).isNotNull()).select(*key, F.col(right_ts).cast(kind).alias("_ts"), F.struct(*take).alias("_r"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)])
-    r = r.withColumn("_bucket", bucket_of("_ts", seconds))
-    l_ = left.select(*key, F.col(left_ts).alias("_ts"), F.struct(*left.columns).alias("_l")).withColumn("_bucket", bucket_of("_ts", seconds))
+    r = r.withColumn("_bucket", bucket_of("_ts", seconds, kind))
+    l_ = left.select(*key, F.col(left_ts).alias("_ts"), F.struct(*left.columns).alias("_l")).withColumn("_bucket", bucket_of("_ts", seconds, kind))
     order = F.struct("_ts", *[f"_t{i}" for i in range(len(ties))])
     heads = r.groupBy(*key, "_bucket").agg(F.max_by("_r", order).alias("_head"))
     asked = l_.where("_bucket is not null").select(*key, "_bucket", F.lit(True).alias("_asked")).distinct()
@@ -46,7 +53,7 @@ def pit_join_bucketed(facts: DataFrame, versions: DataFrame, fact_key: str, vers
     """The version in force at each fact's time, for versions of a key that do not overlap (an SCD2 history).
 
     Of such versions only the last that starts at or before the time can hold, so one as-of join and a look at its end do, and a key
-    with many facts and versions costs their sum. ``how`` is inner or left; names that both sides have are not allowed.
+    with many facts and versions costs their sum. A version without an end holds for ever. ``how`` is inner or left; names that both sides have are not allowed.
     """
     taken = [c for c in versions.columns if c != version_key]
     v = versions.withColumnRenamed(version_key, "_key").where(F.col("_key").isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start))))
@@ -66,7 +73,8 @@ def range_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, sta
     touches at most; a point looks into its one bin of every level that has spans. So a row is repeated at most twice, or as often as
     there are levels, and a join's group holds what shares a bin. ``key`` names are in both; other names must differ. Rows with nulls in key or time match nothing.
     """
-    micro = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    kinds = {**dict(spans.dtypes), **dict(points.dtypes)}
+    micro = lambda c: micros(F.col(c), kinds[c])
     s = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) > F.col(start)))
     s = s.withColumn("_lo", micro(start)).withColumn("_hi", micro(end) - 1)
     wide = F.ceil(F.log(float(step), F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / F.lit(seconds * 1e6))) - F.lit(1e-9))

@@ -48,6 +48,23 @@ def test_asof_by_buckets_carries_over_empty_ones(spark):
     assert intervals.asof_join_bucketed(lf.limit(0), rt, ["k"], "ts", "ts", ["v"], 60).collect() == []
 
 
+def test_buckets_rise_with_local_times_in_any_zone(spark):
+    """In a zone that skips an hour, times without a zone stay in their own order; so do times with one."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        times = [dt.datetime(2025, 3, 9, h, m) for h in range(5) for m in (0, 30)] + [dt.datetime(1969, 12, 31, 23, 59, 59, 999_999), dt.datetime(1850, 1, 1)]
+        df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz").withColumn("z", F.col("t").cast("timestamp"))
+        for c, kind in (("t", "timestamp_ntz"), ("z", "timestamp")):
+            rows = df.select(F.col(c).alias("c"), intervals.micros(F.col(c), kind).alias("x"), intervals.bucket_of(c, 600, kind).alias("b")).orderBy("c").collect()
+            assert [r.x for r in rows] == sorted(r.x for r in rows) and [r.b for r in rows] == [r.x // 600_000_000 for r in rows]
+        lf = df.select("t", F.lit(1).alias("k"))
+        got = intervals.asof_join_bucketed(lf, lf.withColumn("v", F.col("t")), ["k"], "t", "t", ["v"], 600).where("asof_v is null or asof_v <> t")
+        assert got.count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_point_in_time_by_buckets_matches_the_interval_join(spark, how):
     log = spark.createDataFrame([(k, at(m), str(m % 5), i) for i, (k, m) in enumerate(hot_key(600, 3))], "k string, ts timestamp_ntz, a string, i int")
