@@ -48,12 +48,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch folder whose content is not read any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    held = _made.get(spark.sparkContext.applicationId, [])
+    if path in held:
+        held.remove(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete what this application has written to scratch; call it once no result is to be read any more."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        drop_scratch(spark, path)
     return len(paths)
 
 
