@@ -148,7 +148,7 @@ def run_checks(tables: dict[str, DataFrame], checks: list[Check], spark: SparkSe
                 try:
                     done |= single_pass(df, [c])
                 except PySparkException as e:
-                    done[c.name] = (-1, -1)
+                    done[c.name] = (-1, -1, "")
                     c.detail_error = str(e).split("\n")[0][:200]
         for c in own:
             detail = getattr(c, "detail_error", "")
