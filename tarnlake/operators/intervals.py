@@ -86,3 +86,28 @@ def range_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, sta
     p = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in sorted(levels)]))).withColumn("_bin", F.floor(micro(at) / size(F.col("_level"))))
     j = p.join(s, [*key, "_level", "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
     return j.drop("_level", "_bin", "_lo", "_hi")
+
+
+def open_totals(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str, sums: list[str], seconds: int, count: str = "n") -> DataFrame:
+    """Each point with how many spans of its key hold at its time (``start <= at < end``) and the sums of their columns, at the cost of both sides' rows.
+
+    A span adds its values where it starts and takes them back where it ends, so what holds at a time is a running sum and no pair is made. A task holds
+    the times of one key in one bucket of ``seconds``, and one carried row of what holds when the bucket begins. ``sums`` are whole numbers or decimals; nulls
+    count as zero, and so do sums over no span. Rows with nulls in key or time match nothing. Names of ``points`` and ``sums`` must differ.
+    """
+    kind, names = dict(points.dtypes)[at], [f"_s{i}" for i in range(len(sums) + 1)]
+    held = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) > F.col(start)))
+    side = lambda c, sign: held.select(*key, F.col(c).cast(kind).alias("_ts"), F.lit(sign).cast("long").alias("_s0"), *[(F.coalesce(F.col(x), F.lit(0)) * sign).alias(n) for x, n in zip(sums, names[1:])])
+    total = lambda df, *by: df.groupBy(*key, *by).agg(*[F.sum(n).alias(n) for n in names])
+    steps = total(side(start, 1).unionByName(side(end, -1)), "_ts").withColumn("_bucket", bucket_of("_ts", seconds, kind))
+    p = points.select(*key, F.col(at).alias("_ts"), F.struct(*points.columns).alias("_p")).withColumn("_bucket", bucket_of("_ts", seconds, kind))
+    asked = p.where("_bucket is not null").select(*key, "_bucket", F.lit(True).alias("_asked")).distinct()
+    each = total(steps, "_bucket").unionByName(asked, allowMissingColumns=True).groupBy(*key, "_bucket").agg(*[F.sum(n).alias(n) for n in names], F.bool_or("_asked").alias("_asked"))
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.select(*key, "_bucket", "_asked", *[F.sum(n).over(before).alias(n) for n in names]).where("_asked and _s0 is not null").drop("_asked")
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_side", F.lit(2)), steps.withColumn("_side", F.lit(1)), carried.withColumn("_side", F.lit(0))])
+    # A carried row has no time of its own: it comes first.
+    w = Window.partitionBy(*key, "_bucket").orderBy(F.col("_ts").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key], F.col("_bucket").isNotNull())
+    found = both.select("_p", "_side", *[F.when(known, F.sum(n).over(w)).alias(n) for n in names]).where("_side = 2")
+    return found.select("_p.*", *[F.coalesce(F.col(n), F.lit(0)).alias(c) for n, c in zip(names, [count, *sums])])

@@ -71,7 +71,8 @@ def j3_overlapping_spans(spark, sf_dir):
     p = o.where("o_orderstatus = 'P'").select("o_orderkey", "team", "o_orderdate")
     days = F.make_dt_interval(days=(F.col("o_orderkey") % 400).cast("int"))
     s = o.where("o_orderstatus <> 'P'").select("team", F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("opened"), (F.col("o_orderdate") + days).alias("closed"))
-    return intervals.range_join(p, s, ["team"], "o_orderdate", "opened", "closed", 30 * DAY).groupBy("o_orderkey").agg(F.count("*").alias("open_orders"), F.sum("key").alias("keys"))
+    each = intervals.open_totals(p, s, ["team"], "o_orderdate", "opened", "closed", ["key"], 30 * DAY, "open_orders").where("open_orders > 0")
+    return each.groupBy("o_orderkey").agg(F.sum("open_orders").alias("open_orders"), F.sum("key").alias("keys"))
 
 
 @query(f"with {VERSIONS} select *, effective_end = timestamp '9999-12-31' as is_current from versions")
