@@ -374,7 +374,7 @@ def st10_schema_evolution(spark, sf_dir):
 def st12_missing_data(spark, sf_dir):
     """Users that have been silent for over twelve hours at a given time."""
     e = table(spark, sf_dir, "events").select("user_id", "ts")
-    return streams.missing_data(e, ["user_id"], "ts", "2024-01-31", 12).select("user_id", "last", F.round(F.floor(F.col("hours_since") * 3600) / 3600, 1).alias("hours"))
+    return streams.missing_data(e, ["user_id"], "ts", "2024-01-31", 12).select("user_id", "last", F.round("hours_since", 1).alias("hours"))
 
 
 @query("""with v(version, n) as (values (0, (select count(*) from orders where o_orderstatus = 'F')), (1, (select count(*) from orders)), (2, (select count(*) from orders)), (3, (select count(*) from orders where o_orderstatus = 'F')))
