@@ -87,6 +87,7 @@ def expire(df: DataFrame, day: str, days: int, today: Column) -> DataFrame:
     return df.where(F.col(day) >= F.date_sub(today, days))
 
 
-#: Writer options for point lookups on a column.
-def lookup_options(column: str, distinct: int = 1_000_000) -> dict[str, str]:
-    return {f"parquet.bloom.filter.enabled#{column}": "true", f"parquet.bloom.filter.expected.ndv#{column}": str(distinct)}
+#: Writer options for point lookups on a column: a row group's filter is made for ``distinct`` values, of which ``wrong`` is the share of absent ones that pass it.
+def lookup_options(column: str, distinct: int = 1_000_000, wrong: float = 0.01) -> dict[str, str]:
+    own = {"enabled": "true", "expected.ndv": str(distinct), "fpp": str(wrong)}
+    return {f"parquet.bloom.filter.{name}#{column}": value for name, value in own.items()}

@@ -16,6 +16,8 @@ from tarnlake.streaming import events as streams
 
 QUERIES, ORACLE = {}, {}
 DAY = 86_400
+#: Keys that one file's Bloom filter is made for.
+BLOOM_KEYS = 100_000
 
 
 def query(sql: str):
@@ -364,8 +366,10 @@ def x4_bloom_lookup(spark, sf_dir):
     """Lookups of keys that lie between the least and greatest of every row group: of absent ones the filter lets the scan read nothing."""
     path = scratch_path(spark, "bloom")
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("k"))
-    options = {**lookup_options("k", 100_000), "parquet.enable.dictionary": "false"}
-    o.repartition(4).write.options(**options).parquet(path)
+    # A file holds about half of the keys that its filter is made for, however many rows and keys the table has.
+    files = max(4, -(-o.select("k").distinct().count() // (BLOOM_KEYS // 2)))
+    options = {**lookup_options("k", BLOOM_KEYS, 1e-8), "parquet.enable.dictionary": "false"}
+    o.repartition(files, "k").write.options(**options).parquet(path)
     t = spark.read.parquet(path)
     wanted = [r.k for r in o.where("k < 24").select("k").distinct().collect()]
     out = []
