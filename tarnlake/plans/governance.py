@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnlake.operators import quality, security
+from tarnlake.operators import quality, quantiles, security
 from tarnlake.operators.quality import Check
 from tarnlake.plans.common import table
 
@@ -59,7 +59,8 @@ def a9_duplicate_keys(spark, sf_dir):
 
 @query("select quantile_cont(l_extendedprice, 0.25) as q1, quantile_cont(l_extendedprice, 0.75) as q3 from lineitem")
 def a11_quartiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(*[F.percentile("l_extendedprice", F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.75, "q3"))])
+    q = quantiles.exact_quantiles(table(spark, sf_dir, "lineitem").select("l_extendedprice"), [], "l_extendedprice", [0.25, 0.75])
+    return q.agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.75, "q3"))])
 
 
 @query("select l_returnflag, count(*) as n, sum(l_linenumber)::bigint as total, round(avg(l_linenumber), 6) as mean, min(l_shipdate) as first_ship, max(l_shipdate) as last_ship, bool_or(l_discount > 0.09) as any_large from lineitem group by 1")
