@@ -314,7 +314,7 @@ def st11_promise_queue(spark, sf_dir):
     before = promises.use_store(spark)
     try:
         for part in (rows.where(half), rows.where(~half), end):
-            part.coalesce(1).write.mode("append").parquet(src)
+            part.write.mode("append").parquet(src)
             closed = promises.promise_queue(streams.file_source(spark, src, rows.schema, "parquet"))
             streams.start(closed, streams.append_sink(out), check).awaitTermination()
     finally:
@@ -340,7 +340,7 @@ def st8_closing_windows(spark, sf_dir):
     src, held, late, marks, out, one, two = (scratch_path(spark, n) for n in ("source", "staged", "late", "marks", "windows", "one", "two"))
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("event_time"), F.expr(_BATCH).alias("batch"))
     for k in (1, 2, 3):
-        e.where(F.col("batch") == k).coalesce(1).write.mode("append").parquet(src)
+        e.where(F.col("batch") == k).write.mode("append").parquet(src)
         parted = closing.part_late(held, late, marks, closing.last_end("event_time", "6 hours", "2 hours"))
         streams.start(streams.file_source(spark, src, e.schema, "parquet"), parted, one).awaitTermination()
         w = streams.windowed(closing.staged(spark, held, e.schema), ["event_type"], [F.count("*").alias("n"), F.sum("event_id").alias("ids")], size="6 hours", slide="2 hours")
@@ -390,7 +390,7 @@ def st8_closing_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("event_time"))
     half = F.col("event_time") < F.lit("2024-01-15").cast("timestamp")
     for part in (e.where(half), e.where(~half)):
-        part.coalesce(1).write.mode("append").parquet(src)
+        part.write.mode("append").parquet(src)
         s = streams.sessions(streams.file_source(spark, src, e.schema, "parquet"), ["user_id"], gap="2 hours")
         streams.start(s, streams.append_sink(out), check).awaitTermination()
     held = spark.read.parquet(out)
