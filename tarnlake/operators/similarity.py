@@ -7,6 +7,8 @@ the first common token bound what a pair may share, and the candidates that rema
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,50 @@ def candidates(left: DataFrame, right: DataFrame, block: list[str], percent: int
     return pairs.where(_similar(most, percent, measure)).select(*block, F.col("id_l").alias("a"), F.col("id_r").alias("b"))
 
 
+#: Signatures of a set for one size of its partner at most, and tokens of a signature at most.
+SIGNATURES, DEPTH = 64, 8
+
+
+def _depth(missing: Column) -> Column:
+    """How many tokens a signature has: as many as keep the sets of a pair, of which the larger may miss ``missing`` tokens of the other, to SIGNATURES."""
+    out = F.lit(1)
+    for gone in range(SIGNATURES, -1, -1):
+        fits = [n for n in range(1, DEPTH + 1) if math.comb(n + gone, gone) <= SIGNATURES]
+        out = F.when(missing == gone, fits[-1] if fits else 1).otherwise(out)
+    return out
+
+
+def _subsets(tokens: Column, take: Column, leave: Column) -> Column:
+    """A hash of every part of ``take + leave`` tokens that has ``take`` of them, in their order."""
+    part = lambda h, took, out: F.struct(h.alias("h"), took.alias("took"), out.alias("out"))
+    taken = lambda acc, t: F.transform(F.filter(acc, lambda x: x["took"] < take), lambda x: part(F.xxhash64(x["h"], t), x["took"] + 1, x["out"]))
+    left = lambda acc: F.transform(F.filter(acc, lambda x: x["out"] < leave), lambda x: part(x["h"], x["took"], x["out"] + 1))
+    none = F.array(part(F.lit(0).cast("long"), F.lit(0), F.lit(0)))
+    parts = F.aggregate(tokens, none, lambda acc, t: F.concat(taken(acc, t), left(acc)))
+    return F.array_distinct(F.transform(parts, lambda x: x["h"]))
+
+
+def close_candidates(sets: DataFrame, block: list[str], percent: int) -> DataFrame:
+    """(a, b) of the pairs of ``candidates`` with Jaccard and ``same``, for blocks whose tokens are few and common.
+
+    One shared token says little where there are a thousand tokens and a million sets. Two sets of n and m tokens that share o at least agree in d tokens
+    of their first n - o + d and m - o + d (all orders alike): so they have a signature of d tokens in common. A set makes signatures for every size that
+    a partner may have; d is as large as SIGNATURES allows, and sets of many tokens fall back to one token.
+    """
+    n, m = F.col("size"), F.col("other")
+    sizes = F.sequence(F.ceil(n * percent / 100 - 1e-9).cast("int"), F.floor(n * 100 / percent + 1e-9).cast("int"))
+    share = F.floor(((n + m) * percent + (99 + percent)) / (100 + percent)).cast("int")
+    each = sets.select("id", *block, "size", "tokens", F.explode(sizes).alias("other")).withColumn("share", share)
+    each = each.where((F.col("share") <= n) & (F.col("share") <= m))
+    each = each.withColumn("d", F.least(F.col("share"), _depth(F.greatest(n, m) - F.col("share"))))
+    leave = (n - F.col("share")).cast("int")
+    made = each.select("id", *block, "size", "other", F.explode(_subsets(F.slice("tokens", F.lit(1), leave + F.col("d")), F.col("d"), leave)).alias("h"))
+    left = made.where("size <= other").select(*block, "h", F.col("size").alias("s"), F.col("other").alias("o"), F.col("id").alias("_x"))
+    right = made.where("size >= other").select(*block, "h", F.col("other").alias("s"), F.col("size").alias("o"), F.col("id").alias("_y"))
+    found = left.join(right, [*block, "h", "s", "o"]).where("_x <> _y and (s < o or _x < _y)")
+    return found.select(*block, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+
+
 def _similar(shared: Column, percent: int, measure: str, a: str = "size_l", b: str = "size_r") -> Column:
     both = F.col(a) + F.col(b)
     return (shared * 100 >= (both - shared) * percent) if measure == "jaccard" else (shared * 200 >= both * percent)
@@ -85,7 +131,7 @@ def similar_pairs(df: DataFrame, id_col: str, tokens: Column, percent: int, bloc
     classes = known.groupBy(*by, "_tokens").agg(F.min("id").alias("class"))
     members = rows.join(classes, [*by, "_tokens"], "left").select("id", F.coalesce("class", "id").alias("class"))
     sets, _ = prepared(classes, "class", by, F.col("_tokens"), percent, measure)
-    found = candidates(sets, sets, by, percent, measure, same=True)
+    found = close_candidates(sets, by, percent) if measure == "jaccard" else candidates(sets, sets, by, percent, measure, same=True)
     get = lambda s, names: sets.select(*[F.col(c).alias(n) for c, n in zip(("id", "tokens", "size"), names)])
     j = found.join(get(sets, ("a", "x", "size_a")), "a").join(get(sets, ("b", "y", "size_b")), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
     pairs = j.where(_similar(F.col("shared"), percent, measure, "size_a", "size_b"))
