@@ -100,7 +100,9 @@ class Bucketed:
             own = held.join(marked, on(held), "left_semi")
             # The table keeps its types: sums and unions of decimals widen.
             new = apply(own, changes).select(*[F.col(f.name).cast(f.dataType) for f in held.schema.fields]).cache()
-            moved = new.exceptAll(own).select(*self.key).unionByName(own.exceptAll(new).select(*self.key))
+            # Rows that one side has more often than the other, by one pass over both.
+            signed = new.withColumn("_sign", F.lit(1)).unionByName(own.withColumn("_sign", F.lit(-1)))
+            moved = signed.groupBy(*new.columns).agg(F.sum("_sign").alias("_more")).where("_more <> 0").select(*self.key)
             real = self.touched(moved)
             if real:
                 rest = self.read(v, real)

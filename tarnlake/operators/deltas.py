@@ -95,5 +95,10 @@ class View:
 
     def refresh(self, stored: Bucketed, feed: DataFrame, base: DataFrame) -> list[int]:
         """Bring stored states (a table by the group columns) up to date; returns the buckets that were rewritten."""
-        touched = feed.select(*self.group).distinct()
-        return stored.merge(touched, lambda held, _: self.apply(held, feed, base))
+        # A feed is a join of two versions: it is made once for all that is read of it.
+        feed = feed.cache()
+        try:
+            touched = feed.select(*self.group).distinct()
+            return stored.merge(touched, lambda held, _: self.apply(held, feed, base))
+        finally:
+            feed.unpersist()
