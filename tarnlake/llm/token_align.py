@@ -90,8 +90,7 @@ def _settled(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Texts whose letters every table of letters has alike: up to U+053F, and the general punctuation."""
     odd = raw >= 0xD5
     odd[:-1] &= ~((raw[:-1] == 0xE2) & (raw[1:] == 0x80))
-    seen = np.concatenate([[0], np.cumsum(odd)])
-    return seen[off[1:]] == seen[off[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(odd), off)) == 0
 
 
 def _spelt(table: pa.Array, ids: np.ndarray) -> bytes:
@@ -104,7 +103,9 @@ class Aligned:
 
     def __init__(self, tok: Tokenizers, column: pa.Array):
         column = column.fill_null("").cast(pa.large_string())
-        raw, off = np.frombuffer(column.buffers()[2] or b"", np.uint8), np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        # A slice shares the buffer of its whole batch: only its own bytes are looked at.
+        raw, off = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]], off - off[0]
         texts, settled = column.to_pylist(), _settled(raw, off)
         rows = np.flatnonzero(np.diff(off))
         a, na, b, nb = tok.encode([texts[i] for i in rows], [bool(settled[i]) for i in rows])
