@@ -12,8 +12,16 @@ from tarnlake.operators import similarity
 from tarnlake.operators.graph import connected_components
 
 
+def _ratio(x: str, y: str) -> float:
+    short, long = sorted((x, y), key=len)
+    if len(long) < 200 and short in long:
+        # The longest common block is the whole of the shorter name, so there is no other. Longer names have letters that the matcher passes over.
+        return 2 * len(short) / (len(short) + len(long)) if long else 1.0
+    return difflib.SequenceMatcher(None, x, y).ratio()
+
+
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.lower().strip(), y.lower().strip()).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else _ratio(x.lower().strip(), y.lower().strip()) for x, y in zip(a, b)], dtype="float64")
 
 
 def name_similarity(a, b):
@@ -21,15 +29,32 @@ def name_similarity(a, b):
     return F.pandas_udf(_similar, "double")(a, b)
 
 
+#: A block of so many names at most is compared name by name.
+SMALL = 16
+
+
 def _near(left: DataFrame, right: DataFrame, block: list[str], threshold: float, same: bool) -> DataFrame:
     """(a, b, x, y) of the names of a block that may be similar: matching blocks match letters, so names that share too few letters never
-    come to the measure. One and the same row is no pair; an empty name is similar to an empty one alone."""
+    come to the measure. One and the same row is no pair; an empty name is similar to an empty one alone.
+
+    Every name of ``left`` is in ``right``, too, so a small block has SMALL pairs for each of its names at most, and they
+    are made as they are; only in larger ones are names met by their letters.
+    """
     percent = int(threshold * 100)
-    r, order = similarity.prepared(right, "id", block, similarity.letters(F.col("name")), percent, "dice")
-    l_ = r if same else similarity.prepared(left, "id", block, similarity.letters(F.col("name")), percent, "dice", order)[0]
+    big = right.groupBy(*block).agg(F.count("*").alias("n_")).where(F.col("n_") > SMALL).select(*block)
+    side = lambda df, i, n: df.select(*block, F.col("id").alias(i), F.col("name").alias(n))
+    apart = F.expr("a < b") if same else F.expr("a <> b")
+    low, high = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
+    few = side(left.join(big, block, "left_anti"), "a", "x").join(side(right, "b", "y"), block).where(apart & (low * (200 - percent) >= high * percent))
+
+    l_big, r_big = (df.join(big, block, "left_semi") for df in (left, right))
+    r, order = similarity.prepared(r_big, "id", block, similarity.letters(F.col("name")), percent, "dice")
+    l_ = r if same else similarity.prepared(l_big, "id", block, similarity.letters(F.col("name")), percent, "dice", order)[0]
     found = similarity.candidates(l_, r, block, percent, "dice", same).where("a <> b").select("a", "b")
     names = lambda df, i, n: df.select(F.col("id").alias(i), F.col("name").alias(n))
-    return found.join(names(left, "a", "x"), "a").join(names(right, "b", "y"), "b").select("a", "b", "x", "y")
+    many = found.join(names(l_big, "a", "x"), "a").join(names(r_big, "b", "y"), "b").select("a", "b", "x", "y")
+    empty = side(l_big.where("name = ''"), "a", "x").join(side(r_big.where("name = ''"), "b", "y"), block).where(apart)
+    return few.select("a", "b", "x", "y").unionByName(many).unionByName(empty.select("a", "b", "x", "y"))
 
 
 def candidate_links(people: DataFrame, threshold: float = 0.75) -> DataFrame:
