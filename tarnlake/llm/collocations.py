@@ -24,7 +24,7 @@ from tarnlake.llm import text as T
 from tarnlake.operators.merge import sequence_key
 from tarnlake.session import materialize
 
-SLICE, HOT, CHUNK, DEALT = 8 << 20, 200_000, 400_000, 32
+SLICE, HOT, CHUNK, DEALT, PER_FILE = 8 << 20, 200_000, 400_000, 32, 2
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP = _BREAK.copy()
@@ -190,7 +190,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     other columns are ignored. A very long text is a slice of its own. There may be 2**31 - 1 words of ``least`` or more.
     """
     d = T.pick(docs, text=text_col, lang=lang_col)
-    held = materialize(d.mapInArrow(_slices, _SLICE), "collocations-slices", compression="zstd")
+    # A reader decodes the rows of a file together, so a file has few slices, however large the input's splits are.
+    held = materialize(d.mapInArrow(_slices, _SLICE), "collocations-slices", compression="zstd", maxRecordsPerFile=str(PER_FILE))
     entries = held.select("slice", F.posexplode(F.arrays_zip("words", "langs", "counts")).alias("pos", "e")).select("slice", "pos", F.col("e.words").alias("word"), F.col("e.langs").alias("lang"), F.col("e.counts").alias("n"))
     totals = held.select(F.explode(F.arrays_zip("langs", "counts")).alias("e")).groupBy(F.col("e.langs").alias("lang")).agg(F.sum("e.counts").alias("n"))
     common = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("less", -F.col("f"))
