@@ -85,10 +85,12 @@ class _Encoder:
         """
         parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = parts.values.dictionary_encode()
+        # As objects of a numpy array they are made in one call, without a scalar for each.
+        named = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.ids) > self.LIMIT:
             # What the next texts hold is kept.
-            self.ids = _Parts(self.part, ((w, self.ids[w]) for w in coded.dictionary.to_pylist() if w in self.ids))
-        found = [*map(self.ids.__getitem__, coded.dictionary.to_pylist()), array("i", [end]).tobytes()]
+            self.ids = _Parts(self.part, ((w, self.ids[w]) for w in named if w in self.ids))
+        found = [*map(self.ids.__getitem__, named), array("i", [end]).tobytes()]
         size = np.fromiter(map(len, found), np.int32, len(found)) // 4
         pool, start = np.frombuffer(b"".join(found), np.int32), np.cumsum(size, dtype=np.int32) - size
         cuts = parts.offsets.to_numpy()
