@@ -477,6 +477,70 @@ def test_mixing_beats_the_base_on_held_out_text(spark):
     assert got[0] > got[1]
 
 
+def test_weights_learn_online_each_block_once():
+    """Each block is predicted by what the blocks before it left, and every place of a word has its part in one of them."""
+    r = random.Random(4)
+    words = [bytes(r.choice(b"abcdefgh") for _ in range(r.randrange(1, 6))) for _ in range(300)]
+    code, table, sure, _ = _model([" ".join(w.decode() for w in words)])
+    seen, used, total = [], Counter(), Counter(words)
+
+    def sums(weights, block):
+        own, times = lm_mixing.in_block(list(total), np.array(list(total.values())), block)
+        seen.append([w.copy() for w in weights])
+        used.update(dict(zip(own, times.tolist())))
+        return lm_mixing.statistics(own, times, code, table, sure, weights)
+
+    last = lm_mixing.online(sums)
+    assert used == total and max(total.values()) > lm_mixing.ROUNDS and np.allclose(seen[0][0], lm_mixing.START)
+    assert all((a[0] != b[0]).any() for a, b in zip(seen, seen[1:])) and not np.allclose(last[0] * lm_mixing.SCALE, seen[-1][0])
+
+
+def test_weights_of_bits_go_on_learning_in_each_text():
+    """A text's own weights, block by block, in plain Python; a text's neighbours have no part in its score, nor its later words in its earlier ones'."""
+    r = random.Random(6)
+    texts = [[r.choice([b"river", b"rivers", b"light", b"stone", b"zqk", b"qzz", b"xqzk"]) for _ in range(n)] for n in (3, 150, 70, 32, 33, 400)]
+    words = sorted({w for t in texts for w in t})
+    model = _model(["river rivers light lights stone " * 3, "risen lit stole"])
+    cost, rows, opens = lm_mixing.unit_decisions(words, *model)
+    assert rows.shape == (opens.sum(), lm_mixing.INPUTS) and 0 < opens.min()
+    first = np.cumsum(opens) - opens
+    want = []
+    for t in texts:
+        w, seen, total = np.array([0.0] * 5 + [1 / 3] * 3), np.full(8, 1e-3), 0.0
+        for lo in range(0, len(t), lm_mixing.STEP):
+            slope = np.zeros(8)
+            for k in (words.index(x) for x in t[lo : lo + lm_mixing.STEP]):
+                total -= cost[k, 0]
+                for x in rows[first[k] : first[k] + opens[k]] / lm_mixing.FRACTION:
+                    p = 1 / (1 + np.exp(-np.clip(x @ w, -lm_mixing.LIMIT, lm_mixing.LIMIT)))
+                    total += np.log(p)
+                    slope += (1 - p) * x
+            seen += slope * slope
+            w = w + lm_mixing.RATE * slope / np.sqrt(seen)
+        want.append(total)
+
+    def scores(texts, rate):
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        return lm_mixing.mix(cost, np.array([words.index(w) for t in texts for w in t]), off, {}, lm_mixing.Mixers(rows, opens, rate))
+
+    assert np.allclose(scores(texts, lm_mixing.RATE), want, rtol=1e-4)
+    assert np.allclose(scores(texts[::-1], lm_mixing.RATE)[::-1], want, rtol=1e-4)
+    still = scores(texts, 0.0)
+    assert np.allclose(still[[0, 3]], np.array(want)[[0, 3]], rtol=1e-4) and want[5] > still[5] + 1
+    # The other branch of every decision has the same inputs with the other sign, and is open where this one is.
+    code = model[0]
+    code.branch = ~code.branch
+    _, other, same = lm_mixing.unit_decisions(words, *model)
+    assert (same == opens).all() and (other == -rows).all()
+
+
+def test_online_weights_help_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    still = lm_mixing.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    got = lm_mixing.op6_lm_mixing(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > still[0] and abs(got[1] - still[1]) < 1e-6 * abs(still[1])
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
 def test_segment_bpe_is_the_library(name):
     from tokenizers import Tokenizer
