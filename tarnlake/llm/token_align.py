@@ -6,8 +6,8 @@ an end of either closes one overlap of an A token with a B token, so every link
 counts, taken at the documents' ends, give each document's results.
 
 How often an id pair is linked is a sum over the corpus. A slice numbers its distinct pairs and keeps, for each document,
-their numbers and times; the distinct pairs are summed by a shuffle, and a slice gets back its own pairs' sums by a join.
-Nothing of the pair table is broadcast.
+their numbers and times; the distinct pairs are summed by a shuffle, and a slice gets back its own pairs' sums by a join, as
+plain rows that meet the slice in a group of its own. Nothing of the pair table is broadcast, and no task holds more than a few slices.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tarnlake.llm import text as T
 from tarnlake.llm.bpe_segment import _byte_letters, tokenizer_path
 from tarnlake.session import materialize
 
-SLICE, PART = 3 << 20, 256 << 10
+SLICE, PART, PER_FILE = 1 << 20, 256 << 10, 6
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 _STORED = "slice long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>, pairs array<long>, counts array<long>, sizes array<int>, steps array<int>, times array<int>"
 
@@ -204,28 +204,23 @@ def _slices(a_path: str, b_path: str):
     return run
 
 
-def _spread(batches):
-    """Each document's sums over its links, from its slice's pairs with their counts over the corpus."""
-    names = ["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"]
-    for b in batches:
-        for k in range(b.num_rows):
-            row = {c: b[c][k].values for c in ("ids", *_COUNTS, "digest", "sizes", "steps", "times")}
-            size = row["sizes"].to_numpy().astype(np.int64)
-            ends = np.cumsum(size)
-            steps, times = row["steps"].to_numpy().astype(np.int64), row["times"].to_numpy().astype(np.int64)
-            total = np.cumsum(steps)
-            start = np.concatenate([[0], total])[ends - size]
-            pair = total - np.repeat(start, size)
-            held = b["held"][k]
-            count, best = np.zeros((2, int(pair.max()) + 1 if len(pair) else 0), np.int64)
-            if held.is_valid and len(count):
-                pos = held.values.field(0).to_numpy()
-                count[pos], best[pos] = held.values.field(1).to_numpy(), held.values.field(2).to_numpy(zero_copy_only=False)
-            out = []
-            for v in (best, count):
-                sums = np.concatenate([[0], np.cumsum(v[pair] * times)])
-                out.append(pa.array(sums[ends] - sums[ends - size]))
-            yield pa.RecordBatch.from_arrays([row["ids"], *(row[c] for c in _COUNTS), *out, row["digest"]], names)
+def _spread(slices: pa.Table, held: pa.Table) -> pa.Table:
+    """Each document's sums over its links, from its slice with the counts of the slice's pairs over the corpus."""
+    row = {c: slices[c].combine_chunks()[0].values for c in ("ids", *_COUNTS, "digest", "sizes", "steps", "times")}
+    size = row["sizes"].to_numpy().astype(np.int64)
+    ends = np.cumsum(size)
+    steps, times = row["steps"].to_numpy().astype(np.int64), row["times"].to_numpy().astype(np.int64)
+    total = np.cumsum(steps)
+    start = np.concatenate([[0], total])[ends - size]
+    pair = total - np.repeat(start, size)
+    count, best = np.zeros((2, held.num_rows), np.int64)
+    pos = held["pos"].to_numpy()
+    count[pos], best[pos] = held["n"].to_numpy(), held["best"].to_numpy()
+    out = []
+    for v in (best, count):
+        sums = np.concatenate([[0], np.cumsum(v[pair] * times)])
+        out.append(pa.array(sums[ends] - sums[ends - size]))
+    return pa.table([row["ids"], *(row[c] for c in _COUNTS), *out, row["digest"]], ["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"])
 
 
 def pair_counts(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -249,11 +244,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     repeat and count each time; rows without an id keep a null one; an empty table gives no rows; other columns are ignored.
     """
     d = T.pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    stored = materialize(d.mapInArrow(_slices(a_path, b_path), _STORED), "align-slices", compression="zstd")
+    # A file is held whole by its writer and its reader, so it has few slices, however large the input's splits are.
+    stored = materialize(d.mapInArrow(_slices(a_path, b_path), _STORED), "align-slices", compression="zstd", maxRecordsPerFile=str(PER_FILE))
     entries, counts = pair_counts(stored)
-    held = entries.drop("n").join(counts, "pair").groupBy("slice").agg(F.collect_list(F.struct("pos", "n", "best")).alias("held"))
-    back = stored.drop("pairs", "counts").join(held, "slice", "left")
-    return back.mapInArrow(_spread, f"doc_id long, {' long, '.join(_COUNTS)} long, n_best long, count_sum long, groups_sha256 string")
+    held = entries.drop("n").join(counts, "pair").select(F.col("slice").alias("of"), "pos", "n", "best")
+    return stored.drop("pairs", "counts").groupBy("slice").cogroup(held.groupBy("of")).applyInArrow(_spread, f"doc_id long, {' long, '.join(_COUNTS)} long, n_best long, count_sum long, groups_sha256 string")
 
 
 def _group_lists(a_path: str, b_path: str):
