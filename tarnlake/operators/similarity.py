@@ -7,11 +7,14 @@ the first common token bound what a pair may share, and the candidates that rema
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.session import materialize
+
 
 def clean(name: Column | str) -> Column:
     return F.lower(F.trim(name))
@@ -20,7 +23,8 @@ def clean(name: Column | str) -> Column:
 def grams(name: Column, q: int = 3) -> Column:
     """The distinct stretches of ``q`` letters of a name with blanks at both ends; an empty or null name has none."""
     padded = F.concat(F.lit(" " * (q - 1)), name, F.lit(" " * (q - 1)))
-    cut = F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, F.lit(q)))
+    # Held in an array of one, the padded name is made once and not for each stretch.
+    cut = F.flatten(F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - q + 1), lambda i: F.substring(p, i, F.lit(q)))))
     return F.when(F.length(name) > 0, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
@@ -59,7 +63,8 @@ def candidates(left: DataFrame, right: DataFrame, block: list[str], percent: int
     sizes = [F.col("size_l"), F.col("size_r")]
     low, high = F.least(*sizes), F.greatest(*sizes)
     fits = (low * 100 >= high * percent) if measure == "jaccard" else (low * (200 - percent) >= high * percent)
-    j = side(left, "l").join(side(right, "r"), [*block, "t"]).where(fits)
+    # A side has many rows for each set, which Spark doesn't foresee: it would broadcast them all through the driver.
+    j = side(left, "l").join(side(right, "r").hint("merge"), [*block, "t"]).where(fits)
     j = j.where("id_l < id_r") if same else j
     pairs = j.groupBy("id_l", "id_r", *block).agg(F.first("size_l").alias("size_l"), F.first("size_r").alias("size_r"), F.min("at_l").alias("at_l"), F.min("at_r").alias("at_r"))
     # Nothing before the first common token is shared.
@@ -68,47 +73,46 @@ def candidates(left: DataFrame, right: DataFrame, block: list[str], percent: int
 
 
 #: Signatures of a set for one size of its partner at most, and tokens of a signature at most.
-SIGNATURES, DEPTH = 64, 8
-
-
-def _depth(missing: Column) -> Column:
-    """How many tokens a signature has: as many as keep the sets of a pair, of which the larger may miss ``missing`` tokens of the other, to SIGNATURES."""
-    out = F.lit(1)
-    for gone in range(SIGNATURES, -1, -1):
-        fits = [n for n in range(1, DEPTH + 1) if math.comb(n + gone, gone) <= SIGNATURES]
-        out = F.when(missing == gone, fits[-1] if fits else 1).otherwise(out)
-    return out
+SIGNATURES, DEPTH = 64, 5
+#: For each number of tokens that the larger set of a pair may miss of the other: how many tokens a signature has, so that SIGNATURES do. Beyond: one.
+_DEPTHS = [n[-1] for gone in range(SIGNATURES) if (n := [d for d in range(2, DEPTH + 1) if math.comb(d + gone, d) <= SIGNATURES])]
+#: A signature of two tokens or more has them among so many first ones.
+_REACH = max(gone + d for gone, d in enumerate(_DEPTHS))
 
 
-def _subsets(tokens: Column, take: Column, leave: Column) -> Column:
-    """A hash of every part of ``take + leave`` tokens that has ``take`` of them, in their order."""
-    part = lambda h, took, out: F.struct(h.alias("h"), took.alias("took"), out.alias("out"))
-    taken = lambda acc, t: F.transform(F.filter(acc, lambda x: x["took"] < take), lambda x: part(F.xxhash64(x["h"], t), x["took"] + 1, x["out"]))
-    left = lambda acc: F.transform(F.filter(acc, lambda x: x["out"] < leave), lambda x: part(x["h"], x["took"], x["out"] + 1))
-    none = F.array(part(F.lit(0).cast("long"), F.lit(0), F.lit(0)))
-    parts = F.aggregate(tokens, none, lambda acc, t: F.concat(taken(acc, t), left(acc)))
-    return F.array_distinct(F.transform(parts, lambda x: x["h"]))
+def _shapes(sets: DataFrame, percent: int) -> DataFrame:
+    """(size, larger, d, leave): which signatures sets of a size need as the smaller or the larger one of a pair: of d tokens among the first leave + d."""
+    n, m, share = F.col("size"), F.col("other"), F.col("share")
+    sizes = F.sequence(F.ceil(n * percent / 100 - 1e-9).cast("int"), F.floor(n * 100 / percent + 1e-9).cast("int"))
+    each = sets.select("size").distinct().select("size", F.explode(sizes).alias("other"))
+    each = each.withColumn("share", F.floor(((n + m) * percent + (99 + percent)) / (100 + percent)).cast("int")).where((share <= n) & (share <= m))
+    depth = F.coalesce(F.get(F.array(*map(F.lit, _DEPTHS)), F.greatest(n, m) - share), F.lit(1))
+    sides = F.when(n < m, F.array(F.lit(False))).when(n > m, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    return each.select("size", F.explode(sides).alias("larger"), F.least(share, depth).alias("d"), (n - share).alias("leave")).groupBy("size", "larger", "d").agg(F.max("leave").alias("leave"))
 
 
 def close_candidates(sets: DataFrame, block: list[str], percent: int) -> DataFrame:
-    """(a, b) of the pairs of ``candidates`` with Jaccard and ``same``, for blocks whose tokens are few and common.
+    """(a, b) with a < b of the pairs of ``candidates`` with Jaccard and ``same``, for blocks whose tokens are few and common.
 
     One shared token says little where there are a thousand tokens and a million sets. Two sets of n and m tokens that share o at least agree in d tokens
-    of their first n - o + d and m - o + d (all orders alike): so they have a signature of d tokens in common. A set makes signatures for every size that
-    a partner may have; d is as large as SIGNATURES allows, and sets of many tokens fall back to one token.
+    of their first n - o + d and m - o + d (all orders alike): so they have a signature of d tokens in common. d is as large as SIGNATURES allows for
+    the sizes of a pair; a set makes its signatures once for all partners' sizes with one d, and sets of many tokens fall back to one token. A
+    signature is one number, so a pair may rarely have no tokens or not even the block in common.
     """
-    n, m = F.col("size"), F.col("other")
-    sizes = F.sequence(F.ceil(n * percent / 100 - 1e-9).cast("int"), F.floor(n * 100 / percent + 1e-9).cast("int"))
-    share = F.floor(((n + m) * percent + (99 + percent)) / (100 + percent)).cast("int")
-    each = sets.select("id", *block, "size", "tokens", F.explode(sizes).alias("other")).withColumn("share", share)
-    each = each.where((F.col("share") <= n) & (F.col("share") <= m))
-    each = each.withColumn("d", F.least(F.col("share"), _depth(F.greatest(n, m) - F.col("share"))))
-    leave = (n - F.col("share")).cast("int")
-    made = each.select("id", *block, "size", "other", F.explode(_subsets(F.slice("tokens", F.lit(1), leave + F.col("d")), F.col("d"), leave)).alias("h"))
-    left = made.where("size <= other").select(*block, "h", F.col("size").alias("s"), F.col("other").alias("o"), F.col("id").alias("_x"))
-    right = made.where("size >= other").select(*block, "h", F.col("other").alias("s"), F.col("size").alias("o"), F.col("id").alias("_y"))
-    found = left.join(right, [*block, "h", "s", "o"]).where("_x <> _y and (s < o or _x < _y)")
-    return found.select(*block, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    spark = sets.sparkSession
+    # These grow with the sizes that sets have, not with the sets.
+    shapes = _shapes(sets, percent)
+    masks = spark.range(1, 1 << _REACH).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("d"))
+    parts = shapes.where("d > 1").join(F.broadcast(masks), "d").where("mask < shiftleft(1, leave + d)").select("size", "larger", "d", "mask")
+    token = lambda i: F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.get("tokens", F.lit(i)))
+    some = sets.join(F.broadcast(parts), "size").select("id", "size", "larger", F.xxhash64(*block, "d", *map(token, range(_REACH))).alias("h"))
+    one = sets.join(F.broadcast(shapes.where("d = 1")), "size").select("id", "size", "larger", *block, F.explode(F.slice("tokens", F.lit(1), F.col("leave") + 1)).alias("t"))
+    made = some.unionByName(one.select("id", "size", "larger", F.xxhash64(*block, F.lit(1), "t").alias("h")))
+    left = made.where("not larger").select("h", F.col("id").alias("_x"), F.col("size").alias("s"))
+    right = made.where("larger").select("h", F.col("id").alias("_y"), F.col("size").alias("o"))
+    # A set has many signatures, which Spark doesn't foresee: it would broadcast them all through the driver.
+    found = left.join(right.hint("merge"), "h").where(f"s * 100 >= o * {percent} and (s < o or s = o and _x < _y)")
+    return found.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
 
 
 def _similar(shared: Column, percent: int, measure: str, a: str = "size_l", b: str = "size_r") -> Column:
@@ -130,9 +134,11 @@ def similar_pairs(df: DataFrame, id_col: str, tokens: Column, percent: int, bloc
     known = rows.where(F.size("_tokens") > 0)
     classes = known.groupBy(*by, "_tokens").agg(F.min("id").alias("class"))
     members = rows.join(classes, [*by, "_tokens"], "left").select("id", F.coalesce("class", "id").alias("class"))
-    sets, _ = prepared(classes, "class", by, F.col("_tokens"), percent, measure)
+    whole = functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in by])
+    sets = materialize(prepared(classes.where(whole), "class", by, F.col("_tokens"), percent, measure)[0], "similar-sets")
     found = close_candidates(sets, by, percent) if measure == "jaccard" else candidates(sets, sets, by, percent, measure, same=True)
-    get = lambda s, names: sets.select(*[F.col(c).alias(n) for c, n in zip(("id", "tokens", "size"), names)])
-    j = found.join(get(sets, ("a", "x", "size_a")), "a").join(get(sets, ("b", "y", "size_b")), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    pairs = j.where(_similar(F.col("shared"), percent, measure, "size_a", "size_b"))
+    get = lambda names, own: sets.select(*[F.col(c).alias(n) for c, n in zip(("id", "tokens", "size", *by), (*names, *own))]).hint("merge")
+    other = [f"{c}_b" for c in by]
+    j = found.select("a", "b").join(get(("a", "x", "size_a"), by), "a").join(get(("b", "y", "size_b"), other), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    pairs = j.where(functools.reduce(lambda x, y: x & y, [F.col(c) == F.col(o) for c, o in zip(by, other)]) & _similar(F.col("shared"), percent, measure, "size_a", "size_b"))
     return pairs.select(*block, "a", "b", "shared", "size_a", "size_b"), members
